@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import bpe, leximin, lookalike, packing
+from siltstone.llm import bpe, leximin, lookalike, nearcopies, neighbours, packing
 from siltstone.runtime import table
 
 
@@ -12,6 +12,14 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return leximin.rank(table(spark, d, "search_hits"), table(spark, d, "scorers"), limit=5).select("query_id", "rowid")
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.pairs(table(spark, d, "chunks_vec"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return nearcopies.pairs(table(spark, d, "chunks"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode(table(spark, d, "documents"))
 
@@ -24,7 +32,14 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.pairs(table(spark, d, "documents"))
 
 
-QUERIES = {"p3_found": p3_found, "p8_ids": p8_ids, "p9_packed": p9_packed, "p10_found": p10_found}
+QUERIES = {
+    "p3_found": p3_found,
+    "p5_found": p5_found,
+    "p7_found": p7_found,
+    "p8_ids": p8_ids,
+    "p9_packed": p9_packed,
+    "p10_found": p10_found,
+}
 
 SQL = {
     "p3_found": """
