@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import bpe, leximin, lookalike, nearcopies, neighbours, packing
+from siltstone.llm import bpe, leximin, lookalike, nearcopies, neighbours, packing, pii
 from siltstone.runtime import table
 
 
@@ -16,6 +16,15 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.pairs(table(spark, d, "chunks_vec"))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.find(table(spark, d, "chunks"), table(spark, d, "people")).select("rowid", "pii_kind", "found_text").distinct()
+
+
+def p6_replaced(spark: SparkSession, d: str) -> DataFrame:
+    """With a fixed secret, so that runs are comparable; a deployment passes its own."""
+    return pii.replace(table(spark, d, "chunks"), table(spark, d, "people"), b"published with the queries")
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return nearcopies.pairs(table(spark, d, "chunks"))
 
@@ -35,6 +44,8 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "p3_found": p3_found,
     "p5_found": p5_found,
+    "p6_found": p6_found,
+    "p6_replaced": p6_replaced,
     "p7_found": p7_found,
     "p8_ids": p8_ids,
     "p9_packed": p9_packed,
