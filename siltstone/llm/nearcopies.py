@@ -4,7 +4,7 @@
    shingles in a table of fixed size.  Equal texts are one text from here on.
 2. Two texts of similarity t or more share one of the n - ceil(t n) + 1 first shingles of each, in any common
    order of the shingles.  The order is by count, rare first, so few texts meet at a shingle.  Each text is sent to
-   the places of those shingles with a parity sketch: every shingle flips one of 128 bits, so the Hamming distance of
+   the places of those shingles with a parity sketch: every shingle flips one of 256 bits, so the Hamming distance of
    two sketches never exceeds the number of shingles in only one of the texts, and a pair beyond the radius
    floor((1 - t) / (1 + t) * (|x| + |y|)) cannot be similar.
 3. A place holds its texts' sketches as vertical bit planes.  All pairs at one offset are compared at once: planes
@@ -36,7 +36,9 @@ from siltstone.runtime import cut, width
 WORDS, THRESHOLD = 3, 0.6
 #: log2 of the count table's cells; cells a slice of it; texts that one cell of a place is meant for.
 TABLE_BITS, SLICE, CELL = 22, 1 << 16, 2048
-PLANES = 128
+PLANES = 256
+#: log2 of the bits of the table that keeps texts without a candidate from the last shuffle.
+REDUCER_BITS = 26
 _WORD = re.compile(r"[^\W_]+")
 _MIX1, _MIX2, _MIX3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -137,7 +139,7 @@ def _count_table(read: DataFrame, bits: int) -> np.ndarray:
 
 
 def parity(h: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """(docs, 2) words: shingle h flips bit h % 128."""
+    """(docs, PLANES / 64) words: shingle h flips bit h % PLANES."""
     bit = (h & np.uint64(PLANES - 1)).astype(np.int64)
     doc = np.repeat(np.arange(len(n)), n)
     odd = (np.bincount(doc * PLANES + bit, minlength=len(n) * PLANES) & 1).astype(np.uint8)
@@ -145,8 +147,8 @@ def parity(h: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def _places(size: int, bits: int, t: Fraction, counts, parts: int):
-    """rowid, content -> part, rowid, n, s0, s1, places: the text's sketch for each task that has one of its places."""
-    names = ["part", "rowid", "n", "s0", "s1", "places", "cells"]
+    """rowid, content -> part, rowid, n, sketch, places, cells: the text's sketch for each task that has one of its places."""
+    names = ["part", "rowid", "n", "sketch", "places", "cells"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = counts.value
@@ -181,10 +183,11 @@ def _places(size: int, bits: int, t: Fraction, counts, parts: int):
             first = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (part[1:] != part[:-1])]) if len(doc) else np.empty(0, np.int64)
             offsets = np.r_[first, len(doc)].astype(np.int32)
             d = doc[first]
-            s = sketch[d].view(np.int64)
+            raw = np.ascontiguousarray(sketch[d]).tobytes()
+            wide = PLANES // 8
             yield pa.record_batch(
                 [
-                    pa.array(part[first]), pa.array(ids[d]), pa.array(n[d].astype(np.int32)), pa.array(np.ascontiguousarray(s[:, 0])), pa.array(np.ascontiguousarray(s[:, 1])),
+                    pa.array(part[first]), pa.array(ids[d]), pa.array(n[d].astype(np.int32)), pa.array([raw[i : i + wide] for i in range(0, len(raw), wide)], pa.binary()),
                     pa.ListArray.from_arrays(offsets, pa.array(short)), pa.ListArray.from_arrays(offsets, pa.array(side)),
                 ],
                 names,
@@ -335,7 +338,7 @@ def _candidates(t: Fraction):
         each = np.diff(places.offsets.to_numpy())
         at = np.repeat(np.arange(len(each)), each)
         side = table.column("cells").combine_chunks().flatten().to_numpy()
-        sketch = np.stack([table.column(c).to_numpy() for c in ("s0", "s1")], 1).view(np.uint64)
+        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(len(each), -1)
         out = compare_places(places.flatten().to_numpy(), table.column("rowid").to_numpy()[at], table.column("n").to_numpy()[at], sketch[at], side, t)
         for lo in range(0, len(out), 100_000):
             yield pa.record_batch([pa.array(out[lo : lo + 100_000, 0]), pa.array(out[lo : lo + 100_000, 1])], ["a", "b"])
@@ -343,6 +346,48 @@ def _candidates(t: Fraction):
     return run
 
 
+def _marks(ids: np.ndarray, bits: int) -> np.ndarray:
+    return (mix(ids.astype(np.uint64) * _MIX3) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _mark(bits: int):
+    """a, b -> slices of the bit table of both."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(1 << bits, bool)
+        for b in batches:
+            for c in b.columns:
+                seen[_marks(c.to_numpy(), bits)] = True
+        packed = np.packbits(seen)
+        at = [i for i in range(0, len(packed), SLICE) if packed[i : i + SLICE].any()]
+        yield pa.record_batch([pa.array([i // SLICE for i in at], pa.int32()), pa.array([zlib.compress(packed[i : i + SLICE].tobytes(), 1) for i in at], pa.binary())], ["slice", "marks"])
+
+    return run
+
+
+def _join_marks(pdf: pd.DataFrame) -> pd.DataFrame:
+    every = np.bitwise_or.reduce([np.frombuffer(zlib.decompress(m), np.uint8) for m in pdf["marks"]], axis=0)
+    return pd.DataFrame({"slice": pdf["slice"].iloc[:1], "marks": [zlib.compress(every.tobytes(), 1)]})
+
+
+def _only_marked(rows: DataFrame, met: DataFrame, bits: int = REDUCER_BITS) -> DataFrame:
+    """rows whose id may be in a candidate pair: all that are, and few others while the table is sparse."""
+    marks = met.mapInArrow(_mark(bits), "slice int, marks binary").withColumn("salt", F.spark_partition_id() % 64)
+    half = marks.groupBy("slice", "salt").applyInPandas(lambda key, p: _join_marks(p[["slice", "marks"]]), "slice int, marks binary")
+    table = np.zeros((1 << bits) // 8, np.uint8)
+    for r in half.groupBy("slice").applyInPandas(_join_marks, "slice int, marks binary").toLocalIterator():
+        m = np.frombuffer(zlib.decompress(r["marks"]), np.uint8)
+        table[r["slice"] * SLICE : r["slice"] * SLICE + len(m)] = m
+    shared = rows.sparkSession.sparkContext.broadcast(table)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = _marks(b.column(0).to_numpy(), bits)
+            yield b.filter(pa.array((shared.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 def _verify(size: int, t: Fraction):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[int, set] = {}
@@ -391,10 +436,11 @@ def similar_classes(df: DataFrame, key: str = "rowid", text: str = "content", th
     # one text per class; a repeated key keeps one of its texts
     texts = rows.join(heads, "rowid", "left_semi").dropDuplicates(["rowid"])
     parts = width(spark)
-    sent = texts.mapInArrow(_places(size, bits, t, counts, parts), "part int, rowid bigint, n int, s0 bigint, s1 bigint, places array<int>, cells array<tinyint>")
+    sent = texts.mapInArrow(_places(size, bits, t, counts, parts), "part int, rowid bigint, n int, sketch binary, places array<int>, cells array<tinyint>")
     met = cut(sent.repartitionById(parts, "part").mapInArrow(_candidates(t), "a bigint, b bigint").distinct())
-    left = met.join(texts.withColumnsRenamed({"rowid": "a", "content": "ta"}), "a")
-    pairs_ = left.join(texts.withColumnsRenamed({"rowid": "b", "content": "tb"}), "b").select("a", "b", "ta", "tb")
+    some = _only_marked(rows, met).join(heads, "rowid", "left_semi").dropDuplicates(["rowid"])
+    left = met.join(some.withColumnsRenamed({"rowid": "a", "content": "ta"}), "a")
+    pairs_ = left.join(some.withColumnsRenamed({"rowid": "b", "content": "tb"}), "b").select("a", "b", "ta", "tb")
     return members.select(F.col("rowid").alias(key), "class"), pairs_.mapInArrow(_verify(size, t), "a bigint, b bigint, similarity double")
 
 
