@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import bpe, leximin, lookalike, nearcopies, neighbours, packing, pii
+from siltstone.llm import bpe, leximin, lookalike, markup, nearcopies, neighbours, packing, pii
 from siltstone.runtime import table
 
 
@@ -12,6 +12,12 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return leximin.rank(table(spark, d, "search_hits"), table(spark, d, "scorers"), limit=5).select("query_id", "rowid")
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    chunks = markup.find(table(spark, d, "chunks"), "rowid", "content", "chunks.content", title="title")
+    docs = markup.find(table(spark, d, "markdown_docs"), "path", "body", "markdown_docs.body")
+    return chunks.unionByName(docs)
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.pairs(table(spark, d, "chunks_vec"))
 
@@ -43,6 +49,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "p3_found": p3_found,
+    "p4_found": p4_found,
     "p5_found": p5_found,
     "p6_found": p6_found,
     "p6_replaced": p6_replaced,
