@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 CYRILLIC, CYRILLIC_AS = "аеорсухѕіјһԁԛԝАВЕКМНОРСТХЅІЈУԚԜӀ", "aeopcyxsijhdqwABEKMHOPCTXSIJYQWI"
 GREEK, GREEK_AS = "ονρϲϳΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹͿ", "ovpcjABEZHIKMNOPTYXCJ"
 ARMENIAN, ARMENIAN_AS = "օսոհցԼՕՍ", "ounhgLOU"
-ZWJ = "‍"
 #: Characters without a glyph that are not of category Cf.
 _NO_GLYPH = {0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x180B, 0x180C, 0x180D, 0x3164, 0xFFA0, *range(0xFE00, 0xFE10)}
 
@@ -40,7 +39,7 @@ def plain(c: str) -> str:
     d = U.decomposition(c)
     if d.startswith(("<wide>", "<narrow>")) or (d.startswith("<compat>") and "LIGATURE" in U.name(c, "")):
         return "".join(plain(x) for x in U.normalize("NFKD", c))
-    return {"\r": "\n", "\x0b": "\n", "\x0c": "\n", "\x85": "\n", " ": "\n", " ": "\n"}.get(c, U.normalize("NFD", c))
+    return {"\r": "\n", "\x0b": "\n", "\x0c": "\n", "\x85": "\n", "\u2028": "\n", "\u2029": "\n"}.get(c, U.normalize("NFD", c))
 
 
 class UnionFind:
