@@ -125,20 +125,25 @@ def _hash_documents(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator
     return run
 
 
-def document_hashes(latest: DataFrame, chunks: DataFrame, hex_digits: int = 32) -> DataFrame:
-    """source_type, source_key, hash: SHA-256 prefix of the contents of a document's arrivals in chunk_index order.
+def hash_documents(rows: DataFrame, hex_digits: int = 32) -> DataFrame:
+    """source_type, source_key, hash: SHA-256 prefix of each document's contents in chunk_index order, joined by a
+    blank line; ``rows`` has one row per chunk.
 
     The digest of one text is sequential, so one task reads a document, but as a sorted stream with constant
     memory, whatever the document's size.
     """
-    keep = latest.select("rowid", "id", "source_type", "source_key", "chunk_index")
-    rows = keep.join(chunks.select("rowid", "content"), "rowid")
     ordered = rows.repartition("source_type", "source_key").sortWithinPartitions("source_type", "source_key", "chunk_index", "id")
     return ordered.select("source_type", "source_key", "content").mapInArrow(
         _hash_documents(hex_digits), "source_type string, source_key string, hash string"
     )
 
 
+def document_hashes(latest: DataFrame, chunks: DataFrame) -> DataFrame:
+    """hash_documents of the arrivals in ``latest``, whose contents are in ``chunks``."""
+    keep = latest.select("rowid", "id", "source_type", "source_key", "chunk_index")
+    return hash_documents(keep.join(chunks.select("rowid", "content"), "rowid"))
+
+
 def latest_summaries(summaries: DataFrame) -> DataFrame:
     """source_type, source_key, hash of the summary with the latest generated_at (null or unreadable: earliest)."""
     when = F.try_to_timestamp(F.trim("generated_at"))

@@ -6,24 +6,40 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions import text
+from siltstone.operators.incremental import hash_documents
 from siltstone.operators.navigate import documents
 
 OUTPUT_TOKENS, MAX_CHARS = 150, 80_000
 
 
 def pending(chunks: DataFrame, summaries: DataFrame) -> DataFrame:
-    """source_type, source_key, body, doc_hash of documents without a summary of their present text."""
-    docs = documents(chunks).withColumn("doc_hash", text.doc_hash(F.col("body")))
-    return docs.join(summaries.select("source_type", "source_key", "doc_hash"), ["source_type", "source_key", "doc_hash"], "left_anti")
+    """source_type, source_key, doc_hash, chars of documents without a summary of their present text."""
+    keys = ["source_type", "source_key"]
+    hashes = hash_documents(chunks).withColumnRenamed("hash", "doc_hash")
+    todo = hashes.join(summaries.select(*keys, "doc_hash"), [*keys, "doc_hash"], "left_anti")
+    size = chunks.groupBy(*keys).agg((F.sum(F.length(F.coalesce("content", F.lit("")))) + 2 * (F.count(F.lit(1)) - 1)).alias("chars"))
+    return todo.join(size, keys)
+
+
+def bodies(todo: DataFrame, chunks: DataFrame, most: int = MAX_CHARS) -> DataFrame:
+    """todo with body: the first ``most`` characters of each text, which is all that a summary is made of.
+
+    Only the chunks that reach into them are collected, so a body is bounded whatever the document's size.
+    """
+    keys = ["source_type", "source_key"]
+    rows = chunks.select(*keys, "chunk_index", "id", "content").join(todo.select(*keys), keys, "left_semi")
+    before = Window.partitionBy(*keys).orderBy("chunk_index", "id").rowsBetween(Window.unboundedPreceding, -1)
+    first = rows.withColumn("_before", F.coalesce(F.sum(F.length(F.coalesce("content", F.lit(""))) + 2).over(before), F.lit(0))).filter(F.col("_before") < most)
+    return todo.join(documents(first).withColumn("body", F.substring("body", 1, most)), keys)
 
 
 def cost(todo: DataFrame, price_in: float, price_out: float) -> DataFrame:
     """documents, input_tokens, estimate: prices are per million tokens."""
-    n, t = F.count(F.lit(1)), F.coalesce(F.sum(F.floor(F.length("body") / 4)), F.lit(0))
+    n, t = F.count(F.lit(1)), F.coalesce(F.sum(F.floor(F.col("chars") / 4)), F.lit(0))
     return todo.agg(n.alias("documents"), t.alias("input_tokens"), ((t * price_in + n * OUTPUT_TOKENS * price_out) / 1e6).alias("estimate"))
 
 
@@ -39,13 +55,14 @@ def retry(call: Callable[[], str], tries: int = 5, first: float = 2.0, most: flo
 
 
 def summarise(todo: DataFrame, client: Callable[[str], str], model: str, tasks: int = 8, generated_at: str | None = None) -> DataFrame:
-    """Rows for the summaries table; ``client`` maps a text to its summary and runs on the workers."""
+    """Rows for the summaries table; ``todo`` comes from ``bodies``, ``client`` maps a text to its summary and runs on
+    the workers."""
     stamp = F.lit(generated_at) if generated_at else F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
 
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
-            yield s.map(lambda t: retry(lambda: client(t[:MAX_CHARS])))
+            yield s.map(lambda t: retry(lambda: client(t)))
 
     made = todo.repartition(tasks).withColumn("summary", run("body"))
     return made.select("source_type", "source_key", "summary", "doc_hash", F.lit(model).alias("model"), stamp.alias("generated_at"), text.token_estimate(F.col("summary")).alias("token_count"))

@@ -174,7 +174,7 @@ def get_doc(spark: SparkSession, d: str) -> DataFrame:
 
 
 def reconstruct_doc(spark: SparkSession, d: str) -> DataFrame:
-    return navigate.documents(current(spark, d, "content")).select("source_type", "source_key", text.doc_hash(F.col("body")).alias("doc_hash"))
+    return incremental.hash_documents(current(spark, d, "content")).withColumnRenamed("hash", "doc_hash")
 
 
 def summary_pending(spark: SparkSession, d: str) -> DataFrame:

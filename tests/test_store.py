@@ -96,9 +96,10 @@ def test_summaries(spark):
     c = spark.createDataFrame([("n:a:section:0", "n", "a", 0, "one"), ("n:a:section:1", "n", "a", 1, "two"), ("n:b:section:0", "n", "b", 0, "x")], "id string, source_type string, source_key string, chunk_index int, content string")
     have = spark.createDataFrame([], store.SUMMARIES)
     todo = summaries.pending(c, have)
-    made = summaries.summarise(todo, lambda t: t[:3], "fake", 2, "2025-01-01")
+    made = summaries.summarise(summaries.bodies(todo, c), lambda t: t[:3], "fake", 2, "2025-01-01")
     assert rows(made.select("source_key", "summary")) == [("a", "one"), ("b", "x")]
     assert summaries.pending(c, made).count() == 0
+    assert {r["source_key"]: r["body"] for r in summaries.bodies(todo, c, 4).collect()} == {"a": "one", "b": "x"}
     assert tuple(summaries.cost(todo, 1.0, 5.0).select("documents", "input_tokens").first()) == (2, 2)
     calls = []
 
