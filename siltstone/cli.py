@@ -1,10 +1,15 @@
-"""Command line: init, ingest, query, eval, stats, sources, reset."""
+"""Command line: init, ingest, query, eval, benchmark, summarize, judge, stats, sources, reset.
+
+Clients of language models are named as ``module:function``.
+"""
 
 from __future__ import annotations
 
 import argparse
+import importlib
 import json
 import sys
+import time
 from pathlib import Path
 
 from pyspark.sql import functions as F
@@ -29,6 +34,21 @@ def _parser() -> argparse.ArgumentParser:
     e.add_argument("queries", help="JSON lines: query, expected_keys, source_type")
     e.add_argument("-k", type=int, default=5)
     e.add_argument("--gate", help="JSON file of metric floors")
+    b = sub.add_parser("benchmark")
+    b.add_argument("queries", help="JSON lines with query")
+    b.add_argument("--runs", type=int, default=5)
+    b.add_argument("-k", type=int, default=5)
+    m = sub.add_parser("summarize")
+    m.add_argument("--client", required=True, help="maps a text to its summary")
+    m.add_argument("--model", default="custom")
+    m.add_argument("--limit", type=int)
+    m.add_argument("--dry-run", action="store_true", help="only the number of documents and the cost")
+    m.add_argument("--price-in", type=float, default=0.0)
+    m.add_argument("--price-out", type=float, default=0.0)
+    j = sub.add_parser("judge")
+    j.add_argument("cases", help="JSON lines of judging.CASES")
+    j.add_argument("--client", required=True, help="maps a case to its verdicts")
+    j.add_argument("--floor", type=float, help="least kappa")
     sub.add_parser("stats")
     sub.add_parser("sources")
     r = sub.add_parser("reset")
@@ -36,6 +56,11 @@ def _parser() -> argparse.ArgumentParser:
     return p
 
 
+def _client(name: str):
+    module, _, function = name.partition(":")
+    return getattr(importlib.import_module(module), function)
+
+
 def main(argv: list[str] | None = None) -> int:
     """0 success; 1 a source failed, nothing was found or a gate was missed; 2 bad input."""
     from siltstone import config
@@ -52,7 +77,7 @@ def main(argv: list[str] | None = None) -> int:
     except config.ConfigError as e:
         print(e, file=sys.stderr)
         return 2
-    from siltstone.operators import evaluate, navigate
+    from siltstone.operators import evaluate, judging, navigate, summaries
     from siltstone.plans.engine import Engine
     from siltstone.runtime import session
 
@@ -81,6 +106,32 @@ def main(argv: list[str] | None = None) -> int:
         total = evaluate.summarise(scores)
         print(json.dumps(total.first().asDict() | {"by_type": [r.asDict() for r in evaluate.breakdown(scores, asked).orderBy("source_type").collect()]}))
         return 0 if not floors or not evaluate.gate(total, floors).filter("not passed").count() else 1
+    if args.command == "benchmark":
+        texts = [json.loads(x)["query"] for x in Path(args.queries).read_text().splitlines() if x.strip()]
+        samples = []
+        for _ in range(args.runs):
+            for stage, texts_ in [("single", [t]) for t in texts] + [("batch", texts)]:
+                began = time.perf_counter()
+                engine.search(texts_, args.k).collect()
+                samples.append((stage, (time.perf_counter() - began) / len(texts_)))
+        rows = engine.spark.createDataFrame(samples, "stage string, seconds double")
+        found = evaluate.latency(rows, ["stage"], "seconds").join(evaluate.throughput(rows, ["stage"], "seconds"), "stage")
+        print(json.dumps([r.asDict() for r in found.orderBy("stage").collect()]))
+        return 0
+    if args.command == "summarize":
+        todo = summaries.pending(engine.store.chunks(), engine.store.summaries())
+        if args.limit is not None:
+            todo = todo.orderBy("source_type", "source_key").limit(args.limit)
+        print(json.dumps(summaries.cost(todo, args.price_in, args.price_out).first().asDict()))
+        if not args.dry_run:
+            made = summaries.summarise(summaries.bodies(todo, engine.store.chunks()), _client(args.client), args.model)
+            engine.store.upsert_summaries(made)
+        return 0
+    if args.command == "judge":
+        cases = judging.judge(judging.read_cases(engine.spark, args.cases), _client(args.client))
+        report = evaluate.judge_report(cases.withColumn("judged_faithful", F.col("verdict.faithfulness"))).first().asDict()
+        print(json.dumps(report))
+        return 1 if args.floor is not None and (report["kappa"] or 0.0) < args.floor else 0
     if args.command == "stats":
         for r in engine.stats().orderBy("source_type").collect():
             print(f"{r['source_type'] or 'total'}\t{r['n']}")

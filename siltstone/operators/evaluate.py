@@ -86,6 +86,26 @@ def latency(samples: DataFrame, by: Sequence[str], value: str, scale: float = 10
     return agg.select(*by, "n", r(F.col("mean")).alias("mean"), *[r(F.col("p")[i]).alias(n) for i, n in enumerate(("p50", "p95", "p99"))], r(F.col("min")).alias("min"), r(F.col("max")).alias("max"))
 
 
+def compare(queries: DataFrame, ranked: Mapping[str, DataFrame], k: int) -> DataFrame:
+    """config, n, recall, mrr, ndcg: one row per named ranking of the same queries."""
+    out = None
+    for name, r in ranked.items():
+        one = summarise(score_queries(queries, r, k)).withColumn("config", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def throughput(samples: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """by, per_second: how many a second, one after another."""
+    return samples.groupBy(*by).agg((F.count(value) / F.nullif(F.sum(value), F.lit(0.0))).alias("per_second"))
+
+
+def realised_cost(usage: DataFrame, price_in: float, price_out: float, cached_share: float = 0.1) -> DataFrame:
+    """cost of calls with input_tokens, cached_tokens and output_tokens; cached input costs a share of the price."""
+    t = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return usage.agg(((t("input_tokens") * price_in + t("cached_tokens") * price_in * cached_share + t("output_tokens") * price_out) / 1e6).alias("cost"))
+
+
 def rolling_tokens(calls: DataFrame, at: str = "ts", tokens: str = "tokens", seconds: int = 60, by: Sequence[str] = ()) -> DataFrame:
     """calls with spent: tokens of the last ``seconds`` up to and with each call."""
     w = Window.partitionBy(*by).orderBy(F.unix_seconds(F.col(at).cast("timestamp"))).rangeBetween(-seconds, 0)

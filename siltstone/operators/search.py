@@ -116,8 +116,14 @@ def _typed(run: Callable, qid: str, id: str) -> Callable:
 # Full text
 
 
-def query_terms(queries: DataFrame, text: str = "query", stemmed: bool = True) -> DataFrame:
-    """query_id, term_no, phrase: a row per term of each query; repeated terms count as often as they stand."""
+def query_terms(queries: DataFrame, text: str = "query", stemmed: bool = True, strict: bool = False) -> DataFrame:
+    """query_id, term_no, phrase: a row per term of each query; repeated terms count as often as they stand.
+
+    ``strict``: queries with AND, OR or NOT in capitals or a word of more than three hyphens have no terms at all,
+    as in a search engine that takes them for a syntax error; else they are words like others.
+    """
+    if strict:
+        queries = queries.filter(~F.coalesce(F.col(text).rlike(r"(?<![A-Za-z0-9_-])(?:AND|OR|NOT)(?![A-Za-z0-9_-])|[A-Za-z0-9_]*-(?:[A-Za-z0-9_]*-){3,}"), F.lit(False)))
 
     @F.pandas_udf("array<array<string>>")
     def terms(s: pd.Series) -> pd.Series:
@@ -126,7 +132,7 @@ def query_terms(queries: DataFrame, text: str = "query", stemmed: bool = True) -
     return queries.select("query_id", F.posexplode(terms(text)).alias("term_no", "phrase"))
 
 
-def bm25(chunks: DataFrame, queries: DataFrame, k: int, id: str = "id", content: str = "content", text: str = "query", stemmed: bool = True) -> DataFrame:
+def bm25(chunks: DataFrame, queries: DataFrame, k: int, id: str = "id", content: str = "content", text: str = "query", stemmed: bool = True, strict: bool = False) -> DataFrame:
     """query_id, id, score, position: the k best by BM25; scores are negative, the lowest is the best, ties by id.
 
     A hyphenated word is one phrase with its own frequency.  Only words that some query begins with leave the
@@ -134,7 +140,7 @@ def bm25(chunks: DataFrame, queries: DataFrame, k: int, id: str = "id", content:
     """
     tokens = porter.analyse_column(F.col(content)) if stemmed else F.filter(F.split(F.lower(F.coalesce(content, F.lit(""))), r"(?U)[^\p{L}\p{N}]+"), lambda t: t != "")
     docs = chunks.select(F.col(id).alias("id"), tokens.alias("t")).withColumn("len", F.size("t"))
-    terms = query_terms(queries, text, stemmed).withColumn("key", F.concat_ws(" ", "phrase"))
+    terms = query_terms(queries, text, stemmed, strict).withColumn("key", F.concat_ws(" ", "phrase"))
     distinct = terms.select("key", "phrase", F.col("phrase")[0].alias("w"), F.size("phrase").alias("n")).distinct()
     longest = distinct.agg(F.max("n")).first()[0] or 1
     stats = docs.agg(F.count(F.lit(1)).alias("docs"), F.avg("len").alias("avgdl")).first()

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions import chunking, embedding, text
-from siltstone.operators import evaluate, incremental, ingest, navigate, search, store, summaries, timestamps
+from siltstone.operators import evaluate, incremental, ingest, judging, navigate, search, store, summaries, timestamps
 from siltstone.runtime import table
 from siltstone.sources import html
 
@@ -241,6 +241,38 @@ def eval_gate(spark: SparkSession, d: str) -> DataFrame:
     return g.select("metric", F.round("value", 6).alias("value"), "floor", "passed")
 
 
+def eval_compare(spark: SparkSession, d: str) -> DataFrame:
+    q, vector = _eval(spark, d)
+    keys = table(spark, d, "chunks").select(F.col("rowid").alias("id"), F.concat_ws(":", "source_type", "source_key").alias("source_key"))
+    fts = _scorer_list(spark, d, "fts").join(keys, "id").filter("position <= 10")
+    c = evaluate.compare(q, {"vector": vector, "fts": fts}, 5)
+    return c.select("config", "n", *[F.round(x, 6).alias(x) for x in ("recall", "mrr", "ndcg")])
+
+
+def seeded_shuffle(spark: SparkSession, d: str) -> DataFrame:
+    h = table(spark, d, "search_hits").select("query_id", "rowid").distinct()
+    o = h.withColumn("o", judging.seeded_order(F.col("query_id").cast("string"), F.col("rowid").cast("string")))
+    return o.select("query_id", "rowid", search.position([F.col("o")]).alias("place"))
+
+
+def rolling_budget(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").select("event_id", "user_id", "ts", F.length("props").alias("tokens"))
+    return evaluate.rolling_tokens(e, by=["user_id"]).select("event_id", "spent")
+
+
+def throughput(spark: SparkSession, d: str) -> DataFrame:
+    t = evaluate.throughput(table(spark, d, "events").filter("value > 0"), ["event_type"], "value")
+    return t.select("event_type", F.round("per_second", 6).alias("per_second"))
+
+
+def format_results(spark: SparkSession, d: str) -> DataFrame:
+    v = _scorer_list(spark, d, "vector").filter("position <= 5")
+    h = table(spark, d, "search_hits").filter("scorer = 'vector' and not isnan(distance)").groupBy("query_id", F.col("rowid").alias("id")).agg(F.min("distance").alias("distance"))
+    c = table(spark, d, "chunks").select(F.col("rowid").alias("id"), "source_type", "source_key")
+    rows = v.join(h, ["query_id", "id"]).join(c, "id")
+    return rows.select("query_id", "position", text.result_line(F.col("position"), F.col("source_type"), F.col("source_key"), F.col("distance")).alias("line"))
+
+
 def _raters(spark: SparkSession, d: str) -> DataFrame:
     h = table(spark, d, "search_hits").filter("distance is not null and not isnan(distance)")
     v = lambda s: F.max(F.when(F.col("scorer") == s, F.col("distance")))
@@ -282,7 +314,7 @@ QUERIES = {
     for f in (
         p1_found, p2_found, scrub_chunks, secrets_found, fingerprint_dedupe, token_estimate, source_stats, distinct_keys, chunk_documents, chunk_count_long, upsert_changed, changed_rows, orphans,
         ingest_report, knn_l2, knn_batch, bm25_batch, bm25_stemmed, auto_fts_weight, rrf_fuse, diversity_topk, hybrid_search, rerank_lexical, get_doc, reconstruct_doc, summary_pending,
-        summary_cost, timeline, recent_activity, expand_context, expand_references, expand_siblings, eval_queries, eval_breakdown, eval_gate, judge_report, judge_pass_rates, latency_summary,
+        summary_cost, timeline, recent_activity, expand_context, expand_references, expand_siblings, eval_queries, eval_breakdown, eval_gate, eval_compare, seeded_shuffle, rolling_budget, throughput, format_results, judge_report, judge_pass_rates, latency_summary,
         list_sources_stale, hash_embed, html_extract,
     )
 }
@@ -449,6 +481,19 @@ SELECT id, updated_at FROM a ORDER BY updated_at DESC, id LIMIT 20""",
     "eval_breakdown": f"WITH {_EVAL} SELECT source_type, count(*) AS n, round(avg(recall), 6) AS recall, round(avg(mrr), 6) AS mrr, round(avg(ndcg), 6) AS ndcg FROM scores GROUP BY source_type",
     "eval_gate": f"""WITH {_EVAL}, s AS (SELECT avg(recall) AS r, avg(ndcg) AS n FROM scores)
 SELECT 'recall' AS metric, round(r, 6) AS value, 0.95::DOUBLE AS floor, r >= 0.95 AS passed FROM s UNION ALL SELECT 'ndcg', round(n, 6), 0.85::DOUBLE, n >= 0.85 FROM s""",
+    "eval_compare": f"""WITH {_EVAL}, {_list_sql("fts", "f")},
+hit2 AS (SELECT query_id, key, min(position) AS p FROM f JOIN keys USING (id) WHERE position <= 10 AND (query_id, key) IN (SELECT query_id, key FROM w) GROUP BY ALL),
+agg2 AS (SELECT query_id, min(p) AS fst, sum(CASE WHEN p <= 5 THEN 1 / log2(p + 1.0) ELSE 0 END) AS dcg FROM hit2 GROUP BY query_id),
+scores2 AS (SELECT q.query_id, CASE WHEN fst <= 5 THEN 1.0 ELSE 0.0 END AS recall, coalesce(1.0 / fst, 0) AS mrr,
+  coalesce(dcg / list_sum(list_transform(range(1, least(n_keys, 5) + 1), lambda i: 1 / log2(i + 1.0))), 0) AS ndcg FROM q LEFT JOIN agg2 USING (query_id))
+SELECT 'vector' AS config, count(*) AS n, round(avg(recall), 6) AS recall, round(avg(mrr), 6) AS mrr, round(avg(ndcg), 6) AS ndcg FROM scores
+UNION ALL SELECT 'fts', count(*), round(avg(recall), 6), round(avg(mrr), 6), round(avg(ndcg), 6) FROM scores2""",
+    "seeded_shuffle": """SELECT query_id, rowid, row_number() OVER (PARTITION BY query_id ORDER BY sha256(query_id::VARCHAR || chr(31) || rowid::VARCHAR))::INT AS place
+FROM (SELECT DISTINCT query_id, rowid FROM search_hits)""",
+    "rolling_budget": """SELECT event_id, sum(length(props)) OVER (PARTITION BY user_id ORDER BY floor(epoch(ts))::BIGINT RANGE BETWEEN 60 PRECEDING AND CURRENT ROW)::BIGINT AS spent FROM events""",
+    "throughput": "SELECT event_type, round(count(value) / sum(value), 6) AS per_second FROM events WHERE value > 0 GROUP BY event_type",
+    "format_results": f"""WITH {_list_sql("vector", "v")}, h AS (SELECT query_id, rowid AS id, min(distance) AS distance FROM search_hits WHERE scorer = 'vector' AND NOT isnan(distance) GROUP BY ALL)
+SELECT query_id, position::INT AS position, printf('[%d] %s:%s d=%.4f', position, source_type, source_key, distance) AS line FROM v JOIN h USING (query_id, id) JOIN chunks ON chunks.rowid = v.id WHERE position <= 5""",
     "judge_report": f"""WITH {_RATERS}, x AS (SELECT human_faithful::INT AS a, judged_faithful::INT AS b, coalesce(adversarial, false) AS adv FROM rt WHERE human_faithful IS NOT NULL),
 s AS (SELECT count(*) AS n, avg((a = b)::INT) AS po, avg(a) AS pa, avg(b) AS pb, sum(adv::INT)::BIGINT AS t, sum((adv AND b = 0)::INT)::BIGINT AS c FROM x)
 SELECT n, round(po, 9) AS agreement, round((po - (pa * pb + (1 - pa) * (1 - pb))) / (1 - (pa * pb + (1 - pa) * (1 - pb))), 9) AS kappa, t AS adversarial_total, c AS adversarial_caught FROM s""",

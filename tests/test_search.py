@@ -82,6 +82,12 @@ def test_fts_weight(spark):
     assert [x[0] for x in q.select(search.fts_weight(F.col("q"), [r"\bTKT-\d+\b"])).collect()] == [1.0, 0.25, 1.0, 1.0]
 
 
+def test_strict_queries(spark):
+    q = df(spark, [(1, "cat OR dog"), (2, "a-b-c-d-e"), (3, "cat dog"), (4, None)], "query_id bigint, query string")
+    assert {x["query_id"] for x in search.query_terms(q, strict=True).collect()} == {3}
+    assert {x["query_id"] for x in search.query_terms(q).collect()} == {1, 2, 3}
+
+
 CH = "id string, source_type string, source_key string, chunk_index int, content string, extra map<string,string>"
 
 

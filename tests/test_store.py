@@ -194,6 +194,14 @@ def test_engine_end_to_end(spark, tmp_path, monkeypatch, capsys):
     gate.write_text('{"recall": 0.9}')
     assert cli.main(["--config", str(cfg), "eval", str(q), "--gate", str(gate)]) == 0
     assert '"recall": 1.0' in capsys.readouterr().out
+    assert cli.main(["--config", str(cfg), "benchmark", str(q), "--runs", "1"]) == 0 and '"per_second"' in capsys.readouterr().out
+    (tmp_path / "fake_client.py").write_text("def summary(text):\n    return text[:5]\n\n\ndef verdict(case):\n    return {'faithfulness': {'passed': True}}\n")
+    monkeypatch.syspath_prepend(str(tmp_path))
+    spark.sparkContext.addPyFile(str(tmp_path / "fake_client.py"))
+    assert cli.main(["--config", str(cfg), "summarize", "--client", "fake_client:summary"]) == 0
+    assert e.__class__(spark, e.config).get_summary("notes", "beta").first()["summary"] == "beta\n"
+    (tmp_path / "cases.json").write_text('{"query": "q", "answer": "a", "human_faithful": true}\n')
+    assert cli.main(["--config", str(cfg), "judge", str(tmp_path / "cases.json"), "--client", "fake_client:verdict", "--floor", "0.8"]) == 0
     assert cli.main(["--config", str(cfg), "sources"]) == 0 and "configured" in capsys.readouterr().out
     assert cli.main(["--config", str(cfg), "reset"]) == 2 and cli.main(["--config", str(cfg), "reset", "--yes"]) == 0
     assert cli.main(["--config", str(tmp_path / "none.toml"), "stats"]) == 2
