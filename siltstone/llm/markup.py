@@ -538,9 +538,10 @@ def clean(text: str | None, trees: Boosted | None = None) -> str | None:
     """
     if not text:
         return text
+    given, text = text, one_line_end(text)
     nodes = read([text], trees)[0]
     if not any(n.language for n in nodes):
-        return text
+        return given
     languages = [n.language for n in nodes if n.language]
     main = max(set(languages), key=languages.count)
     out, at = [], 0
@@ -581,10 +582,14 @@ def _plain_lines(s: str, language: int) -> str:
     return ("\n\n" if lead.count("\n") > 1 else "\n" if "\n" in lead else " " if lead else "") + body + ("\n\n" if tail.count("\n") > 1 else "\n" if "\n" in tail else " " if tail else "")
 
 
+def one_line_end(text: str) -> str:
+    return text.replace("\r\n", "\n").replace("\r", "\n") if "\r" in text else text
+
+
 def without_title(text: str, title: str | None) -> str:
     """A chunk's text after the title line or ``[title]`` that was put before it."""
     first, _, rest = text.partition("\n")
-    if re.fullmatch(r"\[[^\[\]]*\]\r?", first) and (not rest or rest[:1] in "\r\n"):
+    if re.fullmatch(r"\[[^\[\]]*\]", first) and (not rest or rest[0] == "\n"):
         return rest
     if title and first.strip() == title.strip():
         return rest
@@ -604,7 +609,8 @@ def find(df: DataFrame, item: str, text: str, in_field: str, title: str | None =
         for b in batches:
             for lo in range(0, b.num_rows, 1000):
                 c = b.slice(lo, 1000)
-                own = [without_title(t, h) if t and (h is not None or title) else t or "" for t, h in zip(c.column(1).to_pylist(), c.column(2).to_pylist(), strict=True)]
+                texts_ = [one_line_end(t or "") for t in c.column(1).to_pylist()]
+                own = [without_title(t, h) if title else t for t, h in zip(texts_, c.column(2).to_pylist(), strict=True)]
                 ids, kinds, said = [], [], []
                 for i, t, nodes in zip(c.column(0).to_pylist(), own, read(own, trees), strict=True):
                     if nodes:

@@ -414,16 +414,18 @@ def test_decoding_prefers_consistent_choices():
 
 def test_clean():
     assert markup.clean("<h1>A &amp; b</h1><p>one <b>two</b></p><ul><li>x<li>y</ul>") == "# A & b\n\none two\n\n- x\n\n- y"
+    assert markup.clean("== A ==\r\n\r\n* x ''y''\r* z\r\n[[Category:q]]") == "# A\n\n- x y\n\n- z"
     assert markup.clean(None) is None and markup.clean("") == "" and markup.clean("plain * text") == "plain * text"
 
 
 def test_markup_table(spark):
-    df = spark.createDataFrame([(1, "T\n\n# H", "T"), (2, "[T]\n\n# H", "T"), (3, None, "T"), (4, "", None), (5, "<b>" * 3000, None), (6, "[T]\n\nplain", None)], "rowid bigint, content string, title string")
+    df = spark.createDataFrame([(1, "T\n\n# H", "T"), (2, "[T]\n\n# H", "T"), (3, None, "T"), (4, "", None), (5, "<b>" * 3000, None), (6, "[T]\n\nplain", None), (0, "T\r\n\r\nHead\r\n----\r\n\r\n~~~\r\nx\r\n~~~\r\n", "T")], "rowid bigint, content string, title string")
     got = rows(markup.find(df, "rowid", "content", "f", title="title").filter("item_id < '5'"))
-    assert got == [("f", i, *p) for i in "12" for p in (("heading", "H"), ("markup", "markdown"))]
+    assert [r for r in got if r[1] == "0"] == [("f", "0", "code_block", "x"), ("f", "0", "heading", "Head"), ("f", "0", "markup", "markdown")]
+    assert [r for r in got if r[1] != "0"] == [("f", i, *p) for i in "12" for p in (("heading", "H"), ("markup", "markdown"))]
     assert markup.find(df.filter("rowid > 5"), "rowid", "content", "f", title="title").collect() == []
     c = markup.clean_column(df, "content")
-    assert c.columns == df.columns and c.count() == 6
+    assert c.columns == df.columns and c.count() == 7
 
 
 def test_boosting_learns():
