@@ -23,6 +23,7 @@ K1, B, IDF_FLOOR, RRF_K = 1.2, 0.75, 1e-6, 60
 DECIMALS = 9
 MAX_QUERY_BYTES = 64 << 20
 REFERENCE_SCAN = 20_000
+INDEX_BUCKETS = 64
 
 
 def over_fetch(top_k: int) -> int:
@@ -151,14 +152,52 @@ def bm25(chunks: DataFrame, queries: DataFrame, k: int, id: str = "id", content:
     if longest > 1:
         hits = hits.filter(F.slice("ahead", 1, F.col("n")) == F.col("phrase"))
     tf = hits.groupBy("key", "id", "len").agg(F.count(F.lit(1)).alias("tf"))
+    return _best(tf, terms, stats["docs"], stats["avgdl"], k)
+
+
+def _best(tf: DataFrame, terms: DataFrame, n_docs: int, avgdl: float | None, k: int, sources: Sequence[str] | None = None) -> DataFrame:
+    """The k best of each query from term counts (key, id, len, tf); ``sources`` filters after the frequencies."""
     df = tf.groupBy("key").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.greatest(F.log((F.lit(float(stats["docs"])) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(0.0))
+    idf = F.greatest(F.log((F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(0.0))
     weight = F.when(idf > 0, idf).otherwise(F.lit(IDF_FLOOR))
-    gain = weight * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(float(stats["avgdl"] or 1))))
-    scored = tf.join(df, "key").join(terms.select("query_id", "key"), "key").groupBy("query_id", "id").agg(F.round(-F.sum(gain), DECIMALS).alias("score"))
+    gain = weight * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(float(avgdl or 1))))
+    counted = tf.filter(F.col("source_type").isin(list(sources))) if sources else tf
+    scored = counted.join(df, "key").join(terms.select("query_id", "key"), "key").groupBy("query_id", "id").agg(F.round(-F.sum(gain), DECIMALS).alias("score"))
     return scored.withColumn("position", position([F.col("score"), F.col("id")])).filter(F.col("position") <= k)
 
 
+def term_bucket(c: Column) -> Column:
+    return F.pmod(F.xxhash64(c), F.lit(INDEX_BUCKETS)).cast("int")
+
+
+def postings(chunks: DataFrame, content: str = "content") -> tuple[DataFrame, int, float]:
+    """The full-text index: (term, id, source_type, len, positions), the number of texts and their average length."""
+    docs = chunks.select("id", "source_type", porter.analyse_column(F.col(content)).alias("t")).withColumn("len", F.size("t"))
+    stats = docs.agg(F.count(F.lit(1)).alias("docs"), F.avg("len").alias("avgdl")).first()
+    each = docs.select("id", "source_type", "len", F.posexplode("t").alias("p", "term"))
+    rows = each.groupBy("term", "id", "source_type", "len").agg(F.sort_array(F.collect_list("p")).alias("positions"))
+    return rows, stats["docs"], float(stats["avgdl"] or 0.0)
+
+
+def bm25_indexed(index: tuple[DataFrame, int, float], queries: DataFrame, k: int, text: str = "query", strict: bool = False, sources: Sequence[str] | None = None) -> DataFrame:
+    """As ``bm25`` with stemming, from an index: only the query words' postings are read.
+
+    A phrase's places are the common ones of its words' positions, each shifted by the word's place in it.
+    Frequencies are those of the whole index, also with ``sources``.
+    """
+    rows, n_docs, avgdl = index
+    terms = query_terms(queries, text, True, strict).withColumn("key", F.concat_ws(" ", "phrase"))
+    words_ = terms.select("key", "phrase").distinct().select("key", F.size("phrase").alias("n"), F.posexplode("phrase").alias("i", "term"))
+    on = ["term"]
+    if "bucket" in rows.columns:  # the files' partitions: only the words' ones are read
+        words_, on = words_.withColumn("bucket", term_bucket(F.col("term"))), ["bucket", "term"]
+    met = rows.join(words_, on).withColumn("at", F.transform("positions", lambda p: p - F.col("i")))
+    own = met.groupBy("key", "n", "id", "source_type", "len").agg(F.collect_list("at").alias("at")).filter(F.size("at") == F.col("n"))
+    both = F.aggregate("at", F.element_at("at", 1), lambda a, x: F.array_intersect(a, x))
+    tf = own.select("key", "id", "source_type", "len", F.size(both).alias("tf")).filter("tf > 0")
+    return _best(tf, terms, n_docs, avgdl, k, sources)
+
+
 ID_HINT = r"`[^`]+`|\".+?\""
 
 
@@ -227,12 +266,12 @@ def attach_summaries(chunks: DataFrame, summaries: DataFrame) -> DataFrame:
 def hybrid(
     chunks: DataFrame, queries: DataFrame, top_k: int = 5, sources: Sequence[str] | None = None, dedupe: bool = True, per_type: int | None = 3, use_fts: bool = True,
     vector_weight: float = 1.0, text_weight: float | None = None, patterns: Sequence[str] = (), scorer: Callable[[Column, Column], Column] | None = None, pool: int = 30,
-    summaries: DataFrame | None = None, stemmed: bool = True, max_distance: float | None = None,
+    summaries: DataFrame | None = None, stemmed: bool = True, max_distance: float | None = None, index: tuple[DataFrame, int, float] | None = None,
 ) -> DataFrame:
     """query_id, position, id, source_type, source_key, vec_distance, bm25, distance, rrf of the best chunks.
 
     ``chunks`` has id, source_type, source_key, content and embedding; ``queries`` query_id, query and embedding.
-    ``sources`` filters before the search.  ``distance`` is the vector's where there is one, else the BM25 score.
+    ``index``: from ``postings``; else the texts are analysed anew.  ``sources`` filters before the search.  ``distance`` is the vector's where there is one, else the BM25 score.
     """
     if sources:
         chunks = chunks.filter(F.col("source_type").isin(list(sources)))
@@ -243,7 +282,7 @@ def hybrid(
     lists: list = [(vec, vector_weight)]
     text = None
     if use_fts:
-        text = bm25(chunks, queries, n, stemmed=stemmed)
+        text = bm25_indexed(index, queries, n, sources=sources) if index else bm25(chunks, queries, n, stemmed=stemmed)
         w = F.lit(float(text_weight)) if text_weight is not None else fts_weight(F.col("query"), patterns)
         lists.append((text.join(queries.select("query_id", w.alias("w")), "query_id"), F.col("w")))
     fused = fuse(lists)

@@ -143,6 +143,22 @@ class Store:
             self._save("chunks", merged.filter("action <> 'deleted'").drop("action"), dim=self.dim or self.meta.get("dim"))
         return {a: counts.get(a, 0) for a in ("inserted", "updated", "skipped", "deleted")}
 
+    def build_index(self) -> None:
+        """Writes the full-text index of the present chunks: postings by bucket of the term, sorted by it, so that a
+        query reads a few row groups of a few files."""
+        from siltstone.operators.search import INDEX_BUCKETS, postings, term_bucket
+
+        rows, docs, avgdl = postings(self.chunks())
+        at = f"postings-{self.meta.get('version', 0) + 1:012d}"
+        rows.withColumn("bucket", term_bucket(F.col("term"))).repartition(INDEX_BUCKETS, "bucket").sortWithinPartitions("bucket", "term", "id").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{at}")
+        self._commit(postings=at, postings_of=self.meta.get("chunks"), docs=docs, avgdl=avgdl)
+
+    def index(self) -> tuple[DataFrame, int, float] | None:
+        """The index, if it is one of the present chunks."""
+        if "postings" not in self.meta or self.meta["postings_of"] != self.meta.get("chunks"):
+            return None
+        return self.spark.read.parquet(f"{self.path}/{self.meta['postings']}"), self.meta["docs"], self.meta["avgdl"]
+
     def delete_source(self, source_type: str) -> int:
         """Drops a source's chunks; its summaries stay."""
         rows = self.chunks()

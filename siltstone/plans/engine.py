@@ -52,6 +52,8 @@ class Engine:
                 done += ingesting.ingest(self.store, docs, self.backend)
             except Exception as e:
                 failed.append((s.name, f"{type(e).__name__}: {e}"))
+        if self.store.index() is None and "chunks" in self.store.meta:
+            self.store.build_index()
         return done, failed
 
     def queries(self, texts: Sequence[str]) -> DataFrame:
@@ -62,7 +64,7 @@ class Engine:
         """search_knowledge, for one or many queries."""
         texts = [texts] if isinstance(texts, str) else list(texts)
         r = self.config.retriever
-        how = {"per_type": r.max_per_source_type, "use_fts": r.hybrid, "patterns": [p for p, _ in self.config.patterns]} | how
+        how = {"per_type": r.max_per_source_type, "use_fts": r.hybrid, "patterns": [p for p, _ in self.config.patterns], "index": self.store.index()} | how
         return search.hybrid(self.store.chunks(), self.queries(texts), _within(top_k or r.top_k, 1, 60, "top_k"), _list(sources), **how)
 
     def formatted(self, found: DataFrame) -> DataFrame:

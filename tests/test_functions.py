@@ -108,7 +108,7 @@ def test_analysis():
 
 
 def test_bm25_matches_fts5(spark):
-    from siltstone.operators.search import bm25
+    from siltstone.operators.search import bm25, bm25_indexed, postings
 
     r = random.Random(1)
     words = ["cat", "cats", "running", "ran", "state", "art", "of", "the", "note", "notes", "index"]
@@ -119,6 +119,13 @@ def test_bm25_matches_fts5(spark):
     q = spark.createDataFrame(list(enumerate(queries)), "query_id bigint, query string")
     for x in bm25(spark.createDataFrame(docs, "id bigint, content string"), q, 60).collect():
         got.setdefault(x["query_id"], {})[x["id"]] = x["score"]
+    index = postings(spark.createDataFrame(docs, "id bigint, content string").withColumn("source_type", F.when(F.col("id") < 30, "a").otherwise("b")))
+    indexed = {}
+    for x in bm25_indexed(index, q, 60).collect():
+        indexed.setdefault(x["query_id"], {})[x["id"]] = x["score"]
+    assert indexed == got
+    only = {(x["query_id"], x["id"]): x["score"] for x in bm25_indexed(index, q, 60, sources=["a"]).collect()}
+    assert only == {(n, i): s for n, own in got.items() for i, s in own.items() if i < 30}
     for i, text_ in enumerate(queries):
         match = " OR ".join(f'"{t}"' if "-" in t else t for t in text_.split())
         want = dict(c.execute("select rowid, rank from f where f match ? order by rank", (match,)).fetchall())
