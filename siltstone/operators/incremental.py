@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone.runtime import cut
+
 BUCKETS = 1 << 14
 
 
@@ -160,12 +162,11 @@ def work_list(chunks: DataFrame, commits: DataFrame, runs: DataFrame, summaries:
     Nulls: see ``digest``, ``latest_arrivals`` and ``latest_summaries``.  Empty tables give what follows from
     the definition (no commits: every id; no chunks: nothing).  Extra columns are ignored.
     """
-    latest = latest_arrivals(chunks)
-    todo = pending(latest.select("id", "hash"), committed_hashes(commits, runs), ["id"], "hash", buckets)
+    latest = cut(latest_arrivals(chunks))
+    todo = pending(latest.select("id", "hash"), cut(committed_hashes(commits, runs)), ["id"], "hash", buckets)
     keys = ["source_type", "source_key"]
-    made = latest_summaries(summaries)
-    wanted = made.select(*keys)
-    today = document_hashes(latest.join(wanted, keys, "left_semi"), chunks)
+    made = cut(latest_summaries(summaries))
+    today = cut(document_hashes(latest.join(made.select(*keys), keys, "left_semi"), chunks))
     stale = pending(today, made, keys, "hash", buckets)
     return todo.select(F.lit("chunk").alias("target"), F.col("id").alias("item_id")).unionByName(
         stale.select(F.lit("summary").alias("target"), F.concat_ws(":", *keys).alias("item_id"))
@@ -199,8 +200,6 @@ class IncrementalTable:
 
     def refresh(self, source: DataFrame, derive: Callable[[DataFrame], DataFrame], after_write: Callable[[], None] | None = None) -> int:
         """Bring the table up to date; returns the number of buckets that were recomputed."""
-        from siltstone.runtime import cut
-
         run = self.head()
         now = cut(fingerprints(source, self.keys, self.values, self.buckets))
         empty = self.spark.createDataFrame([], "bucket int, n bigint, lo bigint, hi bigint")
