@@ -95,7 +95,7 @@ def load(path: str | Path) -> Config:
         valid_patterns([r.pattern for r in references])
     except (re.error, ValueError) as e:
         raise ConfigError(f"[[references]]: {e}") from e
-    main = raw.get("corpus", raw.get("store", {}))
+    main = raw.get("store", raw.get("corpus", {}))
     return Config(here(main.get("path", main.get("db_path", "store"))), embedder, retriever, tuple(sources), references)
 
 
@@ -103,5 +103,5 @@ def render(store: str, source: SourceConfig, embedder: EmbedderConfig) -> str:
     """A configuration file for one source."""
     from siltstone.functions.text import toml_string as q
 
-    lines = ["[corpus]", f"path = {q(store)}", "", "[embedder]", f"provider = {q(embedder.provider)}", f"model = {q(embedder.model)}", f"dim = {embedder.dim}", "", "[[sources]]", f"name = {q(source.name)}", f"type = {q(source.type)}", f"path = {q(source.path)}"]
+    lines = ["[store]", f"path = {q(store)}", "", "[embedder]", f"provider = {q(embedder.provider)}", f"model = {q(embedder.model)}", f"dim = {embedder.dim}", "", "[[sources]]", f"name = {q(source.name)}", f"type = {q(source.type)}", f"path = {q(source.path)}"]
     return "\n".join(lines + ([f"glob = {q(source.glob)}"] if source.glob else [])) + "\n"
