@@ -258,6 +258,32 @@ def test_recall_on_the_table(spark, sf):
     assert len(want & got) >= 0.95 * len(want)
 
 
+def hot(n, noise, inner=0.0, dim=64, family=1, seed=11):
+    """rowid -> vector: two thirds in clusters of 20, a third in one tight group, there as shuffled families if inner."""
+    r = np.random.default_rng(seed)
+    unit = lambda m: (lambda c: c / np.linalg.norm(c, axis=1, keepdims=True))(r.normal(size=(m, dim)))
+    m = n // 3
+    spread = np.repeat(unit((n - m) // 20 + 1), 20, 0)[: n - m]
+    kin = np.repeat(noise * r.normal(size=(m // family + 1, dim)), family, 0)[:m]
+    x = np.concatenate([spread + 0.0088 * r.normal(size=spread.shape), unit(1) + kin + inner * r.normal(size=(m, dim))])
+    return dict(zip(r.permutation(n).tolist(), x.tolist()))
+
+
+@pytest.mark.parametrize(("noise", "inner", "family"), [(0.001, 0.0, 1), (0.002, 0.0002, 5)])
+def test_neighbours_in_a_hot_group(spark, noise, inner, family):
+    v = hot(1800, noise, inner, family=family)
+    got = {}
+    for x in neighbours.nearest(spark.createDataFrame(list(v.items()), "rowid bigint, embedding array<float>"), block=32, halo=8).collect():
+        got.setdefault(x["id"], set()).add(x["neighbour"])
+    ids, x = list(v), np.array(list(v.values()), np.float32).astype(float)
+    recall = []
+    for i in range(len(ids)):
+        d = ((x - x[i]) ** 2).sum(1)
+        d[i] = np.inf
+        recall.append(len(got[ids[i]] & {ids[j] for j in np.argsort(d)[:5]}) / 5)
+    assert np.mean(recall) >= 0.98 and np.mean(recall[-600:]) >= 0.98  # the hot group comes last
+
+
 # 7: near-copies
 
 
