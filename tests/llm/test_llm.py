@@ -5,6 +5,7 @@ import random
 import sys
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -284,6 +285,22 @@ def test_neighbours_in_a_hot_group(spark, noise, inner, family):
     assert np.mean(recall) >= 0.98 and np.mean(recall[-600:]) >= 0.98  # the hot group comes last
 
 
+@pytest.mark.parametrize(("noise", "offset"), [(3e-5, 0.0), (0.0088, 30.0)])
+def test_rounding_hides_no_neighbour(noise, offset):
+    r = np.random.default_rng(3)
+    c = r.normal(size=(64, 64))
+    x = (np.repeat(c / np.linalg.norm(c, axis=1, keepdims=True), 20, 0) + noise * r.normal(size=(1280, 64)) + offset).astype(np.float32)
+    v = dict(zip(r.permutation(1280).tolist(), x.tolist()))
+    ids = np.array(list(v))
+    one = pa.record_batch([pa.array(np.zeros(1280, np.int32)), pa.array(np.zeros(1280, np.int64)), pa.array(ids), pa.array(list(x), pa.list_(pa.float32()))], ["ordering", "hkey", "id", "v"])
+    got = {i: near for b in neighbours._windows(5, 1280, 256)(iter([one])) for i, near in zip(b.column(0).to_pylist(), b.column(1).to_pylist())}
+    y = x.astype(float)
+    for a, i in enumerate(ids.tolist()):
+        d = np.sqrt(((y - y[a]) ** 2).sum(1))
+        d[a] = np.inf
+        assert got[i] == ids[np.lexsort((ids, d))[:5]].tolist()
+
+
 # 7: near-copies
 
 
