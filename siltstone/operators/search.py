@@ -85,14 +85,26 @@ def _nearest_block(vectors: DataFrame, block: list[tuple], k: int, id: str, vect
                 continue
             x = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, dim)
             ids = b.column(0).to_pylist()
-            near = norms[:, None] - 2 * (matrix @ x.T) + (x * x).sum(1)[None]
+            rank = np.empty(len(ids), np.int64)
+            rank[sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i]))] = np.arange(len(ids))
+            rows_of: dict = {}
+            for i, own in enumerate(ids if exclude_self else []):
+                rows_of.setdefault(own, []).append(i)
+            xx = (x * x).sum(1)
+            near = norms[:, None] - 2 * (matrix @ x.T) + xx[None]
             for q in range(len(names)):
-                # candidates by the fast form, with room for its rounding; then exact distances
-                d = near[q]
-                take = np.argpartition(d, min(k + 8, len(d) - 1))[: k + 9] if len(d) > k + 9 else np.arange(len(d))
-                exact = np.sqrt(((x[take] - matrix[q]) ** 2).sum(1))
-                exact = np.round(exact, DECIMALS)
-                pool = [(e, ids[i]) for e, i in zip(exact, take, strict=True) if np.isfinite(e) and not (exclude_self and ids[i] == names[q])]
+                # the fast form less its rounding leaves all that may be among the k best, ties included; then exact distances
+                d, room = near[q], 8 * (dim + 4) * np.finfo(float).eps * (norms[q] + xx)
+                own = rows_of.get(names[q], [])
+                d[own] = np.inf
+                most = np.partition(d + room, min(k, len(d)) - 1)[min(k, len(d)) - 1]
+                limit = (np.sqrt(max(most, 0.0)) + 2 * 10.0**-DECIMALS) ** 2 if len(d) > k and np.isfinite(most) else np.inf
+                may = (d - room <= limit) | ~np.isfinite(d)
+                may[own] = False
+                take = np.flatnonzero(may)
+                exact = np.round(np.sqrt(((x[take] - matrix[q]) ** 2).sum(1)), DECIMALS)
+                best = np.lexsort((rank[take], exact))[:k]
+                pool = [(e, ids[i]) for e, i in zip(exact[best], take[best], strict=True) if np.isfinite(e)]
                 merged = sorted([*zip(best_d[q], best_i[q], strict=True), *pool])[:k]
                 best_d[q], best_i[q] = np.array([m[0] for m in merged]), [m[1] for m in merged]
         n = [len(i) for i in best_i]

@@ -164,3 +164,16 @@ def test_verdicts(spark):
     d = df(spark, [('{"faith": {"passed": true}}',), ("broken",), (None,)], "j string").select(evaluate.verdict_column(F.col("j"), ["faith", "cites"]).alias("v")).select("v.*")
     assert rows(d) == [(False, False), (False, False), (True, False)]
     assert {x["axis"]: x["pass_rate"] for x in evaluate.pass_rates(d, ["faith"]).collect()} == {"faith": pytest.approx(1 / 3)}
+
+
+def test_nearest_ties_beyond_the_room(spark):
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    x = r.normal(size=(400, 6))
+    x[50:350] = x[50]
+    ids = r.permutation(400).tolist()
+    v = list(zip(ids, x.tolist()))
+    got = search.nearest(df(spark, v, "id bigint, embedding array<double>").coalesce(1), df(spark, [(ids[60], x[60].tolist())], "query_id bigint, embedding array<double>"), 10, exclude_self=True)
+    want = sorted(set(ids[50:350]) - {ids[60]})[:10]
+    assert [i for i, in got.orderBy("position").select("id").collect()] == want
