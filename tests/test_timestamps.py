@@ -36,7 +36,9 @@ def us(*a):
     ],
 )
 def test_certain(text, zone, order, want):
-    assert ts.readings(text, zone, order) == ([(want, ts.readings(text, zone, order)[0][0][1])], True)
+    own, sure = ts.readings(text, zone, order)
+    assert [u for u, _, cost in own if cost == 0] == [want] and sure
+    assert all(cost == ts.CONTRADICTED for u, _, cost in own if u != want)
 
 
 @pytest.mark.parametrize("text", [None, "", "  ", "unknown", "n/a", "-", "2021-06-31", "0000-00-00", "2022-13-01 08:00", "2023-02-30T10:00:00Z", "31/31/2020", "2020-01-01T25:00:00Z", "2020-01-01 13:00 PM", "x" * 100_000])
@@ -47,13 +49,18 @@ def test_no_date(text):
 def test_daylight_saving():
     assert ts.readings("2023-03-26T02:30:00", "Europe/Berlin", None) == ([], False)
     twice, sure = ts.readings("2023-10-29T02:30:00", "Europe/Berlin", None)
-    assert [t for t, _ in twice] == [us(2023, 10, 29, 0, 30), us(2023, 10, 29, 1, 30)] and not sure
-    assert ts.readings("2018-11-04", "America/Sao_Paulo", None) == ([(us(2018, 11, 4, 3), "ymd")], True)  # the day begins at one
+    assert [t for t, _, c in twice if c == 0] == [us(2023, 10, 29, 0, 30), us(2023, 10, 29, 1, 30)] and not sure
+    day, sure = ts.readings("2018-11-04", "America/Sao_Paulo", None)  # the day begins at one
+    assert [x[0] for x in day if x[2] == 0] == [us(2018, 11, 4, 3)] and sure
     assert ts.readings("2023-10-29T02:30:00+02:00", "Europe/Berlin", None)[1]
 
 
 def brute(nodes):
-    return min(itertools.product(*nodes), key=lambda p: round(sum(ts._step(a, b) for a, b in itertools.pairwise(p)), 9))
+    return min(itertools.product(*nodes), key=lambda p: round(whole(p), 9))
+
+
+def whole(path):
+    return sum(x[2] for x in path) + sum(ts._step(a, b) for a, b in itertools.pairwise(path))
 
 
 def test_viterbi_is_exact_over_partitions(spark):
@@ -63,22 +70,21 @@ def test_viterbi_is_exact_over_partitions(spark):
     none = spark.createDataFrame([("s", "UTC", None)], "source_type string, tz string, date_order string")
     got = {x["rowid"]: x["epoch_us"] for x in ts.normalise(df, none, ["stamp"]).collect()}
     nodes = [ts.readings(t, "UTC", None)[0] for *_, t in src]
-    cost = lambda path: sum(ts._step(a, b) for a, b in itertools.pairwise(path))
     mine = [next(n for n in own if n[0] == got[i]) for i, own in enumerate(nodes)]
-    assert cost(mine) == pytest.approx(cost(brute(nodes)))
+    assert whole(mine) == pytest.approx(whole(brute(nodes)))
 
 
 def test_stitch_equals_one_partition():
     r = random.Random(5)
-    nodes = [[(r.randint(0, 10**13), f) for f in r.sample(["dmy", "mdy"], r.choice([1, 2, 2, 2]))] for _ in range(10)]
-    best = sum(ts._step(a, b) for a, b in itertools.pairwise(brute(nodes)))
+    nodes = [[(r.randint(0, 10**13), f, r.choice([0.0, 0.0, 3.0])) for f in r.sample(["dmy", "mdy"], r.choice([1, 2, 2, 2]))] for _ in range(10)]
+    best = whole(brute(nodes))
     for cuts in ([4], [1, 2, 7], [9]):
         parts = [nodes[a:b] for a, b in itertools.pairwise([0, *cuts, 10])]
         edges = []
         for i, p in enumerate(parts):
-            cost = [[0.0 if a == b else float("inf") for b in range(len(p[0]))] for a in range(len(p[0]))]
+            cost = [[p[0][a][2] if a == b else float("inf") for b in range(len(p[0]))] for a in range(len(p[0]))]
             for prev, now in itertools.pairwise(p):
-                cost = [[min(c[j] + ts._step(prev[j], x) for j in range(len(prev))) for x in now] for c in cost]
+                cost = [[min(c[j] + ts._step(prev[j], x) + x[2] for j in range(len(prev))) for x in now] for c in cost]
             edges.append({"part": i, "source": "s", "stamp_field": "f", "first_us": [x[0] for x in p[0]], "first_fmt": [x[1] for x in p[0]], "last_us": [x[0] for x in p[-1]], "last_fmt": [x[1] for x in p[-1]], "cost": cost})
         chosen = ts._stitch(edges)
         total = sum(edges[i]["cost"][chosen[i, "s", "f"][0]][chosen[i, "s", "f"][1]] for i in range(len(parts)))
@@ -92,3 +98,22 @@ def test_nulls_and_empty(spark):
     assert ts.normalise(spark.createDataFrame([], schema), so, ["created_at"]).collect() == []
     df = spark.createDataFrame([(1, None, None, "2020-01-01", "x"), (2, "a", 1, None, "x"), (3, "a", 1, "2020-01-01", "x")], schema)
     assert {(r["rowid"], r["exact"]) for r in ts.normalise(df, so, ["created_at"]).collect()} == {(1, False), (3, True)}
+
+
+def test_the_path_decides_where_nothing_is_declared(spark):
+    """The first, the last or the likeliest single reading would be wrong: only the record order tells the date order."""
+    src = [(i, "s", i, f"{i % 28 + 1:02d}/{i // 28 + 3:02d}/2020 10:00") for i in range(168)]
+    df = spark.createDataFrame(src, "rowid bigint, source_type string, load_seq bigint, stamp string")
+    none = spark.createDataFrame([("s", "UTC", None)], "source_type string, tz string, date_order string")
+    got = {x["rowid"]: x for x in ts.normalise(df, none, ["stamp"]).collect()}
+    assert {x["format"] for x in got.values()} == {"dmy"}
+    assert all(got[i]["epoch_us"] == us(2020, i // 28 + 3, i % 28 + 1, 10) for i in range(168))
+    assert got[0]["readings"] == 2 and not got[0]["exact"] and got[20]["exact"]
+
+
+def test_settings_outweigh_the_path(spark):
+    src = [(i, "s", i, f"{d:02d}/{m:02d}/2020 10:00") for i, (d, m) in enumerate([(1, 2), (3, 1), (5, 4), (4, 1)])]
+    df = spark.createDataFrame(src, "rowid bigint, source_type string, load_seq bigint, stamp string")
+    so = spark.createDataFrame([("s", "Europe/Berlin", "mdy")], "source_type string, tz string, date_order string")
+    got = sorted((x["rowid"], x["epoch_us"], x["exact"]) for x in ts.normalise(df, so, ["stamp"]).collect())
+    assert got == [(0, us(2020, 1, 2, 9), True), (1, us(2020, 3, 1, 9), True), (2, us(2020, 5, 4, 8), True), (3, us(2020, 4, 1, 8), True)]
