@@ -8,18 +8,20 @@ Two layers:
 * ``IncrementalTable`` keeps a derived table partitioned the same way.  A run recomputes the partitions
   whose fingerprint differs from that of the last successful run, replaces them by dynamic partition
   overwrite, and records the new fingerprints last.  A run that dies in between leaves the old
-  fingerprints, so the next run recomputes the same partitions and overwrites them with the same rows:
-  nothing is skipped and nothing is repeated.
+  fingerprints and the list of partitions it was about to replace, so the next run recomputes these and what
+  changed since: nothing is skipped and nothing is repeated.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from siltstone.runtime import cut
 
@@ -178,7 +180,9 @@ class IncrementalTable:
 
     ``derive(rows)`` gets all source rows of the changed buckets and returns their derived rows; it must not
     mix buckets and must keep the key columns.  State is one small Parquet file set of fingerprints per
-    successful run at ``path/state/run=N``; the last one with a success marker counts.
+    successful run at ``path/state/run=N``; the last one with a success marker counts.  Before a run touches data
+    it names the buckets it will replace in ``path/intent``; what an unfinished run may have replaced is recomputed
+    by the next one, also if the source has gone back to what the last successful run saw.
     """
 
     def __init__(self, spark: SparkSession, path: str, keys: Sequence[str], values: Sequence[str], buckets: int = 256):
@@ -189,35 +193,60 @@ class IncrementalTable:
         p = jvm.org.apache.hadoop.fs.Path(self.path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
 
+    def _complete(self, folder: str) -> list[str]:
+        """Names of the file sets in a folder that were written completely."""
+        fs, path = self._fs()
+        at = path(f"{self.path}/{folder}")
+        names = [x.getPath().getName() for x in fs.listStatus(at)] if fs.exists(at) else []
+        return [n for n in names if fs.exists(path(f"{self.path}/{folder}/{n}/_SUCCESS"))]
+
     def head(self) -> int:
         """Number of the last run whose fingerprints were written completely, or 0."""
-        fs, path = self._fs()
-        state = path(f"{self.path}/state")
-        if not fs.exists(state):
-            return 0
-        runs = [x.getPath() for x in fs.listStatus(state) if x.getPath().getName().startswith("run=")]
-        return max((int(p.getName()[4:]) for p in runs if fs.exists(path(f"{p}/_SUCCESS"))), default=0)
+        return max((int(n[4:]) for n in self._complete("state") if n.startswith("run=")), default=0)
 
     def refresh(self, source: DataFrame, derive: Callable[[DataFrame], DataFrame], after_write: Callable[[], None] | None = None) -> int:
         """Bring the table up to date; returns the number of buckets that were recomputed."""
-        run = self.head()
+        run, intents = self.head(), self._complete("intent")
+        fs, path = self._fs()
         now = cut(fingerprints(source, self.keys, self.values, self.buckets))
         empty = self.spark.createDataFrame([], "bucket int, n bigint, lo bigint, hi bigint")
         then = self.spark.read.parquet(f"{self.path}/state/run={run}") if run else empty
-        diff = cut(changed_buckets(now, then.select("bucket", "n", "lo", "hi")))
+        diff = changed_buckets(now, then.select("bucket", "n", "lo", "hi")).select("bucket")
+        if intents:
+            diff = diff.unionByName(self.spark.read.schema("bucket int").parquet(*[f"{self.path}/intent/{n}" for n in intents])).distinct()
+        diff = cut(diff)
         n = diff.count()
         if n or not run:
-            rows = source.withColumn("bucket", bucket(self.keys, self.buckets)).join(diff.filter(~F.col("gone")).select("bucket"), "bucket", "left_semi")
-            out = cut(derive(rows.drop("bucket")).withColumn("bucket", bucket(self.keys, self.buckets)))
+            diff.write.mode("overwrite").parquet(f"{self.path}/intent/{run + 1}-{len(intents)}")
+            rows = source.withColumn("bucket", bucket(self.keys, self.buckets)).join(diff, "bucket", "left_semi")
+            out = derive(rows.drop("bucket")).withColumn("bucket", bucket(self.keys, self.buckets))
+            self._keep_schema(out)
+            out = cut(out)
             out.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{self.path}/data")
             # a dynamic overwrite leaves partitions that have no rows any more; there are at most self.buckets
-            fs, path = self._fs()
             for r in diff.join(out.select("bucket").distinct(), "bucket", "left_anti").toLocalIterator():
                 fs.delete(path(f"{self.path}/data/bucket={r['bucket']}"), True)
             if after_write:
                 after_write()
             now.write.mode("overwrite").parquet(f"{self.path}/state/run={run + 1}")
+        # only once the new fingerprints are whole; what is left here by a crash only costs a recomputation
+        for name in self._complete("intent"):
+            fs.delete(path(f"{self.path}/intent/{name}"), True)
+        for name in self._complete("state"):
+            if int(name[4:]) < run:
+                fs.delete(path(f"{self.path}/state/{name}"), True)
         return n
 
+    def _keep_schema(self, out: DataFrame) -> None:
+        fs, path = self._fs()
+        at = path(f"{self.path}/schema")
+        if not fs.exists(at):
+            self.spark.createDataFrame([(out.schema.json(),)], "value string").write.mode("overwrite").text(f"{self.path}/schema")
+
     def read(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/data")
+        """The derived rows; a table whose source never had a row is empty."""
+        schema = StructType.fromJson(json.loads(self.spark.read.text(f"{self.path}/schema").first()[0]))
+        fs, path = self._fs()
+        if not fs.exists(path(f"{self.path}/data")):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(f"{self.path}/data")

@@ -84,3 +84,28 @@ def test_failed_run_is_repeated(spark, tmp_path):
     assert t.head() == 1
     assert t.refresh(make({"a": 2}), derive) == 1
     assert [(r["id"], r["total"]) for r in t.read().collect()] == [("a", 2)]
+
+
+def test_a_source_that_goes_back_after_a_failed_run(spark, tmp_path):
+    t = inc.IncrementalTable(spark, str(tmp_path / "t"), ["id"], ["v"], 4)
+    make = lambda d: spark.createDataFrame(list(d.items()), "id string, v bigint")
+
+    def fail():
+        raise OSError("lost")
+
+    a = {str(i): i for i in range(40)}
+    t.refresh(make(a), derive)
+    for _ in range(2):  # two runs die after the write
+        with pytest.raises(OSError):
+            t.refresh(make(a | {"0": 99, "new": 1}), derive, fail)
+    assert t.refresh(make(a), derive) >= 1
+    assert {r["id"]: r["total"] for r in t.read().collect()} == a
+    assert t.refresh(make(a), derive) == 0  # nothing is repeated once a run is whole
+
+
+def test_table_of_an_empty_source(spark, tmp_path):
+    t = inc.IncrementalTable(spark, str(tmp_path / "t"), ["id"], ["v"], 4)
+    assert t.refresh(spark.createDataFrame([], "id string, v bigint"), derive) == 0
+    assert t.read().collect() == [] and "total" in t.read().columns
+    t.refresh(spark.createDataFrame([("a", 1)], "id string, v bigint"), derive)
+    assert [(r["id"], r["total"]) for r in t.read().collect()] == [("a", 1)]
