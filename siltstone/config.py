@@ -17,40 +17,51 @@ class ConfigError(Exception):
 
 
 @dataclass(frozen=True)
-class EmbedderConfig:
+class Source:
+    """A folder of documents; ``type`` names its connector."""
+
+    name: str
+    type: str
+    path: str
+    glob: str | None = None
+
+
+@dataclass(frozen=True)
+class Embedding:
+    """``client`` names a ``module:function`` for providers that need one."""
+
     provider: str = "hash"
     model: str = "hash"
     dim: int = 256
+    client: str | None = None
 
 
 @dataclass(frozen=True)
-class RetrieverConfig:
+class Ranking:
+    """``scorer``: ``lexical`` or ``module:function`` of a pair scorer, which reorders the first ``pool`` hits."""
+
     top_k: int = 5
-    max_per_source_type: int | None = 3
     hybrid: bool = True
-
-
-@dataclass(frozen=True)
-class SourceConfig:
-    name: str
-    type: str
-    path: str
-    glob: str | None = None
+    max_per_source_type: int | None = 3
+    rerank: bool = False
+    scorer: str = "lexical"
+    pool: int = 30
+    top_n: int | None = None
 
 
 @dataclass(frozen=True)
 class Reference:
-    pattern: str
     source_type: str
+    pattern: str
     description: str | None = None
 
 
 @dataclass(frozen=True)
 class Config:
     store: str
-    embedder: EmbedderConfig = field(default_factory=EmbedderConfig)
-    retriever: RetrieverConfig = field(default_factory=RetrieverConfig)
-    sources: tuple[SourceConfig, ...] = ()
+    sources: tuple[Source, ...] = ()
+    embedder: Embedding = field(default_factory=Embedding)
+    retriever: Ranking = field(default_factory=Ranking)
     references: tuple[Reference, ...] = ()
 
     @property
@@ -79,27 +90,29 @@ def load(path: str | Path) -> Config:
         raise ConfigError(f"{path} is not valid TOML: {e}") from e
     base = path.resolve().parent
     here = lambda p: str((base / os.path.expanduser(p)).resolve())
-    embedder, retriever = _make(EmbedderConfig, raw.get("embedder", {}), "[embedder]"), _make(RetrieverConfig, raw.get("retriever", {}), "[retriever]")
+    embedder, retriever = _make(Embedding, raw.get("embedder", {}), "[embedder]"), _make(Ranking, raw.get("retriever", {}), "[retriever]")
     if not isinstance(embedder.dim, int) or embedder.dim <= 0:
         raise ConfigError("[embedder] dim must be a positive integer")
     if not isinstance(retriever.top_k, int) or retriever.top_k < 1:
         raise ConfigError("[retriever] top_k must be at least 1")
     sources = []
     for s in raw.get("sources", []):
-        one = _make(SourceConfig, s, "[[sources]]")
+        one = _make(Source, s, "[[sources]]")
         if not re.fullmatch(SOURCE_TYPE, one.name):
             raise ConfigError(f"[[sources]] name {one.name!r} must be lower-case letters, digits and underscores, a letter first")
-        sources.append(SourceConfig(one.name, one.type, here(one.path), one.glob))
+        sources.append(Source(one.name, one.type, here(one.path), one.glob))
     references = tuple(_make(Reference, r, "[[references]]") for r in raw.get("references", []))
     try:
         valid_patterns([r.pattern for r in references])
     except (re.error, ValueError) as e:
         raise ConfigError(f"[[references]]: {e}") from e
-    main = raw.get("store", raw.get("corpus", {}))
-    return Config(here(main.get("path", main.get("db_path", "store"))), embedder, retriever, tuple(sources), references)
+    for r in references:
+        if not re.fullmatch(SOURCE_TYPE, r.source_type):
+            raise ConfigError(f"[[references]] source_type {r.source_type!r} must be lower-case letters, digits and underscores, a letter first")
+    return Config(here(raw.get("store", {}).get("path", "store")), tuple(sources), embedder, retriever, references)
 
 
-def render(store: str, source: SourceConfig, embedder: EmbedderConfig) -> str:
+def render(store: str, source: Source, embedder: Embedding) -> str:
     """A configuration file for one source."""
     from siltstone.functions.text import toml_string as q
 

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import importlib
 import re
 from collections.abc import Callable, Iterator, Sequence
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pandas as pd
@@ -16,16 +17,20 @@ Backend = Callable[[Sequence[str]], Sequence[Sequence[float] | None]]
 
 
 class Hashing:
-    """Signed feature hashing of lower-case alphanumeric words, normalised; the same everywhere, needs no key."""
+    """Signed feature hashing of lower-case alphanumeric words, normalised; the same everywhere, needs no key.
 
-    def __init__(self, dim: int = 256) -> None:
+    ``digest``: ``blake2b``, or ``md5`` where another system must make the same vectors."""
+
+    def __init__(self, dim: int = 256, digest: str = "blake2b") -> None:
         if dim <= 0:
             raise ValueError(f"an embedding needs a positive dimension, not {dim}")
-        self.dim = dim
+        self.dim, self.digest = dim, digest
         self.place = lru_cache(1 << 16)(self._place)
 
     def _place(self, word: str) -> tuple[int, float]:
-        h = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "big")
+        # fixed values: eight bytes, the first the highest; bit 1 is the sign
+        raw = hashlib.md5(word.encode(), usedforsecurity=False).digest()[:8] if self.digest == "md5" else hashlib.blake2b(word.encode(), digest_size=8).digest()
+        h = int.from_bytes(raw, "big")
         return h % self.dim, 1.0 if h & 2 else -1.0
 
     def one(self, text: str) -> list[float]:
@@ -45,10 +50,10 @@ class Hashing:
         return self.one(text)
 
     def __getstate__(self) -> dict:
-        return {"dim": self.dim}
+        return {"dim": self.dim, "digest": self.digest}
 
     def __setstate__(self, state: dict) -> None:
-        self.__init__(state["dim"])
+        self.__init__(state["dim"], state["digest"])
 
 
 class Remote:
@@ -101,10 +106,49 @@ class Remote:
         return out
 
 
-PROVIDERS: dict[str, Callable[..., Backend]] = {"hash": lambda dim=256, **_: Hashing(dim)}
+#: How many texts and characters the two kinds of remote service take in one request.
+LIMITS = {"voyage": {"max_inputs": 128, "max_chars": 400_000}, "gemini": {"max_inputs": 100, "max_chars": 250_000}}
+
+
+class Served(Remote):
+    """A remote service by name: ``client(texts, kind, dim)`` returns vectors, kind is ``document`` or ``query``."""
+
+    def __init__(self, client: Callable, dim: int, tokens_per_minute: int | None = None, **limits) -> None:
+        super().__init__(partial(client, kind="document", dim=dim), tokens_per_minute=tokens_per_minute, **limits)
+        self.client, self.dim = client, dim
+
+    def _send(self, batch: list[str]) -> list:
+        got = super()._send(batch)
+        if any(v is not None and len(v) != self.dim for v in got):
+            raise RuntimeError(f"the embedding service returned a vector that has not {self.dim} numbers")
+        return got
+
+    def query(self, text: str) -> list[float]:
+        if not text or not text.strip():
+            raise ValueError("a query must not be blank")
+        return list(self.client([text], kind="query", dim=self.dim)[0])
+
+
+def load_client(name: str) -> Callable:
+    """``module:function``."""
+    module, _, function = name.partition(":")
+    return getattr(importlib.import_module(module), function)
+
+
+def _served(name: str) -> Callable[..., Backend]:
+    def make(dim: int = 1024, client: str | Callable | None = None, tokens_per_minute: int | None = None, **_) -> Backend:
+        if client is None:
+            raise ValueError(f"the embedding provider {name!r} needs client = 'module:function'")
+        return Served(load_client(client) if isinstance(client, str) else client, dim, tokens_per_minute, **LIMITS[name])
+
+    return make
+
+
+PROVIDERS: dict[str, Callable[..., Backend]] = {"hash": lambda dim=256, **_: Hashing(dim), **{n: _served(n) for n in LIMITS}}
 
 
 def provider(name: str, **options) -> Backend:
+    """A backend by its configured name; ``PROVIDERS`` may be added to."""
     if name not in PROVIDERS:
         raise ValueError(f"unknown embedding provider {name!r}; known: {', '.join(sorted(PROVIDERS))}")
     return PROVIDERS[name](**options)

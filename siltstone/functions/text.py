@@ -106,6 +106,21 @@ def metadata_json(*names: str) -> Column:
     return F.to_json(F.struct(*[F.col(n) for n in names]))
 
 
+def parse_metadata(c: Column, schema: str) -> Column:
+    """The struct that ``metadata_json`` wrote; unreadable texts are null."""
+    return F.from_json(c, schema)
+
+
+def thousands(n: Column) -> Column:
+    """A whole number with a comma before every three digits."""
+    return F.format_number(n.cast("bigint"), 0)
+
+
+def clipped(c: Column, chars: int, mark: str = "...") -> Column:
+    """The first ``chars`` characters, with a mark where something was cut."""
+    return F.when(F.length(c) > chars, F.concat(F.substring(c, 1, chars), F.lit(mark))).otherwise(c)
+
+
 def result_line(rank: Column, source_type: Column, source_key: Column, distance: Column) -> Column:
     return F.format_string("[%d] %s:%s d=%.4f", rank, source_type, source_key, distance)
 

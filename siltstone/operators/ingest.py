@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,11 +40,12 @@ def latest(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 
-def ingest(store: Store, docs: DataFrame, backend: Backend, whole_source: bool = True, after_embed: Callable[[], None] | None = None) -> list[dict]:
+def ingest(store: Store, docs: DataFrame, backend: Backend, whole_source: bool = True, after_embed: Callable[[], None] | None = None, sources: Sequence[str] = ()) -> list[dict]:
     """Bring the store in line with ``docs``; one report per source.
 
-    Only changed chunks are embedded; chunks without a vector (blank ones) are dropped and counted as neither
-    upserted nor skipped.  With ``whole_source`` the sources' other chunks are deleted.
+    Only changed chunks are embedded; chunks without a vector (blank or refused ones) are not written and counted as
+    neither upserted nor skipped, but a stored chunk of their id stays.  With ``whole_source`` the sources' other
+    chunks are deleted: those of ``docs`` and of ``sources``, which may have no document any more.
     """
     unique = first_wins(docs)
     made = cut(latest(chunk(unique)))
@@ -53,13 +54,14 @@ def ingest(store: Store, docs: DataFrame, backend: Backend, whole_source: bool =
         after_embed()
     rest = made.join(fresh.select("id"), "id", "left_anti").withColumn("embedding", F.lit(None).cast("array<float>"))
     incoming = fresh.filter("embedding is not null").unionByName(rest)
-    sources = [r[0] for r in docs.select("source_type").distinct().collect()]  # configured sources
-    report = store.upsert(incoming, sources if whole_source else ())
+    every = sorted({r[0] for r in docs.select("source_type").distinct().collect()} | set(sources))  # configured sources
+    done = store.upsert(incoming, every if whole_source else (), seen=made.select("id"))
     per = docs.groupBy("source_type").agg(F.count(F.lit(1)).alias("documents"))
     kept = unique.groupBy("source_type").agg(F.count(F.lit(1)).alias("unique"))
     parts = made.groupBy("source_type").agg(F.count(F.lit(1)).alias("chunks"))
     rows = per.join(kept, "source_type").join(parts, "source_type", "left").na.fill(0)
-    return [r.asDict() | report for r in rows.orderBy("source_type").collect()]
+    found = {r["source_type"]: r.asDict() for r in rows.collect()}
+    return [{"source_type": s, "documents": 0, "unique": 0, "chunks": 0} | found.get(s, {}) | done for s in every]
 
 
 def report(before: DataFrame, incoming: DataFrame) -> DataFrame:

@@ -21,16 +21,22 @@ def seeded_order(seed: Column, key: Column) -> Column:
     return F.sha2(F.concat_ws("\x1f", seed, key), 256)
 
 
-def contexts(ranked: DataFrame, chunks: DataFrame, chars: int = 4000) -> DataFrame:
-    """query_id, context: the texts of each query's hits, shuffled by the query's seed.  Hits a query are few."""
-    rows = ranked.join(chunks.select("id", "content"), "id")
-    entry = F.struct(seeded_order(F.col("query_id").cast("string"), F.col("id")).alias("o"), "source_key", F.substring("content", 1, chars).alias("text"))
+def contexts(ranked: DataFrame, chunks: DataFrame) -> DataFrame:
+    """query_id, context: the whole texts of each query's hits, shuffled by the query's seed.  Hits a query are few."""
+    rows = ranked.select("query_id", "id", "source_key").join(chunks.select("id", "content"), "id")
+    entry = F.struct(seeded_order(F.col("query_id").cast("string"), F.col("id")).alias("o"), "source_key", F.col("content").alias("text"))
     own = rows.groupBy("query_id").agg(F.sort_array(F.collect_list(entry)).alias("c"))
     return own.select("query_id", F.transform("c", lambda x: F.struct(x["source_key"].alias("source_key"), x["text"].alias("text"))).alias("context"))
 
 
+def context_text(context: Column) -> Column:
+    """A context as one text: a line with each entry's key before its text."""
+    return F.array_join(F.transform(context, lambda x: F.concat(F.lit("[source_key: "), x["source_key"], F.lit("]\n"), F.coalesce(x["text"], F.lit("")))), "\n\n")
+
+
 def _call(df: DataFrame, columns: Sequence[str], client: Callable[[dict], dict], to: str) -> DataFrame:
-    """df with ``to``: the client's JSON answer for a row; null where it failed for good."""
+    """df with ``to``: the client's JSON answer for a row, of which it also gets context_text; null where it failed
+    for good."""
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         def one(payload: str) -> str | None:
@@ -43,13 +49,13 @@ def _call(df: DataFrame, columns: Sequence[str], client: Callable[[dict], dict],
             yield s.map(one)
 
     run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return df.withColumn(to, F.pandas_udf(run, "string")(F.to_json(F.struct(*columns))))
+    return df.withColumn(to, F.pandas_udf(run, "string")(F.to_json(F.struct(*columns, *([context_text(F.col("context")).alias("context_text")] if "context" in columns else [])))))
 
 
 def answer(questions: DataFrame, client: Callable[[dict], dict]) -> DataFrame:
     """questions (query, context) with answer and cited_keys, of which only keys of the context count."""
     got = _call(questions, ["query", "context"], client, "_a")
-    parsed = F.from_json("_a", "struct<answer:string,cited_keys:array<string>>")
+    parsed = F.from_json("_a", "struct<answer:string,cited_keys:array<string>>")  # any other shape is no answer
     known = F.transform("context", lambda c: c["source_key"])
     return got.withColumn("answer", parsed["answer"]).withColumn("cited_keys", F.array_intersect(F.coalesce(parsed["cited_keys"], F.array().cast("array<string>")), known)).drop("_a")
 
@@ -60,6 +66,13 @@ def judge(cases: DataFrame, client: Callable[[dict], dict], axes: Sequence[str]
     return got.withColumn("verdict", verdict_column(F.col("_v"), axes)).drop("_v")
 
 
+def draft_cases(questions: DataFrame, client: Callable[[dict], dict]) -> DataFrame:
+    """Answers to questions (query, context, note) as cases whose human verdict is still to be given."""
+    made = answer(questions, client)
+    note = F.col("note") if "note" in made.columns else F.lit("")
+    return made.select("query", "answer", "cited_keys", "context", F.lit(None).cast("boolean").alias("human_faithful"), F.lit(False).alias("adversarial"), note.alias("note"))
+
+
 def write_cases(cases: DataFrame, path: str) -> None:
     """Cases as JSON lines, to be labelled and read again by ``read_cases``."""
     cases.write.mode("overwrite").json(path)

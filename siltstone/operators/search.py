@@ -1,7 +1,8 @@
 """Ranked search over chunks: exact nearest vectors, BM25, reciprocal rank fusion, reranking and diversity.
 
-All operators take many queries at once; a single query is a table of one.  Queries are a stated, small side:
-``MAX_QUERY_BYTES`` bounds what is sent to the workers with the vector search, beyond it they go in blocks.
+All operators take many queries at once; a single query is a table of one.  Queries are a stated side: the vector
+search sends them to the workers in blocks of at most ``MAX_QUERY_BYTES``, and full-text search sends their words along
+only while there are at most ``MAX_WORDS``; beyond that they are joined.
 """
 
 from __future__ import annotations
@@ -17,13 +18,15 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import porter
 from siltstone.functions.text import fts_terms
+from siltstone.runtime import cut
 
 K1, B, IDF_FLOOR, RRF_K = 1.2, 0.75, 1e-6, 60
 #: Scores and distances are rounded to so many decimals before they are compared, so that equal ones tie.
 DECIMALS = 9
-MAX_QUERY_BYTES = 64 << 20
+MAX_QUERY_BYTES, MAX_WORDS = 64 << 20, 5_000
+#: Distances that a task of the vector search holds at once.
+TILE = 1 << 22
 REFERENCE_SCAN = 20_000
-INDEX_BUCKETS = 64
 
 
 def over_fetch(top_k: int) -> int:
@@ -41,7 +44,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, id: str = "id", vect
     """query_id, id, distance, position: the k nearest vectors of each query by Euclidean distance, ties by id.
 
     ``queries`` has query_id and a vector.  Each task keeps its own k best of every query, so the shuffle carries
-    tasks times queries times k rows, not all pairs.  Vectors of null, other length or with non-finite numbers
+    tasks times queries times k rows, not all pairs; a task holds TILE distances at once.  Vectors of null, other length or with non-finite numbers
     have no distance and are left out.
     """
     out = None
@@ -78,38 +81,53 @@ def _nearest_block(vectors: DataFrame, block: list[tuple], k: int, id: str, vect
     id_type, qid_type = dict(rows.dtypes)["id"], "bigint" if all(isinstance(n, int) for n in names) else "string"
     norms = (matrix * matrix).sum(1)
 
+    step = max(1, min(len(names), TILE // 8192))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best_d, best_i = [np.empty(0)] * len(names), [[] for _ in names]
-        for b in batches:
-            if not b.num_rows:
-                continue
-            x = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, dim)
-            ids = b.column(0).to_pylist()
-            rank = np.empty(len(ids), np.int64)
-            rank[sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i]))] = np.arange(len(ids))
-            rows_of: dict = {}
-            for i, own in enumerate(ids if exclude_self else []):
-                rows_of.setdefault(own, []).append(i)
-            xx = (x * x).sum(1)
-            near = norms[:, None] - 2 * (matrix @ x.T) + xx[None]
-            for q in range(len(names)):
-                # the fast form less its rounding leaves all that may be among the k best, ties included; then exact distances
-                d, room = near[q], 8 * (dim + 4) * np.finfo(float).eps * (norms[q] + xx)
-                own = rows_of.get(names[q], [])
-                d[own] = np.inf
-                most = np.partition(d + room, min(k, len(d)) - 1)[min(k, len(d)) - 1]
-                limit = (np.sqrt(max(most, 0.0)) + 2 * 10.0**-DECIMALS) ** 2 if len(d) > k and np.isfinite(most) else np.inf
-                may = (d - room <= limit) | ~np.isfinite(d)
-                may[own] = False
-                take = np.flatnonzero(may)
-                exact = np.round(np.sqrt(((x[take] - matrix[q]) ** 2).sum(1)), DECIMALS)
-                best = np.lexsort((rank[take], exact))[:k]
-                pool = [(e, ids[i]) for e, i in zip(exact[best], take[best], strict=True) if np.isfinite(e)]
-                merged = sorted([*zip(best_d[q], best_i[q], strict=True), *pool])[:k]
-                best_d[q], best_i[q] = np.array([m[0] for m in merged]), [m[1] for m in merged]
-        n = [len(i) for i in best_i]
+        best = [(np.empty(0), []) for _ in names]
+        place = {n: q for q, n in enumerate(names)} if exclude_self else {}
+        for whole in batches:
+            for at in range(0, whole.num_rows, 8192):
+                b = whole.slice(at, 8192)
+                x = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, dim)
+                xx = (x * x).sum(1)
+                finite = np.isfinite(xx)
+                x, xx, ids = x[finite], xx[finite], b.column(0).filter(pa.array(finite)).to_pylist()
+                if not ids:
+                    continue
+                rank = np.empty(len(ids), np.int64)
+                rank[sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i]))] = np.arange(len(ids))
+                own = [(place[n], i) for i, n in enumerate(ids) if n in place]
+                for lo in range(0, len(names), step):  # a tile of queries and rows
+                    hi = min(lo + step, len(names))
+                    d = norms[lo:hi, None] - 2 * (matrix[lo:hi] @ x.T) + xx[None]
+                    for q, i in own:
+                        if lo <= q < hi:
+                            d[q - lo, i] = np.nan
+                    # the fast form less its rounding leaves all that may be among the k best, ties included
+                    room = 8 * (dim + 4) * np.finfo(float).eps * (norms[lo:hi] + xx.max())
+                    kth = np.partition(d, k - 1, axis=1)[:, k - 1] if d.shape[1] > k else np.full(hi - lo, np.inf)
+                    held = np.array([b_[0][-1] if len(b_[0]) == k else np.inf for b_ in best[lo:hi]])  # no worse than what is there
+                    limit = np.minimum(np.sqrt(np.maximum(kth + room, 0)), held) + 2 * 10.0**-DECIMALS
+                    qs, at_ = np.nonzero(d - room[:, None] <= (limit * limit)[:, None])
+                    exact = np.empty(len(qs))
+                    for c in range(0, len(qs), TILE // dim):
+                        diff = x[at_[c : c + TILE // dim]] - matrix[lo + qs[c : c + TILE // dim]]
+                        exact[c : c + TILE // dim] = np.round(np.sqrt(np.einsum("ij,ij->i", diff, diff)), DECIMALS)
+                    use = np.isfinite(exact)
+                    qs, at_, exact = qs[use], at_[use], exact[use]
+                    order = np.lexsort((rank[at_], exact, qs))
+                    qs, at_, exact = qs[order], at_[order], exact[order]
+                    first = np.arange(len(qs)) - np.searchsorted(qs, qs) < k
+                    qs, at_, exact = qs[first], at_[first], exact[first]
+                    edges = [*np.flatnonzero(np.r_[True, qs[1:] != qs[:-1]]).tolist(), len(qs)] if len(qs) else []
+                    for a, z in zip(edges, edges[1:]):
+                        q = lo + int(qs[a])
+                        pool = sorted([*zip(best[q][0].tolist(), best[q][1], strict=True), *zip(exact[a:z].tolist(), [ids[i] for i in at_[a:z]], strict=True)])[:k]
+                        best[q] = np.array([p for p, _ in pool]), [i for _, i in pool]
+        n = [len(i) for _, i in best]
         yield pa.record_batch(
-            [pa.array([names[q] for q in range(len(names)) for _ in range(n[q])]), pa.array([i for own in best_i for i in own]), pa.array(np.concatenate(best_d) if names else [])],
+            [pa.array([names[q] for q in range(len(names)) for _ in range(n[q])]), pa.array([i for _, own_ in best for i in own_]), pa.array(np.concatenate([d for d, _ in best]) if names else [])],
             ["query_id", "id", "distance"],
         )
 
@@ -152,15 +170,16 @@ def bm25(chunks: DataFrame, queries: DataFrame, k: int, id: str = "id", content:
     map side: counts are made before the shuffle.  Null contents are empty texts.
     """
     tokens = porter.analyse_column(F.col(content)) if stemmed else F.filter(F.split(F.lower(F.coalesce(content, F.lit(""))), r"(?U)[^\p{L}\p{N}]+"), lambda t: t != "")
-    docs = chunks.select(F.col(id).alias("id"), tokens.alias("t")).withColumn("len", F.size("t"))
     terms = query_terms(queries, text, stemmed, strict).withColumn("key", F.concat_ws(" ", "phrase"))
-    distinct = terms.select("key", "phrase", F.col("phrase")[0].alias("w"), F.size("phrase").alias("n")).distinct()
+    distinct = cut(terms.select("key", "phrase", F.col("phrase")[0].alias("w"), F.size("phrase").alias("n")).distinct())
     longest = distinct.agg(F.max("n")).first()[0] or 1
+    some = [r[0] for r in distinct.select("w").distinct().limit(MAX_WORDS + 1).collect()]
+    at = F.transform("t", lambda w, p: F.struct(w.alias("w"), (F.slice("t", p + 1, longest) if longest > 1 else F.array(w)).alias("ahead")))
+    if len(some) <= MAX_WORDS:  # only places of the queries' words are kept
+        at = F.filter(at, lambda x: x["w"].isin(some)) if some else F.slice(at, 1, 0)
+    docs = cut(chunks.select(F.col(id).alias("id"), tokens.alias("t")).select("id", F.size("t").alias("len"), at.alias("at")))
     stats = docs.agg(F.count(F.lit(1)).alias("docs"), F.avg("len").alias("avgdl")).first()
-    each = docs.select("id", "len", F.posexplode("t").alias("p", "w"), *(["t"] if longest > 1 else []))
-    if longest > 1:
-        each = each.withColumn("ahead", F.slice("t", F.col("p") + 1, longest)).drop("t")
-    hits = each.join(distinct, "w")
+    hits = docs.select("id", "len", F.explode("at").alias("x")).select("id", "len", "x.w", "x.ahead").join(distinct, "w")
     if longest > 1:
         hits = hits.filter(F.slice("ahead", 1, F.col("n")) == F.col("phrase"))
     tf = hits.groupBy("key", "id", "len").agg(F.count(F.lit(1)).alias("tf"))
@@ -178,21 +197,16 @@ def _best(tf: DataFrame, terms: DataFrame, n_docs: int, avgdl: float | None, k:
     return scored.withColumn("position", position([F.col("score"), F.col("id")])).filter(F.col("position") <= k)
 
 
-def term_bucket(c: Column) -> Column:
-    return F.pmod(F.xxhash64(c), F.lit(INDEX_BUCKETS)).cast("int")
-
-
-def postings(chunks: DataFrame, content: str = "content") -> tuple[DataFrame, int, float]:
-    """The full-text index: (term, id, source_type, len, positions), the number of texts and their average length."""
-    docs = chunks.select("id", "source_type", porter.analyse_column(F.col(content)).alias("t")).withColumn("len", F.size("t"))
-    stats = docs.agg(F.count(F.lit(1)).alias("docs"), F.avg("len").alias("avgdl")).first()
-    each = docs.select("id", "source_type", "len", F.posexplode("t").alias("p", "term"))
-    rows = each.groupBy("term", "id", "source_type", "len").agg(F.sort_array(F.collect_list("p")).alias("positions"))
-    return rows, stats["docs"], float(stats["avgdl"] or 0.0)
+def postings(chunks: DataFrame, content: str = "content", keep: Sequence[str] = ("source_type",)) -> DataFrame:
+    """The full-text index: term, id, len, positions and the columns ``keep``.  Null contents have no word."""
+    docs = chunks.select("id", *keep, porter.analyse_column(F.col(content)).alias("t")).withColumn("len", F.size("t"))
+    each = docs.select("id", *keep, "len", F.posexplode("t").alias("p", "term"))
+    return each.groupBy("term", "id", *keep, "len").agg(F.sort_array(F.collect_list("p")).alias("positions"))
 
 
 def bm25_indexed(index: tuple[DataFrame, int, float], queries: DataFrame, k: int, text: str = "query", strict: bool = False, sources: Sequence[str] | None = None) -> DataFrame:
-    """As ``bm25`` with stemming, from an index: only the query words' postings are read.
+    """As ``bm25`` with stemming, from an index (postings, number of texts, their average length): only the query
+    words' postings are read.
 
     A phrase's places are the common ones of its words' positions, each shifted by the word's place in it.
     Frequencies are those of the whole index, also with ``sources``.
@@ -200,10 +214,10 @@ def bm25_indexed(index: tuple[DataFrame, int, float], queries: DataFrame, k: int
     rows, n_docs, avgdl = index
     terms = query_terms(queries, text, True, strict).withColumn("key", F.concat_ws(" ", "phrase"))
     words_ = terms.select("key", "phrase").distinct().select("key", F.size("phrase").alias("n"), F.posexplode("phrase").alias("i", "term"))
-    on = ["term"]
-    if "bucket" in rows.columns:  # the files' partitions: only the words' ones are read
-        words_, on = words_.withColumn("bucket", term_bucket(F.col("term"))), ["bucket", "term"]
-    met = rows.join(words_, on).withColumn("at", F.transform("positions", lambda p: p - F.col("i")))
+    some = [r[0] for r in words_.select("term").distinct().limit(MAX_WORDS + 1).collect()]
+    if some and len(some) <= MAX_WORDS:  # reaches the scan, whose row groups are sorted by term
+        rows = rows.filter(F.col("term").isin(some))
+    met = rows.join(words_, "term").withColumn("at", F.transform("positions", lambda p: p - F.col("i")))
     own = met.groupBy("key", "n", "id", "source_type", "len").agg(F.collect_list("at").alias("at")).filter(F.size("at") == F.col("n"))
     both = F.aggregate("at", F.element_at("at", 1), lambda a, x: F.array_intersect(a, x))
     tf = own.select("key", "id", "source_type", "len", F.size(both).alias("tf")).filter("tf > 0")
@@ -260,14 +274,16 @@ def lexical_score(query: Column, text: Column) -> Column:
     return F.coalesce(F.size(F.array_intersect(q, words(text))) / F.nullif(F.size(q), F.lit(0)), F.lit(0.0))
 
 
-def rerank(ranked: DataFrame, score: Callable[[Column, Column], Column] = lexical_score, pool: int = 30, chars: int = 4000) -> DataFrame:
-    """The first ``pool`` of each query by a pair score of query and summary with content; the rest is dropped.
+def rerank(ranked: DataFrame, score: Callable[[Column, Column], Column] = lexical_score, pool: int = 30, chars: int = 4000, top_n: int | None = None) -> DataFrame:
+    """The first ``pool`` of each query by a pair score of query and summary with content, of which ``top_n`` stay; the
+    rest is dropped.  A pair scorer reads ``chars`` characters.
 
     ``ranked`` has query_id, query, position, content and, if attached, summary.
     """
     text = F.substring(F.concat_ws("\n\n", *(["summary"] if "summary" in ranked.columns else []), "content"), 1, chars)
     scored = ranked.filter(F.col("position") <= pool).withColumn("rerank_score", score(F.col("query"), text))
-    return scored.withColumn("position", position([F.desc("rerank_score"), F.col("position")]))
+    ranked = scored.withColumn("position", position([F.desc("rerank_score"), F.col("position")]))
+    return ranked.filter(F.col("position") <= top_n) if top_n else ranked
 
 
 def attach_summaries(chunks: DataFrame, summaries: DataFrame) -> DataFrame:
@@ -278,7 +294,7 @@ def attach_summaries(chunks: DataFrame, summaries: DataFrame) -> DataFrame:
 def hybrid(
     chunks: DataFrame, queries: DataFrame, top_k: int = 5, sources: Sequence[str] | None = None, dedupe: bool = True, per_type: int | None = 3, use_fts: bool = True,
     vector_weight: float = 1.0, text_weight: float | None = None, patterns: Sequence[str] = (), scorer: Callable[[Column, Column], Column] | None = None, pool: int = 30,
-    summaries: DataFrame | None = None, stemmed: bool = True, max_distance: float | None = None, index: tuple[DataFrame, int, float] | None = None,
+    top_n: int | None = None, summaries: DataFrame | None = None, stemmed: bool = True, max_distance: float | None = None, index: tuple[DataFrame, int, float] | None = None,
 ) -> DataFrame:
     """query_id, position, id, source_type, source_key, vec_distance, bm25, distance, rrf of the best chunks.
 
@@ -288,13 +304,15 @@ def hybrid(
     if sources:
         chunks = chunks.filter(F.col("source_type").isin(list(sources)))
     n = over_fetch(top_k)
+    queries = cut(queries)
     vec = nearest(chunks, queries, n)
     if max_distance is not None:
         vec = vec.filter(F.col("distance") <= max_distance)
+    vec = cut(vec)  # at most n rows a query, used twice
     lists: list = [(vec, vector_weight)]
     text = None
     if use_fts:
-        text = bm25_indexed(index, queries, n, sources=sources) if index else bm25(chunks, queries, n, stemmed=stemmed)
+        text = cut(bm25_indexed(index, queries, n, sources=sources) if index else bm25(chunks, queries, n, stemmed=stemmed))
         w = F.lit(float(text_weight)) if text_weight is not None else fts_weight(F.col("query"), patterns)
         lists.append((text.join(queries.select("query_id", w.alias("w")), "query_id"), F.col("w")))
     fused = fuse(lists)
@@ -309,7 +327,7 @@ def hybrid(
     if scorer:
         if summaries is not None:
             rows = attach_summaries(rows, summaries)
-        rows = rerank(rows.join(queries.select("query_id", "query"), "query_id"), scorer, pool)
+        rows = rerank(rows.join(queries.select("query_id", "query"), "query_id"), scorer, pool, top_n=top_n)
     if dedupe or per_type is not None:
         rows = diversify(rows, top_k, dedupe, per_type)
     else:

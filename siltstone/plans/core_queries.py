@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siltstone.functions import chunking, embedding, text
+from siltstone.functions import chunking, embedding, porter, text
 from siltstone.operators import evaluate, incremental, ingest, judging, navigate, search, store, summaries, timestamps
-from siltstone.runtime import table
+from siltstone.runtime import cut, scratch, table
 from siltstone.sources import html
 
 REFERENCES = [(r"\bTKT-\d+\b", "tickets")]
@@ -36,7 +36,10 @@ def scrub_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def secrets_found(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "chunks").select("rowid", F.explode(text.find_secrets(F.col("content"))).alias("s"))
+    """Every content with shapes of three kinds of credentials, made of the row's own digest, put behind it."""
+    h = F.sha2(F.coalesce("content", F.lit("")), 256)
+    made = F.concat_ws(" ", "content", F.concat(F.lit("AKIA"), F.upper(F.substring(h, 1, 16))), F.concat(F.lit("ghp_"), h), F.concat(F.lit("token = "), h))
+    t = table(spark, d, "chunks").select("rowid", F.explode(text.find_secrets(made)).alias("s"))
     return t.groupBy("rowid", F.col("s.name").alias("secret_kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -128,10 +131,12 @@ def bm25_stemmed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bm25_index(spark: SparkSession, d: str) -> DataFrame:
-    """The same from an index that is made first: the two must agree."""
+    """The same from an index that is made first; ``wrong`` counts the rows in which the two differ."""
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("source_type"), F.col("text").alias("content"))
-    rows, n, avgdl = search.postings(docs)
-    return search.bm25_indexed((rows, n, avgdl), _titles(spark, d), 10).select("query_id", F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
+    size = docs.select(F.size(porter.analyse_column(F.col("content"))).alias("n")).agg(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("avgdl")).first()
+    found = search.bm25_indexed((search.postings(docs), size["docs"], size["avgdl"]), _titles(spark, d), 10)
+    both = found.select("query_id", "id", "score").withColumn("in_index", F.lit(1)).join(bm25_stemmed(spark, d).select("query_id", F.col("doc_id").alias("id"), F.col("score").alias("other")), ["query_id", "id"], "full")
+    return both.agg(F.count_if(~F.round("score", 6).eqNullSafe(F.col("other"))).alias("wrong"), (F.count("in_index") > 0).alias("some"))
 
 
 def auto_fts_weight(spark: SparkSession, d: str) -> DataFrame:
@@ -158,7 +163,7 @@ def diversity_topk(spark: SparkSession, d: str) -> DataFrame:
 def _search_tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     ok = (F.size("embedding") == 64) & F.forall("embedding", lambda x: ~F.isnan(x) & (F.abs(x) < float("inf")))
     vec = table(spark, d, "chunks_vec").filter(ok).groupBy("rowid").agg(F.min("embedding").alias("embedding"))
-    chunks = current(spark, d, "content", "title").join(vec, "rowid", "left")
+    chunks = cut(current(spark, d, "content", "title").join(vec, "rowid", "left"))  # as a store has it
     q = chunks.filter("rowid % 20 = 0 and embedding is not null and title is not null").select(F.col("rowid").alias("query_id"), F.col("title").alias("query"), "embedding")
     return chunks, q
 
@@ -216,7 +221,11 @@ def expand_context(spark: SparkSession, d: str) -> DataFrame:
 
 
 def expand_references(spark: SparkSession, d: str) -> DataFrame:
-    return navigate.expand(*_seeds(spark, d), include=["references"], patterns=REFERENCES)
+    """Every content names the last ticket that has a chunk of the same number, besides those it names itself."""
+    c = current(spark, d, "content", "extra")
+    named = c.filter("source_type = 'tickets'").groupBy("chunk_index").agg(F.max("source_key").alias("named"))
+    seeds = c.filter("rowid % 20 = 0").join(named, "chunk_index", "left").withColumn("content", F.concat_ws(" see ", "content", "named"))
+    return navigate.expand(c, seeds, include=["references"], patterns=REFERENCES)
 
 
 def expand_siblings(spark: SparkSession, d: str) -> DataFrame:
@@ -302,18 +311,76 @@ def latency_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def list_sources_stale(spark: SparkSession, d: str) -> DataFrame:
-    return navigate.stale_sources(table(spark, d, "chunks"), table(spark, d, "sources").filter("connector <> 'pdf'"))
+    """All sources, and one of which nothing is configured: that of the chunks without an extra map."""
+    c = table(spark, d, "chunks").select(F.when(F.col("extra").isNull(), "unknown").otherwise(F.col("source_type")).alias("source_type"))
+    return navigate.stale_sources(c, table(spark, d, "sources"))
 
 
 def hash_embed(spark: SparkSession, d: str) -> DataFrame:
+    """The numbers of each text's vector that are not zero; with MD5, which SQL has too."""
     docs = table(spark, d, "documents").select("doc_id", "text")
-    e = embedding.embed(docs, "text", embedding.Hashing(256))
-    return e.select("doc_id", F.size("embedding").alias("dim"))
+    e = embedding.embed(docs, "text", embedding.Hashing(256, "md5")).select("doc_id", F.posexplode("embedding").alias("place", "value"))
+    return e.filter("value <> 0").select("doc_id", "place", F.round(F.col("value").cast("double"), 6).alias("value"))
 
 
 def html_extract(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "chunks").filter(F.col("content").contains("<")).select("rowid", html.extract("content").alias("x"))
-    return c.select("rowid", text.sha256(F.col("x.body")).alias("body_hash"))
+    c = table(spark, d, "chunks").select("rowid", html.extract("content").alias("x"))
+    return c.select("rowid", text.sha256(F.col("x.body")).alias("body_hash"), "x.title", "x.author", "x.url", "x.created")
+
+
+def _one_chunk_documents(rows: DataFrame) -> DataFrame:
+    """A document for each row (id, source_type, content): its title is the id, its body two digests."""
+    body = F.concat_ws(" ", F.sha2("id", 256), F.sha2(F.coalesce("content", F.lit("")), 256))
+    null = [F.lit(None).cast("string").alias(c) for c in ("url", "author", "created_at", "updated_at")]
+    return rows.select("source_type", F.col("id").alias("source_key"), F.col("id").alias("title"), *null, body.alias("body"), F.col("id").alias("path"), F.lit(0).cast("bigint").alias("load_seq"))
+
+
+class _Refusing:
+    """An embedder that refuses texts whose second digest begins with a zero."""
+
+    def __call__(self, texts: list) -> list:
+        return [None if t is None or t[-64] == "0" else [float(len(t)), 1.0] for t in texts]
+
+
+def ingest_twice(spark: SparkSession, d: str) -> DataFrame:
+    """What a store holds after two ingests: first arrivals with ids that only commits know, then the latest arrivals,
+    of which the embedder refuses some."""
+    first = first_arrivals(spark, d).select("id", "source_type", "content")
+    types = table(spark, d, "chunks").select("source_type").distinct()
+    gone = table(spark, d, "chunk_commits").filter("id is not null").select("id", F.split("id", ":")[0].alias("source_type"), F.lit(None).cast("string").alias("content")).distinct()
+    gone = gone.join(first.select("id"), "id", "left_anti").join(types, "source_type", "left_semi")
+    s = store.Store(spark, scratch(spark, "store"))
+    ingest.ingest(s, _one_chunk_documents(first.unionByName(gone)), embedding.Hashing(2))
+    ingest.ingest(s, _one_chunk_documents(current(spark, d, "content")), _Refusing())
+    return s.chunks().select("id", "content_hash")
+
+
+def incremental_refresh(spark: SparkSession, d: str) -> DataFrame:
+    """A derived table of all chunks: made from the first arrivals, then a run on the latest ones dies after its write,
+    then the source goes back (state ``back``), then a run on the latest ones ends well (state ``ahead``)."""
+    old, new = (_hashed(x).select("id", "content_hash") for x in (first_arrivals(spark, d), current(spark, d, "content")))
+    t = incremental.IncrementalTable(spark, scratch(spark, "table"), ["id"], ["content_hash"])
+    derive = lambda rows: rows.select("id", F.substring("content_hash", 1, 16).alias("short"))
+
+    def die() -> None:
+        raise InterruptedError
+
+    t.refresh(old, derive)
+    try:
+        t.refresh(new, derive, die)
+    except InterruptedError:
+        pass
+    t.refresh(old, derive)
+    back = cut(t.read().select(F.lit("back").alias("state"), "id", "short"))
+    t.refresh(new, derive)
+    return back.unionByName(t.read().select(F.lit("ahead").alias("state"), "id", "short"))
+
+
+def metadata_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Metadata as JSON and read again, and counts as shown."""
+    c = table(spark, d, "chunks").select("rowid", text.metadata_json("source_key", "chunk_index", "token_count").alias("j"))
+    m = text.parse_metadata(F.col("j"), "source_key string, chunk_index int, token_count int")
+    return c.select("rowid", m["source_key"].alias("source_key"), m["chunk_index"].alias("chunk_index"), text.thousands(m["token_count"] * 1000).alias("shown"))
 
 
 QUERIES = {
@@ -322,7 +389,7 @@ QUERIES = {
         p1_found, p2_found, scrub_chunks, secrets_found, fingerprint_dedupe, token_estimate, source_stats, distinct_keys, chunk_documents, chunk_count_long, upsert_changed, changed_rows, orphans,
         ingest_report, knn_l2, knn_batch, bm25_batch, bm25_stemmed, bm25_index, auto_fts_weight, rrf_fuse, diversity_topk, hybrid_search, rerank_lexical, get_doc, reconstruct_doc, summary_pending,
         summary_cost, timeline, recent_activity, expand_context, expand_references, expand_siblings, eval_queries, eval_breakdown, eval_gate, eval_compare, seeded_shuffle, rolling_budget, throughput, format_results, judge_report, judge_pass_rates, latency_summary,
-        list_sources_stale, hash_embed, html_extract,
+        list_sources_stale, hash_embed, html_extract, ingest_twice, incremental_refresh, metadata_round_trip,
     )
 }
 
@@ -387,7 +454,7 @@ _RATERS = """rt AS (SELECT max(distance) FILTER (WHERE scorer = 'rerank') > 0 AS
   FROM search_hits WHERE distance IS NOT NULL AND NOT isnan(distance) GROUP BY query_id, rowid)"""
 
 
-def _expand_sql(include: tuple[str, ...], limit: int) -> str:
+def _expand_sql(include: tuple[str, ...], limit: int, seeds: str = "cur") -> str:
     parts = {
         "siblings": "SELECT s.rowid AS r, s.id AS seed_id, c.id, 0 AS step, 0 AS n, '' AS ref, c.chunk_index FROM seed s JOIN cur c USING (source_type, source_key) WHERE c.id <> s.id",
         "references": r"""SELECT r, seed_id, id, 1 AS step, 0 AS n, key AS ref, chunk_index FROM (
@@ -400,7 +467,7 @@ def _expand_sql(include: tuple[str, ...], limit: int) -> str:
         "parent": "SELECT s.rowid AS r, s.id AS seed_id, c.id, 2 AS step, 0 AS n, '' AS ref, c.chunk_index FROM seed s JOIN cur c ON c.source_type = s.source_type AND c.source_key = s.extra['parent'] WHERE c.id <> s.id",
     }
     every = " UNION ALL ".join(parts[i] for i in include)
-    return f"""WITH {_CUR}, seed AS (SELECT * FROM cur WHERE rowid % 20 = 0), every AS ({every}),
+    return f"""WITH {_CUR}, seed AS (SELECT * FROM {seeds} WHERE rowid % 20 = 0), every AS ({every}),
 once AS (SELECT * FROM every QUALIFY row_number() OVER (PARTITION BY seed_id, id ORDER BY step, n, ref, chunk_index) = 1)
 SELECT seed_id, row_number() OVER (PARTITION BY seed_id ORDER BY step, n, ref, chunk_index, id)::INT AS position, id, ['siblings', 'references', 'parent'][step + 1] AS step
 FROM once QUALIFY position <= {limit}"""
@@ -425,8 +492,9 @@ UNION ALL
 SELECT 'summary', m.source_type || ':' || m.source_key FROM made m JOIN docs USING (source_type, source_key)
 WHERE m.hash IS DISTINCT FROM docs.hash""",
     "scrub_chunks": f"SELECT doc_id, sha256({_scrub_sql('text')}) AS redacted_hash FROM documents",
-    "secrets_found": "SELECT rowid, secret_kind, count(*) AS n FROM ("
-    + " UNION ALL ".join(f"SELECT rowid, '{n}' AS secret_kind, unnest(regexp_extract_all(content, '{p.replace(chr(39), chr(39) * 2)}')) AS m FROM chunks" for n, _, p in text.SECRETS)
+    "secrets_found": "WITH t AS (SELECT rowid, concat_ws(' ', content, 'AKIA' || upper(substr(h, 1, 16)), 'ghp_' || h, 'token = ' || h) AS content FROM (SELECT *, sha256(coalesce(content, '')) AS h FROM chunks))\n"
+    "SELECT rowid, secret_kind, count(*) AS n FROM ("
+    + " UNION ALL ".join(f"SELECT rowid, '{n}' AS secret_kind, unnest(regexp_extract_all(content, '{p.replace(chr(39), chr(39) * 2)}')) AS m FROM t" for n, _, p in text.SECRETS)
     + ") GROUP BY ALL",
     "fingerprint_dedupe": rf"""
 WITH f AS (SELECT doc_id, coalesce(source, '') AS source, substr(sha256(regexp_replace(regexp_replace(lower(regexp_replace(regexp_replace(coalesce(text, ''), '{text.URL}', '', 'g'), '{text.DATE}', '', 'g')),
@@ -482,7 +550,8 @@ QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY "when", j.position) <=
 a AS (SELECT * FROM pool QUALIFY row_number() OVER (PARTITION BY source_type, source_key ORDER BY updated_at DESC, id) = 1)
 SELECT id, updated_at FROM a ORDER BY updated_at DESC, id LIMIT 20""",
     "expand_context": _expand_sql(("siblings", "references", "parent"), 10),
-    "expand_references": _expand_sql(("references",), 10),
+    "expand_references": _expand_sql(("references",), 10, """(SELECT cur.* REPLACE (concat_ws(' see ', content, named) AS content) FROM cur LEFT JOIN
+  (SELECT chunk_index, max(source_key) AS named FROM cur WHERE source_type = 'tickets' GROUP BY chunk_index) USING (chunk_index))"""),
     "expand_siblings": _expand_sql(("siblings",), 5),
     "eval_queries": f"WITH {_EVAL} SELECT query_id, recall::DOUBLE AS recall, round(mrr, 9)::DOUBLE AS mrr, round(ndcg, 9)::DOUBLE AS ndcg FROM scores",
     "eval_breakdown": f"WITH {_EVAL} SELECT source_type, count(*) AS n, round(avg(recall), 6) AS recall, round(avg(mrr), 6) AS mrr, round(avg(ndcg), 6) AS ndcg FROM scores GROUP BY source_type",
@@ -509,7 +578,20 @@ SELECT 'human_faithful' AS axis, human_faithful AS ok FROM rt UNION ALL SELECT '
     "latency_summary": """SELECT event_type, count(value) AS n, round(avg(value) * 1000, 2) AS mean, round(quantile_cont(value, 0.5) * 1000, 2) AS p50, round(quantile_cont(value, 0.95) * 1000, 2) AS p95,
   round(quantile_cont(value, 0.99) * 1000, 2) AS p99, round(min(value) * 1000, 2) AS min, round(max(value) * 1000, 2) AS max FROM events GROUP BY event_type""",
     "list_sources_stale": """SELECT coalesce(c.source_type, s.source_type) AS source_type, coalesce(n, 0) AS chunks, CASE WHEN s.source_type IS NULL THEN 'stale' ELSE 'configured' END AS state
-FROM (SELECT source_type, count(*) AS n FROM chunks GROUP BY 1) c FULL JOIN (SELECT DISTINCT source_type FROM sources WHERE connector <> 'pdf') s ON s.source_type = c.source_type""",
+FROM (SELECT CASE WHEN extra IS NULL THEN 'unknown' ELSE source_type END AS source_type, count(*) AS n FROM chunks GROUP BY 1) c FULL JOIN (SELECT DISTINCT source_type FROM sources) s ON s.source_type = c.source_type""",
+    "bm25_index": "SELECT 0::BIGINT AS wrong, true AS some",
+    "hash_embed": """WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM documents),
+h AS (SELECT doc_id, ('0x' || substr(md5(w), 1, 16))::UBIGINT AS h FROM w),
+s AS (SELECT doc_id, (h % 256)::INT AS place, sum(CASE WHEN h & 2 > 0 THEN 1 ELSE -1 END)::DOUBLE AS v FROM h GROUP BY ALL HAVING v <> 0)
+SELECT doc_id, place, round((v / sqrt(sum(v * v) OVER (PARTITION BY doc_id)))::FLOAT::DOUBLE, 6) AS value FROM s""",
+    "ingest_twice": f"""WITH {_CUR}, {_FIRST},
+old AS (SELECT id, content FROM fst UNION SELECT id, NULL FROM chunk_commits WHERE id IS NOT NULL AND id NOT IN (SELECT id FROM fst) AND split_part(id, ':', 1) IN (SELECT source_type FROM chunks)),
+o AS (SELECT id, sha256(coalesce(content, '')) AS h FROM old), n AS (SELECT id, source_type, sha256(coalesce(content, '')) AS h FROM cur)
+SELECT n.source_type || ':' || id || ':section:0' AS id, sha256(id || chr(10) || chr(10) || sha256(id) || ' ' || CASE WHEN n.h[1] = '0' THEN o.h ELSE n.h END) AS content_hash
+FROM n LEFT JOIN o USING (id) WHERE n.h[1] <> '0' OR o.h IS NOT NULL""",
+    "incremental_refresh": f"""WITH {_CUR}, {_FIRST} SELECT 'back' AS state, id, substr(sha256(coalesce(content, '')), 1, 16) AS short FROM fst
+UNION ALL SELECT 'ahead', id, substr(sha256(coalesce(content, '')), 1, 16) FROM cur""",
+    "metadata_round_trip": "SELECT rowid, source_key, chunk_index, format('{:,}', token_count::BIGINT * 1000) AS shown FROM chunks",
     "summary_pending": f"""WITH {_CUR}, docs AS (SELECT source_type, source_key, substr(sha256(string_agg(coalesce(content, ''), chr(10) || chr(10) ORDER BY chunk_index, id)), 1, 32) AS doc_hash FROM cur GROUP BY ALL)
 SELECT * FROM docs d WHERE NOT EXISTS (SELECT 1 FROM summaries s WHERE s.source_type = d.source_type AND s.source_key = d.source_key AND s.doc_hash = d.doc_hash)""",
     "summary_cost": f"""WITH {_CUR}, docs AS (SELECT source_type, source_key, string_agg(coalesce(content, ''), chr(10) || chr(10) ORDER BY chunk_index, id) AS body FROM cur GROUP BY ALL),

@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.config import Config
-from siltstone.functions.embedding import Backend, provider
-from siltstone.functions.text import result_line
+from siltstone.functions.embedding import Backend, load_client, provider
+from siltstone.functions.text import clipped, result_line, thousands
 from siltstone.operators import ingest as ingesting
-from siltstone.operators import navigate, search
+from siltstone.operators import judging, navigate, search
 from siltstone.operators.store import Store
 from siltstone.sources import files
 
@@ -38,7 +38,7 @@ def _within(value: int, low: int, high: int, name: str) -> int:
 class Engine:
     def __init__(self, spark: SparkSession, config: Config, backend: Backend | None = None) -> None:
         self.spark, self.config = spark, config
-        self.backend = backend or provider(config.embedder.provider, dim=config.embedder.dim)
+        self.backend = backend or provider(config.embedder.provider, dim=config.embedder.dim, client=config.embedder.client)
         self.store = Store(spark, config.store, config.embedder.dim)
 
     def ingest(self, only: str | None = None) -> tuple[list[dict], list[tuple[str, str]]]:
@@ -49,28 +49,37 @@ class Engine:
                 continue
             try:
                 docs = files.load(self.spark, s.name, s.type, s.path, s.glob)
-                done += ingesting.ingest(self.store, docs, self.backend)
+                done += ingesting.ingest(self.store, docs, self.backend, sources=[s.name])
             except Exception as e:
                 failed.append((s.name, f"{type(e).__name__}: {e}"))
-        if self.store.index() is None and "chunks" in self.store.meta:
-            self.store.build_index()
+        self.store.build_index()
         return done, failed
 
     def queries(self, texts: Sequence[str]) -> DataFrame:
         rows = [(i, t, [float(x) for x in self.backend.query(t)] if hasattr(self.backend, "query") else list(self.backend([t])[0])) for i, t in enumerate(texts)]
         return self.spark.createDataFrame(rows, "query_id bigint, query string, embedding array<double>")
 
-    def search(self, texts: str | Sequence[str], top_k: int | None = None, sources=None, **how) -> DataFrame:
-        """search_knowledge, for one or many queries."""
-        texts = [texts] if isinstance(texts, str) else list(texts)
-        r = self.config.retriever
+    def scorer(self) -> Callable[[Column, Column], Column]:
+        """The configured pair scorer."""
+        name = self.config.retriever.scorer
+        return search.lexical_score if name == "lexical" else load_client(name)
+
+    def _find(self, texts: str | Sequence[str], top_k: int, sources, rerank: bool | None, **how) -> DataFrame:
+        texts, r = [texts] if isinstance(texts, str) else list(texts), self.config.retriever
         how = {"per_type": r.max_per_source_type, "use_fts": r.hybrid, "patterns": [p for p, _ in self.config.patterns], "index": self.store.index()} | how
-        return search.hybrid(self.store.chunks(), self.queries(texts), _within(top_k or r.top_k, 1, 60, "top_k"), _list(sources), **how)
+        if r.rerank if rerank is None else rerank:
+            how = {"scorer": self.scorer(), "pool": r.pool, "top_n": r.top_n, "summaries": self.store.summaries()} | how
+        return search.hybrid(self.store.chunks(), self.queries(texts), top_k, _list(sources), **how)
+
+    def search(self, texts: str | Sequence[str], top_k: int | None = None, sources=None, rerank: bool | None = None, **how) -> DataFrame:
+        """search_knowledge, for one or many queries.  ``rerank`` overrides the configuration."""
+        return self._find(texts, _within(top_k or self.config.retriever.top_k, 1, 20, "top_k"), sources, rerank, **how)
 
-    def formatted(self, found: DataFrame) -> DataFrame:
-        """query_id, text: results as a client shows them."""
+    def formatted(self, found: DataFrame, chars: int | None = None) -> DataFrame:
+        """query_id, text: results as a client shows them; ``chars`` cuts what is shown of each content."""
         rows = found.join(self.store.chunks().select("id", "title", "url", "content"), "id")
-        line = F.concat_ws("\n", result_line(F.col("position"), F.col("source_type"), F.col("source_key"), F.col("distance")), "title", "url", "content")
+        body = clipped(F.col("content"), chars) if chars else F.col("content")
+        line = F.concat_ws("\n", result_line(F.col("position"), F.col("source_type"), F.col("source_key"), F.col("distance")), "title", "url", body)
         own = rows.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("position", line.alias("t")))).alias("l"))
         return own.select("query_id", F.concat_ws("\n\n", F.lit(NOTICE), F.transform("l", lambda x: x["t"])).alias("text"))
 
@@ -82,9 +91,10 @@ class Engine:
         return navigate.expand(chunks, navigate.get_chunk(chunks, chunk_id), include, self.config.patterns, _within(max_results, 1, 30, "max_results"))
 
     def timeline(self, topic: str, top_k: int = 15, since: str | None = None, until: str | None = None, sources=None) -> DataFrame:
-        found = self.search(topic, _within(top_k, 1, 50, "top_k") * 3 if top_k * 3 <= 60 else 60, sources)
-        rows = found.join(self.store.chunks().select("id", "updated_at", "created_at", "title"), "id")
-        return navigate.timeline(rows, top_k, since, until)
+        """Three times ``top_k`` hits in the order of their dates, of which ``top_k`` stay."""
+        found = self._find(topic, _within(top_k, 1, 50, "top_k") * 3, sources, False, per_type=3)
+        rows = found.join(self.store.chunks().select("id", "updated_at", "created_at", "title", "content"), "id")
+        return navigate.timeline(rows, top_k, since, until).withColumn("shown", F.substring("content", 1, 600)).drop("content")
 
     def recent_activity(self, days: int = 7, top_k: int = 15, sources=None, today: str | None = None) -> DataFrame:
         at = F.lit(today).cast("date") if today else F.to_date(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()))
@@ -94,4 +104,11 @@ class Engine:
         return self.store.summaries().filter((F.col("source_type") == source_type) & (F.col("source_key") == source_key))
 
     def stats(self) -> DataFrame:
-        return navigate.counts(self.store.chunks())
+        """source_type (null: the total), n and n as shown to people."""
+        return navigate.counts(self.store.chunks()).withColumn("shown", thousands(F.col("n")))
+
+    def contexts(self, texts: Sequence[str], top_k: int = 5, rerank: bool | None = None) -> DataFrame:
+        """query_id, query, context for answering and judging."""
+        found = self.search(list(texts), top_k, rerank=rerank)
+        asked = self.spark.createDataFrame(list(enumerate(texts)), "query_id bigint, query string")
+        return asked.join(judging.contexts(found, self.store.chunks()), "query_id", "left").withColumn("context", F.coalesce("context", F.array().cast("array<struct<source_key:string,text:string>>")))
