@@ -23,7 +23,7 @@ from siltstone.runtime import cut
 K1, B, IDF_FLOOR, RRF_K = 1.2, 0.75, 1e-6, 60
 #: Scores and distances are rounded to so many decimals before they are compared, so that equal ones tie.
 DECIMALS = 9
-MAX_QUERY_BYTES, MAX_WORDS = 64 << 20, 5_000
+MAX_QUERY_BYTES, MAX_WORDS, MAX_TERMS = 64 << 20, 5_000, 100_000
 #: Distances that a task of the vector search holds at once.
 TILE = 1 << 22
 REFERENCE_SCAN = 20_000
@@ -174,26 +174,35 @@ def bm25(chunks: DataFrame, queries: DataFrame, k: int, id: str = "id", content:
     distinct = cut(terms.select("key", "phrase", F.col("phrase")[0].alias("w"), F.size("phrase").alias("n")).distinct())
     longest = distinct.agg(F.max("n")).first()[0] or 1
     some = [r[0] for r in distinct.select("w").distinct().limit(MAX_WORDS + 1).collect()]
-    at = F.transform("t", lambda w, p: F.struct(w.alias("w"), (F.slice("t", p + 1, longest) if longest > 1 else F.array(w)).alias("ahead")))
+    at = F.transform("t", lambda w, p: F.struct(w.alias("w"), p.alias("p")))
     if len(some) <= MAX_WORDS:  # only places of the queries' words are kept
         at = F.filter(at, lambda x: x["w"].isin(some)) if some else F.slice(at, 1, 0)
+    at = F.transform(at, lambda x: F.struct(x["w"].alias("w"), (F.slice("t", x["p"] + 1, longest) if longest > 1 else F.array(x["w"])).alias("ahead")))
     docs = cut(chunks.select(F.col(id).alias("id"), tokens.alias("t")).select("id", F.size("t").alias("len"), at.alias("at")))
     stats = docs.agg(F.count(F.lit(1)).alias("docs"), F.avg("len").alias("avgdl")).first()
     hits = docs.select("id", "len", F.explode("at").alias("x")).select("id", "len", "x.w", "x.ahead").join(distinct, "w")
     if longest > 1:
         hits = hits.filter(F.slice("ahead", 1, F.col("n")) == F.col("phrase"))
-    tf = hits.groupBy("key", "id", "len").agg(F.count(F.lit(1)).alias("tf"))
+    tf = hits.repartition("id").groupBy("key", "id", "len").agg(F.count(F.lit(1)).alias("tf"))
     return _best(tf, terms, stats["docs"], stats["avgdl"], k)
 
 
 def _best(tf: DataFrame, terms: DataFrame, n_docs: int, avgdl: float | None, k: int, sources: Sequence[str] | None = None) -> DataFrame:
-    """The k best of each query from term counts (key, id, len, tf); ``sources`` filters after the frequencies."""
+    """The k best of each query from term counts (key, id, len, tf); ``sources`` filters after the frequencies.
+
+    Up to MAX_TERMS terms of all queries are broadcast, so that a text's scores are summed where its counts are, and
+    only the k best of each query and task are shuffled; more are joined.
+    """
+    terms = cut(terms.select("query_id", "key"))
+    small = terms.count() <= MAX_TERMS
     df = tf.groupBy("key").agg(F.count(F.lit(1)).alias("df"))
+    few = lambda x: F.broadcast(x) if small else x
     idf = F.greatest(F.log((F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(0.0))
     weight = F.when(idf > 0, idf).otherwise(F.lit(IDF_FLOOR))
     gain = weight * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(float(avgdl or 1))))
     counted = tf.filter(F.col("source_type").isin(list(sources))) if sources else tf
-    scored = counted.join(df, "key").join(terms.select("query_id", "key"), "key").groupBy("query_id", "id").agg(F.round(-F.sum(gain), DECIMALS).alias("score"))
+    gained = counted.join(few(df), "key").select("id", "key", gain.alias("gain"))
+    scored = gained.join(few(terms), "key").groupBy("id", "query_id").agg(F.round(-F.sum("gain"), DECIMALS).alias("score")).select("query_id", "id", "score")
     return scored.withColumn("position", position([F.col("score"), F.col("id")])).filter(F.col("position") <= k)
 
 
@@ -218,7 +227,7 @@ def bm25_indexed(index: tuple[DataFrame, int, float], queries: DataFrame, k: int
     if some and len(some) <= MAX_WORDS:  # reaches the scan, whose row groups are sorted by term
         rows = rows.filter(F.col("term").isin(some))
     met = rows.join(words_, "term").withColumn("at", F.transform("positions", lambda p: p - F.col("i")))
-    own = met.groupBy("key", "n", "id", "source_type", "len").agg(F.collect_list("at").alias("at")).filter(F.size("at") == F.col("n"))
+    own = met.repartition("id").groupBy("key", "n", "id", "source_type", "len").agg(F.collect_list("at").alias("at")).filter(F.size("at") == F.col("n"))
     both = F.aggregate("at", F.element_at("at", 1), lambda a, x: F.array_intersect(a, x))
     tf = own.select("key", "id", "source_type", "len", F.size(both).alias("tf")).filter("tf > 0")
     return _best(tf, terms, n_docs, avgdl, k, sources)
