@@ -1,4 +1,4 @@
-"""Problem 8: encoding of the whole corpus with a public byte-level BPE vocabulary.
+"""Problem 8: encoding of all texts with a public byte-level BPE vocabulary.
 
 A pre-token's symbols form a doubly linked list.  Mergeable neighbours lie in buckets, one per merge rank; which
 buckets are filled is kept in a bitmap of three levels, so the next rank is found by three find-first-set steps
@@ -8,8 +8,8 @@ pre-token of n bytes takes O(n log n) steps at most (the sorting of the buckets)
 
 from __future__ import annotations
 
+import ast
 import base64
-import importlib.util
 import os
 from collections.abc import Iterator
 from functools import lru_cache
@@ -62,6 +62,18 @@ class RankQueue:
         return rank, self.buckets.pop(rank)
 
 
+@lru_cache(2)
+def vocabulary_of(folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> tuple[dict[bytes, int], str]:
+    """Merge ranks and the pattern of pre-tokens, read on the driver and sent to the workers with the job.
+
+    The pattern is the string constant PATTERN of the folder's __init__.py, which is read, not run."""
+    with open(os.path.join(folder, "__init__.py"), encoding="utf-8") as f:
+        tree = ast.parse(f.read())
+    pattern = next(ast.literal_eval(n.value) for n in tree.body if isinstance(n, ast.Assign) and any(getattr(t, "id", "") == "PATTERN" for t in n.targets))
+    with open(os.path.join(folder, f"{vocabulary}.tiktoken"), "rb") as f:
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}, pattern
+
+
 class Encoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         self.ranks, self.split = ranks, regex.compile(pattern).findall
@@ -72,12 +84,7 @@ class Encoder:
 
     @classmethod
     def load(cls, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> Encoder:
-        spec = importlib.util.spec_from_file_location("_tokenizer_pattern", os.path.join(folder, "__init__.py"))
-        module = importlib.util.module_from_spec(spec)
-        spec.loader.exec_module(module)
-        with open(os.path.join(folder, f"{vocabulary}.tiktoken"), "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        return cls(ranks, module.PATTERN)
+        return cls(*vocabulary_of(folder, vocabulary))
 
     def _pair(self, a: int, b: int) -> int | None:
         key = (a, b)
@@ -140,15 +147,31 @@ class Encoder:
 
 @lru_cache(4)
 def encoder(folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> Encoder:
-    """One encoder per Python worker."""
+    """The driver's own encoder."""
     return Encoder.load(folder, vocabulary)
 
 
+_made: dict[tuple[str, str], Encoder] = {}  # a worker's own
+
+
+def _shared(spark, folder: str, vocabulary: str):
+    """A broadcast of the vocabulary (of fixed size, under 2 MB) and a function that gives a worker's one encoder."""
+    at = spark.sparkContext.broadcast(vocabulary_of(folder, vocabulary))
+
+    def get() -> Encoder:
+        if (folder, vocabulary) not in _made:
+            _made[folder, vocabulary] = Encoder(*at.value)
+        return _made[folder, vocabulary]
+
+    return get
+
+
 def encode(df: DataFrame, key: str = "doc_id", text: str = "text", folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
     """key, ids: one row per row of df, ids an empty list for null and empty text.  Other columns are ignored."""
+    get = _shared(df.sparkSession, folder, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(folder, vocabulary)
+        enc = get()
         for b in batches:
             ids = pa.array([enc.encode(t) for t in b.column(1).to_pylist()], pa.list_(pa.int32()))
             yield pa.record_batch([b.column(0), ids], [key, "ids"])
@@ -159,9 +182,10 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", folder: str =
 
 def count(df: DataFrame, key: str = "doc_id", text: str = "text", folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
     """key, tokens: as ``encode``, only the number of ids."""
+    get = _shared(df.sparkSession, folder, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(folder, vocabulary)
+        enc = get()
         for b in batches:
             yield pa.record_batch([b.column(0), pa.array([len(enc.encode(t)) for t in b.column(1).to_pylist()], pa.int64())], [key, "tokens"])
 

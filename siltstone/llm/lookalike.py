@@ -1,6 +1,6 @@
 """Problem 10: visually identical text with different characters.
 
-``classes`` joins code points and strings that look alike by union-find over the spellings the corpus uses;
+``classes`` joins code points and strings that look alike by union-find over the spellings the texts use;
 ``canonical`` rewrites each text with an Aho-Corasick automaton over all spellings, the leftmost longest first,
 putting for each its class's most frequent member.  Two texts then compare equal exactly when they look alike.
 """
@@ -17,10 +17,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.runtime import cut
+
 #: Letters of other scripts drawn like the Latin letter above or below them.
 CYRILLIC, CYRILLIC_AS = "аеорсухѕіјһԁԛԝАВЕКМНОРСТХЅІЈУԚԜӀ", "aeopcyxsijhdqwABEKMHOPCTXSIJYQWI"
 GREEK, GREEK_AS = "ονρϲϳΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹͿ", "ovpcjABEZHIKMNOPTYXCJ"
 ARMENIAN, ARMENIAN_AS = "օսոհցԼՕՍ", "ounhgLOU"
+CHEROKEE, CHEROKEE_AS = "ᎪᏴᏟᎠᎬᏀᎻᎫᏦᏞᎷᏢᎡᏚᎢᏙᎳᏃ", "ABCDEGHJKLMPRSTVWZ"
+LISU, LISU_AS = "ꓮꓐꓚꓓꓰꓝꓖꓧꓲꓙꓗꓡꓟꓠꓳꓑꓣꓢꓔꓴꓦꓪꓫꓬꓜ", "ABCDEFGHIJKLMNOPRSTUVWXYZ"
+LATIN, LATIN_AS = "ɑɡ", "ag"
+DRAWN_ALIKE = ((CYRILLIC, CYRILLIC_AS), (GREEK, GREEK_AS), (ARMENIAN, ARMENIAN_AS), (CHEROKEE, CHEROKEE_AS), (LISU, LISU_AS), (LATIN, LATIN_AS))
 #: Characters without a glyph that are not of category Cf.
 _NO_GLYPH = {0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x180B, 0x180C, 0x180D, 0x3164, 0xFFA0, *range(0xFE00, 0xFE10)}
 
@@ -31,13 +37,15 @@ def invisible(c: str) -> bool:
 
 
 def plain(c: str) -> str:
-    """What a character shows, in characters of usual width: no other compatibility form is undone."""
+    """What a character shows, in characters of usual width and face; raised, lowered, circled and squared forms and
+    fractions stay, for a reader sees them."""
     if invisible(c):
         return ""
     if U.category(c) == "Zs":
         return " "
     d = U.decomposition(c)
-    if d.startswith(("<wide>", "<narrow>")) or (d.startswith("<compat>") and "LIGATURE" in U.name(c, "")):
+    letters = d.startswith("<compat>") and (U.category(c) == "Nl" or (U.category(c)[0] == "L" and all(U.category(x)[0] == "L" for x in U.normalize("NFKC", c))))
+    if d.startswith(("<wide>", "<narrow>", "<font>")) or letters:  # letters: ligatures, digraphs, Roman numerals
         return "".join(plain(x) for x in U.normalize("NFKD", c))
     return {"\r": "\n", "\x0b": "\n", "\x0c": "\n", "\x85": "\n", "\u2028": "\n", "\u2029": "\n"}.get(c, U.normalize("NFD", c))
 
@@ -61,21 +69,24 @@ class UnionFind:
 def classes(counts: Mapping[str, int]) -> dict[str, str]:
     """Spelling to representative, for each spelling whose representative is another.
 
-    ``counts`` has the corpus frequency of each code point.  Nodes are code points and the strings they stand
-    for; a single code point is one with what it shows and with the letters drawn like it.  The most frequent
-    code point of a class represents it, of equally frequent ones the smallest; a string is represented by its
-    parts' representatives, so any mixture of spellings ends alike.
+    ``counts`` has the frequency of each code point in the collection.  Nodes are code points and strings: a code
+    point is one with the string it shows, and with the letters drawn like it, and strings whose parts are of the same
+    classes are one.  The most frequent code point of a class represents it, of equally frequent ones the smallest; a
+    string is represented by its parts' representatives, so any mixture of spellings ends alike.
     """
     uf = UnionFind()
-    for a, b in ((CYRILLIC, CYRILLIC_AS), (GREEK, GREEK_AS), (ARMENIAN, ARMENIAN_AS)):
+    for a, b in DRAWN_ALIKE:
         for x, y in zip(a, b, strict=True):
             uf.union(x, y)
     shown = {c: plain(c) for c in set(counts) | set(uf.up)}
     for c, s in list(shown.items()):
-        if len(s) == 1:
-            uf.union(c, s)
         for x in s:
             uf.find(x)
+        if s:
+            uf.union(c, s)
+    strings: dict[tuple, str] = {}
+    for s in {s for s in shown.values() if len(s) > 1}:  # transitive over parts: all parts' classes are made by now
+        uf.union(s, strings.setdefault(tuple(uf.find(x) for x in s), s))
     members: dict[str, list[str]] = {}
     for c in list(uf.up):
         if len(c) == 1 and plain(c) == c:
@@ -129,7 +140,7 @@ def character_counts(texts: DataFrame, text: str) -> DataFrame:
 
 
 def spellings(texts: DataFrame, text: str = "text") -> dict[str, str]:
-    """The rewriting table of a corpus.  Its size is bounded by the number of code points in Unicode."""
+    """The rewriting table of a collection.  Its size is bounded by the number of code points in Unicode."""
     counts: dict[str, int] = {}
     for c, n in character_counts(texts, text).collect():
         for x in U.normalize("NFD", chr(c)):
@@ -164,14 +175,23 @@ def canonical(df: DataFrame, key: str = "doc_id", text: str = "text", table: Map
     return rows.mapInArrow(run, f"{key} {dict(rows.dtypes)[key]}, canonical string, looks binary, own binary")
 
 
+def look_classes(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, class, members, spellings: the smallest key of the rows that look alike, how many rows and different texts
+    they are.  One row per key; of repeated keys the smallest digests count.  Texts without a visible character, null
+    texts and null keys have no row."""
+    c = canonical(df, key, text).select(F.col(key), "looks", "own").filter(F.col("looks").isNotNull() & F.col(key).isNotNull())
+    c = cut(c.groupBy(key).agg(F.min(F.struct("looks", "own")).alias("s")).select(key, "s.*"))
+    each = c.groupBy("looks", "own").agg(F.min(key).alias("k"), F.count(F.lit(1)).alias("n"))  # map-side first: a look may have a third of all rows
+    classes_ = each.groupBy("looks").agg(F.min("k").alias("class"), F.sum("n").alias("members"), F.count(F.lit(1)).alias("spellings"))
+    return c.join(classes_, "looks").select(key, "class", "members", "spellings")
+
+
 def pairs(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key_a, key_b (a < b): rows whose texts look alike though they differ.  Repeated rows count once.
 
     Only looks with several texts reach the join; it is an equi-join, so one look with very many rows is split
     by Spark's skew join, and its rows number as many as its pairs.
     """
-    from siltstone.runtime import cut
-
     c = cut(canonical(df, key, text).select(F.col(key), "looks", "own").filter(F.col("looks").isNotNull() & F.col(key).isNotNull()).distinct())
     several = c.groupBy("looks").agg(F.min("own").alias("x"), F.max("own").alias("y")).filter("x <> y").select("looks")
     rows = c.join(several, "looks", "left_semi")

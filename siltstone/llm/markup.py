@@ -14,12 +14,14 @@ import html
 import math
 import re
 import unicodedata
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,8 +42,8 @@ OPAQUE = re.compile(
     r"|<(?P<tag>[pP][rR][eE]|[sS][cC][rR][iI][pP][tT]|[sS][tT][yY][lL][eE]|syntaxhighlight|source|math|nowiki)\b[^<>]*>(?P<tag_in>.*?)</(?P=tag)\s*>"
     r"|<!--(?P<comment>.*?)-->"
     r"|\$\$(?P<display>[^$]+?)\$\$"
-    r"|\\\[(?P<bracket>[^\n]*?|.{1,400}?)\\\]"
-    r"|\\\((?P<paren>[^\n]+?)\\\)"
+    r"|\\\[(?P<bracket>(?:(?!\\\[).)*?)\\\]"  # up to the first end, or not at all if another begins before
+    r"|\\\((?P<paren>(?:(?!\\\(|\n[ \t]*\n).)+?)\\\)"
     r"|(?P<tick>(?<!`)`{1,2}(?!`))(?P<tick_in>[^`\n]+?)(?P=tick)(?!`)"
     r"|<(?P<code>[cC][oO][dD][eE]|[tT][tT])>(?P<code_in>[^\n]*?)</(?P=code)>"
     r"|(?<![\\$\w])\$(?=[^\s$])(?P<dollar>[^$\n]*?[^\s\\$])\$(?![\d$])",
@@ -64,8 +66,10 @@ LINE = re.compile(
 SETEXT = re.compile(r"^(?P<t>[^\s=\-|>#*+<][^\n]*)\n(?P<u>=+|-{2,})[ \t]*$", _M)
 _ATTRIBUTES = r"(?:\s+[A-Za-z_:][\w:.-]*(?:\s*=\s*(?:\"[^\"<>]*\"|'[^'<>]*'|[^\s\"'<>=`]+))?)*"
 TAG = re.compile(rf"<(?P<end>/?)(?P<name>[A-Za-z][A-Za-z0-9]*)(?P<attr>{_ATTRIBUTES})\s*(?P<self>/?)>")
-_ARG = r"\{(?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*\}"
-COMMAND = re.compile(rf"\\(?P<name>[A-Za-z]+)(?P<star>\*?)(?P<opt>(?:\[[^\]\n]*\])?)(?P<arg>(?:{_ARG})*)")
+#: Arguments nest to any depth.
+COMMAND = regex.compile(r"\\(?P<name>[A-Za-z]++)(?P<star>\*?)(?P<opt>(?:\[[^\]\n]*\])?)(?P<arg>(?P<one>\{(?:[^{}]++|(?&one))*+\})*+)")
+#: A line that goes on with the list item before it: deeper than the item, and no block of its own.
+GOES_ON = re.compile(r"\n(?P<ind>[ \t]+)(?![-+*][ \t]|\d{1,9}[.)][ \t]|\#{1,6}[ \t]|>|\||`{3}|~{3}|\\begin|\\end|\\item|<)[^\s\0][^\n]*")
 INLINE = re.compile(
     r"(?P<image>!\[[^\]\n]*\]\([^()\s]+(?: \"[^\"]*\")?\))"
     r"|(?P<link>\[[^\[\]\n]+\]\((?:[^()\s]|\([^()\s]*\))*(?: \"[^\"]*\")?\))"
@@ -132,6 +136,7 @@ class Node:
     name: str = ""
     attributes: int = 0
     opaque: bool = False
+    tokens: str = ""  # of a tag's attributes
     children: list = field(default_factory=list)
     depth: int = 0
     language: int = NONE
@@ -141,7 +146,11 @@ def _lines(text: str, offset: int, out: list[Node]) -> None:
     for m in LINE.finditer(text):
         for kind in ("hash", "mixed", "dash", "num", "eq"):
             if m[kind] is not None:
-                out.append(Node(m.start(kind) + offset, m.end() + offset, (m.start(kind + "_in") + offset, m.end(kind + "_in") + offset), kind, m[kind], len(m["ind"])))
+                end = m.end(kind + "_in")
+                if kind in ("mixed", "dash", "num"):
+                    while (more := GOES_ON.match(text, end)) and len(more["ind"].expandtabs(4)) > len(m["ind"].expandtabs(4)) + 1:
+                        end = more.end()
+                out.append(Node(m.start(kind) + offset, max(m.end(), end) + offset, (m.start(kind + "_in") + offset, end + offset), kind, m[kind], len(m["ind"])))
                 break
         else:
             for group, kind in (("quote_in", "quote"), ("percent", "percent"), ("table", "table"), ("cells", "cells")):
@@ -157,7 +166,7 @@ def _elements(text: str, out: list[Node]) -> None:
     def close(upto: int, at: int) -> None:
         while len(stack) > upto:
             name, m = stack.pop()
-            out.append(Node(m.start(), at, (m.end(), at), "tag_" + _TAG_KIND.get(name, "other"), name, m["attr"].count("=")))
+            out.append(Node(m.start(), at, (m.end(), at), "tag_" + _TAG_KIND.get(name, "other"), name, m["attr"].count("="), False, m["attr"]))
 
     for m in TAG.finditer(text):
         name = m["name"].lower()
@@ -166,11 +175,11 @@ def _elements(text: str, out: list[Node]) -> None:
                 if stack[i][0] == name:
                     close(i + 1, m.start())
                     _, s = stack.pop()
-                    out.append(Node(s.start(), m.end(), (s.end(), m.start()), "tag_" + _TAG_KIND.get(name, "other"), name, s["attr"].count("=")))
+                    out.append(Node(s.start(), m.end(), (s.end(), m.start()), "tag_" + _TAG_KIND.get(name, "other"), name, s["attr"].count("="), False, s["attr"]))
                     break
             continue
         if name in VOID or m["self"]:
-            out.append(Node(m.start(), m.end(), (m.end(), m.end()), "tag_" + _TAG_KIND.get(name, "other"), name, m["attr"].count("=")))
+            out.append(Node(m.start(), m.end(), (m.end(), m.end()), "tag_" + _TAG_KIND.get(name, "other"), name, m["attr"].count("="), False, m["attr"]))
             continue
         for i in range(len(stack) - 1, -1, -1):
             if stack[i][0] in ("ul", "ol", "table", "div", "blockquote") and name == "li":
@@ -270,7 +279,9 @@ def parse(text: str) -> list[Node]:
     return found
 
 
-N_FEATURES = len(SYNTAX) + 4 + 17
+#: Attribute tokens are counted in so many hashed places.
+TOKEN_PLACES = 12
+N_FEATURES = len(SYNTAX) + 4 + 17 + TOKEN_PLACES + 1
 
 
 def features(text: str, nodes: list[Node]) -> np.ndarray:
@@ -293,12 +304,18 @@ def features(text: str, nodes: list[Node]) -> np.ndarray:
     total, marks = max(1, len(text)), len(nodes)
     seen: dict[int, int] = {}
     begins, ends = {(n.syntax, n.start) for n in nodes}, {(n.syntax, n.end) for n in nodes}
+    beside = lambda n: (n.syntax, n.end + 1) in begins or (n.syntax, n.start - 1) in ends
+    # numbered items of wiki text come in a row, headings of Markdown alone
+    x[:, -1] = sum(1 for n, f in zip(nodes, free, strict=True) if n.syntax == "hash" and f and not beside(n))
     for i, n in enumerate(nodes):
-        near = (n.syntax, n.end + 1) in begins or (n.syntax, n.start - 1) in ends
+        near = beside(n)
         size, inner = n.end - n.start, n.inner[1] - n.inner[0]
         seen[k[i]] = seen.get(k[i], 0) + 1
         nested = sum(c.end - c.start for c in n.children)
-        x[i, base + 4 :] = (
+        if n.tokens:
+            for token in re.findall(r"[A-Za-z]+", n.tokens.lower()):
+                x[i, base + 21 + zlib.crc32(token.encode()) % TOKEN_PLACES] += 1
+        x[i, base + 4 : base + 21] = (
             n.depth, n.attributes, inner / max(1, size), nested / max(1, size), len(n.children), math.log1p(size), same[i], seen[k[i]], not free[i], len(n.name),
             size / total, marks, n.end == len(text), n.inner[0] == n.inner[1], text[n.inner[0] : n.inner[0] + 1].isalpha(), any(c in text[n.inner[0] : n.inner[1]] for c in "\\^_{}=") if n.syntax == "dollar" else 0, near,
         )
@@ -623,6 +640,29 @@ def find(df: DataFrame, item: str, text: str, in_field: str, title: str | None =
     return rows.mapInArrow(run, "in_field string, item_id string, part_kind string, shown_text string")
 
 
+def cleaned(df: DataFrame, item: str, text: str, in_field: str, title: str | None = None, texts: int = TRAINING_TEXTS, seed: int = SEED) -> DataFrame:
+    """in_field, item_id, clean_text: every row with its text in the form of ``clean``; null stays null.  A title put
+    before the text stays as it is."""
+    trees = model(texts, seed)
+    rows = df.select(F.col(item).cast("string").alias("item_id"), F.col(text).alias("text"), (F.col(title) if title else F.lit(None).cast("string")).alias("title"))
+
+    def one(t: str | None, h: str | None) -> str | None:
+        if not t:
+            return t
+        whole = one_line_end(t)
+        own = without_title(whole, h) if title else whole
+        head = whole[: len(whole) - len(own)]
+        new = clean(own, trees) or ""
+        return t if new == own else head.rstrip("\n") + ("\n\n" if head else "") + new
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [one(t, h) for t, h in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            yield pa.record_batch([pa.array([in_field] * b.num_rows, pa.string()), b.column(0), pa.array(out, pa.string())], ["in_field", "item_id", "clean_text"])
+
+    return rows.mapInArrow(run, "in_field string, item_id string, clean_text string")
+
+
 def clean_column(df: DataFrame, text: str, texts: int = TRAINING_TEXTS, seed: int = SEED) -> DataFrame:
     """df with ``text`` replaced by ``clean`` of it; all rows and columns stay."""
     trees = model(texts, seed)

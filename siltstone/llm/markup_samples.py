@@ -138,6 +138,8 @@ class _Maker:
                     m = ("   " if deep else "") + (f"{i + 1}{dot} " if ordered else f"{mark} ")
                 self.put(m, language)
                 self.line_text(language)
+                if language == MARKDOWN and r.random() < 0.1:
+                    self.put("\n" + " " * (len(m) + r.randint(0, 2)) + self.words().lower())
                 self.put("\n" if i < n - 1 else "")
 
     def block_code(self, language: int) -> None:
@@ -185,9 +187,16 @@ class _Maker:
     def text(self) -> None:
         r = self.r
         language = r.choices([NONE, HTML, MARKDOWN, WIKI, LATEX], [3, 2, 3, 3, 2])[0]
+        if language == MARKDOWN and r.random() < 0.15:  # a heading right before a list
+            self.put("#" * r.randint(1, 2) + " " + self.words(1, 3), MARKDOWN)
+            self.put(r.choice(["\n", "\n\n"]))
+            self.items(MARKDOWN)
+            if r.random() < 0.5:
+                return
+            self.put("\n\n")
         if language == HTML and r.random() < 0.3:
             self.put("<div class=\"c\">", HTML)
-        gap = r.choice(["\n", "", "\n\n"]) if language == HTML else "\n\n"
+        gap = r.choice(["\n", "", "\n\n"]) if language == HTML else "\n" if language in (MARKDOWN, WIKI) and r.random() < 0.25 else "\n\n"
         for i in range(r.choice([1, 1, 2, 3, 5, 8])):
             if i:
                 self.put(gap)

@@ -1,8 +1,9 @@
 """Problem 9: filling containers of fixed capacity, by hierarchical residual packing.
 
 Items go to groups; each group is packed by itself, best fit, longest item first.  Bins that are nearly full are
-done, the others go on as items of the next level, where groups are fewer, until one group is left.  A bin
-travels with the list of its pieces, which its capacity bounds.
+done, the others go on as items of the next level, where groups are fewer and mixed anew, until one group is left.  A
+group has about GROUP items on every level: where more bins are open than one group may hold, they go on in several,
+until a level saves hardly a bin.  A bin travels with the list of its pieces, which its capacity bounds.
 """
 
 from __future__ import annotations
@@ -15,10 +16,10 @@ from pyspark.sql import functions as F
 
 from siltstone.runtime import cut
 
-#: A bin with at most this share of unused room is done; items of a group on the first level; groups that merge.
+#: A bin with at most this share of unused room is done; items of a group; groups that merge.
 NEARLY, GROUP, FAN_IN = 0.002, 20_000, 8
-#: A group hands on at most so many bins, the emptiest; the others are done as they are.
-PASS_ON = 20_000
+#: Several groups go on as long as the last level saved this share of its bins.
+SAVED = 0.001
 
 
 class Residuals:
@@ -73,7 +74,7 @@ def best_fit(sizes: list[int], capacity: int) -> list[int]:
 SCHEMA = "container string, capacity bigint, grp bigint, used bigint, piece_ids array<bigint>, done boolean"
 
 
-def _pack(key: tuple, pdf: pd.DataFrame, last: bool, nearly: float, pass_on: int) -> pd.DataFrame:
+def _pack(key: tuple, pdf: pd.DataFrame, last: bool, nearly: float) -> pd.DataFrame:
     capacity = int(pdf["capacity"].iloc[0])
     pdf = pdf.sort_values(["used", "first"], ascending=[False, True], kind="stable")
     sizes = [int(x) for x in pdf["used"]]
@@ -84,18 +85,15 @@ def _pack(key: tuple, pdf: pd.DataFrame, last: bool, nearly: float, pass_on: int
         pieces.setdefault(b, []).extend(p)
     out = pd.DataFrame({"used": list(used.values()), "piece_ids": list(pieces.values())})
     out["done"] = last | (out["used"] >= capacity * (1 - nearly))
-    open_bins = out.index[~out["done"]]
-    if len(open_bins) > pass_on:
-        out.loc[out.loc[open_bins, "used"].sort_values().index[pass_on:], "done"] = True
     out["container"], out["capacity"], out["grp"] = pdf["container"].iloc[0], capacity, key[1]
     return out[["container", "capacity", "grp", "used", "piece_ids", "done"]]
 
 
-def _packer(last: bool, nearly: float, pass_on: int):
-    return lambda key, pdf: _pack(key, pdf, last, nearly, pass_on)
+def _packer(last: bool, nearly: float):
+    return lambda key, pdf: _pack(key, pdf, last, nearly)
 
 
-def pack(items: DataFrame, limits: DataFrame, key: str = "doc_id", size: str = "tokens", container: str = "container", capacity: str = "capacity_tokens", group: int = GROUP, nearly: float = NEARLY, pass_on: int = PASS_ON) -> DataFrame:
+def pack(items: DataFrame, limits: DataFrame, key: str = "doc_id", size: str = "tokens", container: str = "container", capacity: str = "capacity_tokens", group: int = GROUP, nearly: float = NEARLY) -> DataFrame:
     """container, bin, key, piece_no, piece_start, piece_size: one row per item, or piece of a too long item, and container.
 
     Null, zero and negative sizes need no room and give no row.  An item is split only if it exceeds the
@@ -120,21 +118,38 @@ def pack(items: DataFrame, limits: DataFrame, key: str = "doc_id", size: str = "
     # full pieces are bins already
     level = piece.filter("used < capacity").select("container", "capacity", F.pmod(F.xxhash64("pid"), F.lit(groups)).alias("grp"), "used", F.array("pid").alias("piece_ids"))
     done = [piece.filter("used = capacity").select(F.array("pid").alias("piece_ids"))]
+    went_in, n_level = max(counts.values(), default=0), 0
     while True:
         last = groups == 1
         packed = cut(
             level.withColumn("first", F.col("piece_ids")[0])
             .groupBy("container", "grp")
-            .applyInPandas(_packer(last, nearly, pass_on), SCHEMA)
+            .applyInPandas(_packer(last, nearly), SCHEMA)
         )
         done.append(packed.filter("done").select("piece_ids"))
         if last:
             break
-        groups = (groups + FAN_IN - 1) // FAN_IN
-        level = packed.filter("not done").select("container", "capacity", F.pmod(F.col("grp"), F.lit(groups)).alias("grp"), "used", "piece_ids")
+        sizes = [(r["open"], r["n"]) for r in packed.groupBy("container").agg(F.count_if(~F.col("done")).alias("open"), F.count(F.lit(1)).alias("n")).collect()]
+        still, n_level = max((o for o, _ in sizes), default=0), n_level + 1
+        needed = -(-still // group)
+        if needed > 1 and n_level > 1 and max((n for _, n in sizes), default=0) > (1 - SAVED) * went_in:
+            done.append(packed.filter("not done").select("piece_ids"))  # what is open does not fit together
+            break
+        groups, went_in = max((groups + FAN_IN - 1) // FAN_IN, min(needed, groups)), still
+        level = packed.filter("not done").select("container", "capacity", F.pmod(F.xxhash64(F.col("piece_ids")[0], F.lit(n_level)), F.lit(groups)).alias("grp"), "used", "piece_ids")
     bins = done[0]
     for d in done[1:]:
         bins = bins.unionByName(d)
     where = bins.select(F.array_min("piece_ids").alias("bin"), F.explode("piece_ids").alias("pid"))
     number = (F.col("start") / F.col("capacity")).cast("int").alias("piece_no")
     return piece.join(where, "pid").select("container", "bin", F.col("key").alias(key), number, F.col("start").alias("piece_start"), F.col("used").alias("piece_size"))
+
+
+def waste(packed: DataFrame, limits: DataFrame, container: str = "container", capacity: str = "capacity_tokens") -> DataFrame:
+    """container, bins, tokens, least (bins that the tokens need at least), above (bins beyond that), unused (share of
+    the bins' room), overfull (bins beyond the capacity): what a packing is worth."""
+    lim = limits.select(F.col(container).alias("container"), F.col(capacity).cast("bigint").alias("capacity")).filter("capacity > 0").distinct()
+    fill = packed.groupBy("container", "bin").agg(F.sum("piece_size").alias("used")).join(lim, "container")
+    out = fill.groupBy("container", "capacity").agg(F.count(F.lit(1)).alias("bins"), F.sum("used").alias("tokens"), F.count_if(F.col("used") > F.col("capacity")).alias("overfull"))
+    least = F.ceil(F.col("tokens") / F.col("capacity"))
+    return out.select("container", "bins", "tokens", least.alias("least"), (F.col("bins") - least).alias("above"), (1 - F.col("tokens") / (F.col("bins") * F.col("capacity"))).alias("unused"), "overfull")

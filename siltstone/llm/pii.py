@@ -2,9 +2,10 @@
 
 ``find`` marks mentions of e-mail addresses, phone numbers, identity numbers, postal addresses and people.
 ``replace`` puts surrogates for them: replacements made with a secret key that keep type, format, script and a
-name's gender and initials, so one person stays one person however the name is written.  A surrogate that two
-different originals would share, or that occurs in the corpus itself, is made anew until all are distinct.  With
-``placeholders=True`` typed placeholders with a stable number come instead.
+given name's gender.  Names are replaced part by part, and an initial by that of its part's surrogate, so one person
+stays one person however the name is written.  A surrogate that two different originals would share, or that occurs in
+the texts itself, is made anew, longer after a while, until all are distinct.  With ``placeholders=True`` typed
+placeholders with a stable number come instead.
 """
 
 from __future__ import annotations
@@ -12,7 +13,9 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
-from collections.abc import Iterable, Iterator
+import unicodedata
+from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,8 +25,24 @@ from siltstone.runtime import cut
 
 KINDS = ("email", "phone", "id_number", "address", "person")
 
-_CAP = r"[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+"
-_NAME = rf"(?:{_CAP}(?:[-'’]{_CAP})*|[A-ZÀ-ÖØ-Þ]{{2,}}(?:-[A-ZÀ-ÖØ-Þ]{{2,}})*)"
+
+
+def _ranges(fits: Callable[[str], bool]) -> str:
+    """The inside of a character class: all characters below U+10000 that fit."""
+    out, at = [], 0
+    while at < 0x10000:
+        if fits(chr(at)):
+            first = at
+            while at < 0x10000 and fits(chr(at)):
+                at += 1
+            out.append(re.escape(chr(first)) + (f"-{re.escape(chr(at - 1))}" if at - first > 1 else ""))
+        at += 1
+    return "".join(out)
+
+
+_UP, _LOW = _ranges(str.isupper), _ranges(lambda c: c.islower() and c.isalpha())
+_CAP = f"[{_UP}][{_LOW}]+"
+_NAME = rf"(?:{_CAP}(?:[-'’]{_CAP})*|[{_UP}]{{2,}}(?:-[{_UP}]{{2,}})*)"
 _NOT_IN = r"(?<![\w@.+-])"
 
 EMAIL = re.compile(r"(?<![\w.+-])[A-Za-z0-9_][\w.+%-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}(?![\w@])")
@@ -55,13 +74,28 @@ _STREET = r"(?:Street|St\.?|Road|Rd\.?|Row|Terrace|Way|Lane|Ln\.?|Avenue|Ave\.?|
 _POST = r"(?: [A-Z]{1,2}\d[A-Z\d]? ?\d[A-Z]{2}\b|,? [A-Z]{2},? \d{4,5}(?:-\d{4})?\b|,? \d{5}(?:-\d{4})?\b)?"
 ADDRESS = re.compile(
     rf"(?<![\w.,-])\d{{1,5}}[A-Za-z]?,? (?:[NSEW]\.? )?(?:{_CAP} ){{1,4}}?{_STREET},(?: (?:Apt|Apartment|Unit|Suite|Flat|Floor)\.? \w{{1,5}},)? {_CITY}{_POST}"
-    rf"|(?<!\w)\d{{1,4}}(?: ?bis| ?ter)?,? (?:rue|avenue|boulevard|place|chemin|allée|quai|impasse)(?: (?:de la|de l'|du|des|de|d'))? ?{_CAP}(?:[ -]{_CAP})*, \d{{5}} {_CITY}"
+    rf"|(?<!\w)\d{{1,4}}(?: ?bis| ?ter)?,? (?i:rue|avenue|boulevard|place|chemin|allée|quai|impasse)(?: (?:de la|de l'|du|des|de|d'))? ?{_CAP}(?:[ -]{_CAP})*, \d{{5}} {_CITY}"
 )
 ADDRESS_BOX = re.compile(rf"\b(?:PO|P\.O\.|Post Office) Box \d+, {_CITY}{_POST}")
 ADDRESS_NUMBER_LAST = re.compile(
     rf"\b(?:(?:Am|An der|An den|Im|In der|Zum|Zur|Auf dem|Auf der|Alte|Alter|Altes|Neue|Neuer|Große|Kleine|Obere|Untere|Hinter der|Unter den) )?{_CAP}(?:-{_CAP})*(?:tr\.|\.)?(?: (?:Straße|Strasse|Str\.|Platz|Weg|Allee|Gasse|Ufer|Ring|Damm))? \d{{1,4}} ?[a-z]?, (?:D-)?\d{{5}} {_CITY}"
 )
-_FIVE_CITY = re.compile(r", (?:D-)?\d{5} [A-ZÀ-ÖØ-Þ]")
+_FIVE_CITY = re.compile(rf", (?:D-)?\d{{5}} [{_UP}]")
+#: Account and card numbers, which count if their check digits are right.
+IBAN = re.compile(r"(?<![\w.+/-])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
+CARD = re.compile(r"(?<![\w.+/-])(?:\d{4}([ -])\d{4}\1\d{4}\1\d{4}|3\d{3}([ -])\d{6}\2\d{5})(?![\w/]|[.-]\d)")
+
+
+def iban_ok(said: str) -> bool:
+    s = said.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
+
+
+def card_ok(said: str) -> bool:
+    digits = [int(c) for c in said if c.isdigit()]
+    return sum(sum(divmod(2 * d, 10)) if i % 2 else d for i, d in enumerate(reversed(digits))) % 10 == 0
+
+
 #: Words that lead to a person's name, and words that are no part of one though they begin a sentence.
 LEADS = ["by", "cc", "to", "from", "with", "owe", "Reviewer:", "Author:", "Attendees:", "Contact:", "Assignee:", "Dear", "ask", "asked", "told", "met", "per", "for", "and", "thanks"]
 TITLES = r"(?:Dr|Mr|Mrs|Ms|Mx|Prof|Herr|Frau|Mme|Sir)\.?"
@@ -87,10 +121,10 @@ class Finder:
         given, self.family = sorted(set(given)), {f.lower() for f in family if f}
         self.given = {g.lower() for g in given if g}
         g = _either_case(given)
-        self.first_last = re.compile(rf"{_NOT_IN}(?:{g})(?: [A-Z]\.)? (?P<f>{_NAME})(?!\w)")
+        self.first_last = re.compile(rf"{_NOT_IN}(?:{g})(?: [{_UP}]\.)? (?P<f>{_NAME})(?!\w)")
         self.last_first = re.compile(rf"{_NOT_IN}(?P<f>{_NAME}), (?:{g})(?![\w-])")
-        self.initial = re.compile(rf"{_NOT_IN}[A-Z]\. (?P<f>{_NAME})(?!\w)")
-        shape = rf"{_NAME}(?: [A-Z]\.)? {_NAME}|{_NAME}, {_NAME}|[A-Z]\. {_NAME}"
+        self.initial = re.compile(rf"{_NOT_IN}[{_UP}]\. (?P<f>{_NAME})(?!\w)")
+        shape = rf"{_NAME}(?: [{_UP}]\.)? {_NAME}|{_NAME}, {_NAME}|[{_UP}]\. {_NAME}"
         lead = "|".join(re.escape(x) for x in LEADS)
         self.led = re.compile(rf"(?:(?<!\w)(?:{lead}) (?:{TITLES} )?|(?<!\w){TITLES} )(?P<n>{shape})(?!\w)")
         self.followed = re.compile(rf"{_NOT_IN}(?P<n>{shape})(?!\w){FOLLOWS}")
@@ -164,6 +198,8 @@ class Finder:
                 add("address", (m.span() for m in ADDRESS_BOX.finditer(text)))
             if _FIVE_CITY.search(text):
                 add("address", (m.span() for m in ADDRESS_NUMBER_LAST.finditer(text)))
+            add("id_number", (m.span() for m in IBAN.finditer(text) if iban_ok(m[0])))
+            add("id_number", (m.span() for m in CARD.finditer(text) if card_ok(m[0])))
             add("id_number", (m.span() for m in IDENTITY.finditer(text)))
             if any(x in text for x in ("ID", "SSN", "assport", "ax number", "dentity", "ocial sec", "ational ins")):
                 add("id_number", (m.span(1) for m in LABELLED.finditer(text)))
@@ -177,7 +213,7 @@ _WIDE = re.compile(r"[ \t\xa0\u2000-\u200a\u202f]{2,}|[\t\xa0\u2000-\u200a\u202f
 
 
 def lexicon(people: DataFrame) -> tuple[list[str], list[str]]:
-    """Given and family names; ``people`` is the store's own list, which its users keep, not the corpus."""
+    """Given and family names; ``people`` is the store's own list, which its users keep, not the texts."""
     rows = people.select("given_name", "family_name").distinct().toLocalIterator()
     pairs_ = [(r[0], r[1]) for r in rows]
     return sorted({g for g, _ in pairs_ if g}), sorted({f for _, f in pairs_ if f})
@@ -214,46 +250,103 @@ def find(df: DataFrame, people: DataFrame, key: str = "rowid", text: str = "cont
 
 # Surrogates
 
-#: Syllables of made-up names; a family name has three, a given name two and an ending that keeps the gender's.
-ONSETS, NUCLEI, CODAS = "b br d dr f g gr h j k l m n p r s t tr v z".split(), "a e i o u".split(), "l m n r s".split()
+#: Syllables of made-up names and their endings, by script: beginnings, vowels, ends of men's and of women's names.
+SYLLABLES = {
+    "LATIN": ("b br d dr f g gr h j k l m n p r s t tr v z".split(), "a e i o u".split(), "l m n r s".split(), "a e".split()),
+    "CYRILLIC": ("б бр в г гр д др ж з к л м н п р с т тр ф х".split(), "а е и о у".split(), "л м н р с".split(), "а я".split()),
+    "GREEK": ("β γ δ ζ θ κ λ μ ν π ρ σ τ φ χ".split(), "α ε ι ο υ".split(), "ν ρ ς".split(), "α η".split()),
+}
+ALPHABETS = {"LATIN": "abcdefghijklmnopqrstuvwxyz", "CYRILLIC": "абвгдежзийклмнопрстуфхцчшщэюя", "GREEK": "αβγδεζηθικλμνξοπρστυφχψω"}
+_WOMEN = {"LATIN": "aeiouyàáâãäåæèéêëìíîïòóôõöøùúûüý", "CYRILLIC": "аяеэиіїюь", "GREEK": "αηωίάή"}
+#: Rounds after which surrogates of a fixed format get longer.
+GROW = 4
 
 
 def _number(secret: bytes, *parts: str) -> int:
-    return int.from_bytes(hmac.new(secret, "\x1f".join(parts).encode("utf-8", "surrogatepass"), hashlib.sha256).digest()[:16], "big")
+    return int.from_bytes(hmac.new(secret, "\x1f".join(parts).encode("utf-8", "surrogatepass"), hashlib.sha256).digest(), "big")
 
 
+def script_of(c: str) -> str:
+    return unicodedata.name(c, "?").split(" ")[0].split("-")[0]
+
+
+@lru_cache(256)
+def _letters_like(c: str) -> str:
+    """Letters of the character's script and kind that stand near it in Unicode."""
+    page = ord(c) & ~0xFF
+    own = [chr(o) for o in range(page, page + 0x100) if unicodedata.category(chr(o)) == unicodedata.category(c) and script_of(chr(o)) == script_of(c)]
+    return "".join(own) or c
+
+
+@lru_cache(4096)
 def _letter(secret: bytes, c: str) -> str:
-    """A keyed permutation of the alphabet, for initials."""
-    order = sorted("abcdefghijklmnopqrstuvwxyz", key=lambda x: _number(secret, "letter", x))
-    low = c.lower()
-    to = order[ord(low) - 97] if "a" <= low <= "z" else low
+    """Another letter of the same script and case: a keyed permutation of the alphabet, by the letter without accents."""
+    low = unicodedata.normalize("NFD", c.lower())[:1]
+    own = ALPHABETS.get(script_of(low), "")
+    if low not in own:
+        own, low = _letters_like(c.lower()[:1]), c.lower()[:1]
+    order = sorted(own, key=lambda x: _number(secret, "letter", x))
+    if order.index(low) == own.index(low) and len(own) > 1:  # no letter stays, for one that does would be read
+        order = order[1:] + order[:1]
+    to = order[own.index(low)] if order[own.index(low)] != low else order[own.index(low) - 1]
     return to.upper() if c.isupper() else to
 
 
-def _syllables(secret: bytes, n: int, *parts: str) -> str:
+def _syllables(secret: bytes, n: int, *parts: str, script: str = "LATIN", end: int = 2) -> str:
     x, out = _number(secret, *parts), ""
+    onsets, nuclei, *ends = SYLLABLES[script]
     for _ in range(n):
-        x, a = divmod(x, len(ONSETS))
-        x, b = divmod(x, len(NUCLEI))
-        out += ONSETS[a] + NUCLEI[b]
-    return out + CODAS[x % len(CODAS)]
-
-
-def name_part(secret: bytes, part: str, role: str, attempt: int = 0) -> str:
-    """The surrogate of one given or family name, or of an initial; letter case and hyphens as in the original."""
-    if len(part.rstrip(".")) == 1:
-        return _letter(secret, part[0]) + part[1:]
-    out = []
-    for piece in re.split(r"([-'’])", part):
-        if piece in "-'’":
-            out.append(piece)
-            continue
-        body = _syllables(secret, 1 if role == "given" else 2, role, piece.lower(), str(attempt))
-        s = _letter(secret, piece[0].lower()) + body[1 if body[1] in "aeiou" else 2 :]
-        if role == "given" and piece.lower()[-1] in "aeiouy":
-            s += piece.lower()[-1]  # names that end in a vowel keep it: the gender's usual ending
-        out.append(s.upper() if piece.isupper() and len(piece) > 1 else s.capitalize())
-    return "".join(out)
+        x, a = divmod(x, len(onsets))
+        x, b = divmod(x, len(nuclei))
+        out += onsets[a] + nuclei[b]
+    last = ends[end - 2]
+    return out + last[x % len(last)]
+
+
+PIECES = re.compile(r"([^\s,.'’-]+)")
+
+
+def piece_surrogate(secret: bytes, piece: str, role: str, gender: str | None, attempt: int) -> str:
+    """The surrogate, in small letters, of one piece (in small letters) of a given or family name."""
+    script = script_of(piece[0])
+    if script not in SYLLABLES:  # letter by letter within the script; longer with each few attempts
+        x, out = _number(secret, role, piece, str(attempt)), []
+        for c in piece[1:] + piece[-1] * (attempt // GROW):
+            near = _letters_like(c)
+            x, at = divmod(x, len(near))
+            out.append(near[at])
+        return _letter(secret, piece[0]) + "".join(out)
+    female = gender == "f" if gender else piece[-1] in _WOMEN[script]
+    body = _syllables(secret, (1 if role == "given" else 2) + attempt // 2, role, piece, str(attempt), script=script, end=3 if role == "given" and female else 2)
+    nuclei = SYLLABLES[script][1]
+    at = next(i for i, c in enumerate(body) if c in nuclei)
+    first = _letter(secret, piece[0])
+    return first + (body[at + 1 :] if first in nuclei else body[at:])
+
+
+def person_pieces(said: str) -> list[tuple[str, str]]:
+    """(role, piece in small letters) of a mention's name pieces in order; initials have the role ``initial``."""
+    family_first = "," in said
+    out, parts_ = [], re.split(r"(,? )", said)
+    words_ = parts_[::2]
+    for i, w in enumerate(words_):
+        role = ("family" if i == 0 else "given") if family_first else "family" if i == len(words_) - 1 and len(words_) > 1 else "given"
+        for p in PIECES.findall(w):
+            out.append(("initial" if len(p) == 1 else role, p.lower()))
+    return out
+
+
+def person_surrogate(secret: bytes, said: str, to: list[str | None]) -> str:
+    """The mention with its pieces replaced, letter case and punctuation as in the original."""
+    new = iter(to)
+
+    def one(m: re.Match) -> str:
+        p, s = m[0], next(new)
+        if len(p) == 1:
+            return _letter(secret, p)
+        return s.upper() if p.isupper() else s.capitalize() if p[0].isupper() else s
+
+    return PIECES.sub(one, said)
 
 
 def canonical(kind: str, said: str) -> str:
@@ -271,104 +364,149 @@ def canonical(kind: str, said: str) -> str:
 
 
 def surrogate(secret: bytes, kind: str, said: str, attempt: int = 0) -> str:
-    """A replacement of the same type and format; the same entity gets the same one in whatever form it is written."""
-    if kind == "person":
-        if m := re.fullmatch(r"([^,]+), (.+)", said):
-            return f"{name_part(secret, m[1], 'family', attempt)}, {name_part(secret, m[2], 'given', attempt)}"
-        *first, last = said.split(" ")
-        return " ".join([name_part(secret, p, "given", attempt) for p in first] + [name_part(secret, last, "family", attempt)])
+    """A replacement, for other kinds than people, of the same type and format; all forms of an entity get the same."""
     stream = _number(secret, kind, canonical(kind, said), str(attempt))
-    digits = f"{stream:039d}" * (1 + len(said) // 39)
+    digits = f"{stream:078d}" * (1 + len(said) // 78)
+    more = "" if attempt < GROW else "-" + digits[-2 * (attempt - GROW + 1) :]
     if kind == "email":
         m = re.fullmatch(r"(.+?)( ?[\[({](?:at|AT)[\])}] ?|@)(.+)", said)
-        return f"{_syllables(secret, 2, 'mail', canonical(kind, said), str(attempt))}{m[2]}mail{digits[:6]}.example" if m else said
+        return f"{_syllables(secret, 2 + attempt, 'mail', canonical(kind, said), str(attempt))}{m[2]}mail{digits[:6]}.example" if m else said
     if kind == "phone":
         # country code and area code stay readable, the subscriber's digits are new
         at = [i for i, c in enumerate(said) if c.isdigit()]
-        tail = canonical(kind, said)[-7:]
-        new = f"{_number(secret, kind, tail, str(attempt)):039d}"[-7:]
+        new = f"{_number(secret, kind, canonical(kind, said)[-7:], str(attempt)):078d}"[-7:]
         out = list(said)
         for i, c in zip(at[-7:], new, strict=False):
             out[i] = c
-        return "".join(out)
-    out, letters = [], _number(secret, kind, "letters", canonical(kind, said), str(attempt))
-    body = [c for c in canonical(kind, said)]
+        return "".join(out) + more
     if kind == "id_number":
-        for i, c in enumerate(said):
+        out, letters = [], _number(secret, kind, "letters", canonical(kind, said), str(attempt))
+        n = 0
+        for c in said:
             if c.isdigit():
-                out.append(digits[i])
-            elif c.isalpha() and body:
+                out.append(digits[n])
+                n += 1
+            elif c.isalpha():
                 letters, x = divmod(letters, 20)
-                out.append("ABCDEFGHJKLMNPRSTVWZ"[x])
+                new = "ABCDEFGHJKLMNPRSTVWZ"[x]
+                out.append(new if c.isupper() else new.lower())
             else:
                 out.append(c)
-        return "".join(out)
-    out, skip = [], {"street", "st", "road", "rd", "row", "terrace", "way", "lane", "avenue", "ave", "close", "court", "ct", "blvd", "drive", "apt", "po", "box", "am", "alte", "straße", "str"}
+        return "".join(out) + more
+    out, skip = [], {"street", "st", "road", "rd", "row", "terrace", "way", "lane", "avenue", "ave", "close", "court", "ct", "blvd", "drive", "apt", "po", "box", "am", "alte", "straße", "str", "rue", "de", "la"}
     for i, piece in enumerate(re.split(r"(\w+)", said)):
         if piece.isdigit():
             out.append("".join(digits[(i * 7 + j) % len(digits)] for j in range(len(piece))).replace("0", "1", 1))
         elif re.fullmatch(_CAP, piece) and piece.lower() not in skip:
-            out.append(_syllables(secret, 2, "place", piece.lower(), str(attempt)).capitalize())
+            script = script_of(piece[0])
+            out.append(_syllables(secret, 2 + attempt // 2, "place", piece.lower(), str(attempt), script=script if script in SYLLABLES else "LATIN").capitalize())
         else:
             out.append(piece)
     return "".join(out)
 
 
-def surrogates(mentions: DataFrame, secret: bytes, rounds: int = 8) -> DataFrame:
+def _settle(left: DataFrame, make: Callable[[int], DataFrame], owner: str, group: str, real: DataFrame) -> DataFrame:
+    """Rows of ``make`` (owner, group, surrogate and others) whose surrogates no other owner of the group has and that
+    are not ``real`` (group, surrogate): owners of others are tried again until there are none.
+
+    Spaces of surrogates grow with the attempts, so it ends; of equal ones the smallest owner keeps the surrogate.
+    """
+    done, attempt = None, 0
+    while True:
+        tried = cut(make(left, attempt))
+        first = tried.groupBy(group, "surrogate").agg(F.min(owner).alias("_first"))
+        if done is not None:
+            first = first.join(done.select(group, "surrogate", F.lit(True).alias("_taken")).distinct(), [group, "surrogate"], "left")
+        else:
+            first = first.withColumn("_taken", F.lit(None).cast("boolean"))
+        first = first.join(real.select(group, "surrogate", F.lit(True).alias("_real")).distinct(), [group, "surrogate"], "left")
+        bad = tried.join(first, [group, "surrogate"]).filter((F.col(owner) != F.col("_first")) | F.col("_taken") | F.col("_real")).select(group, owner).distinct()
+        bad = cut(bad)
+        good = tried.join(bad, [group, owner], "left_anti")
+        done = cut(good if done is None else done.unionByName(good))
+        if bad.isEmpty():
+            return done
+        if attempt > 200:
+            raise RuntimeError("surrogates still collide after 200 attempts")
+        left, attempt = cut(left.join(bad, [group, owner], "left_semi")), attempt + 1
+
+
+def surrogates(mentions: DataFrame, secret: bytes, genders: dict[str, str] | None = None) -> DataFrame:
     """pii_kind, found_text, surrogate: of all mentions, with distinct surrogates for distinct entities.
 
-    Each round makes surrogates for the forms that have none, and keeps those that no other entity has and that
-    no mention of the corpus is; the entities of the rest go to the next round together with all their forms.
+    People are replaced piece by piece of their names, others as wholes.  No surrogate is a piece or a mention that
+    the texts have.  ``genders``: f or m of given names in small letters; of others the usual ending tells.
     """
-    spark = mentions.sparkSession
+    every = cut(mentions.select("pii_kind", "found_text").distinct())
+    genders = genders or {}
+
+    # people
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [(said, i, role, p) for said in b.column(0).to_pylist() for i, (role, p) in enumerate(person_pieces(said))]
+            yield pa.record_batch([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.string(), pa.int32(), pa.string(), pa.string()))], ["found_text", "i", "role", "piece"])
+
+    named = cut(every.filter("pii_kind = 'person'").select("found_text").mapInArrow(split, "found_text string, i int, role string, piece string"))
 
-    def make(attempt: int):
+    def make_pieces(left: DataFrame, attempt: int) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                new = [piece_surrogate(secret, p, r, genders.get(p), attempt) for r, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+                yield pa.record_batch([*b.columns, pa.array(new, pa.string())], ["role", "piece", "surrogate"])
+
+        return left.select("role", "piece").mapInArrow(run, "role string, piece string, surrogate string")
+
+    pieces_ = cut(named.filter("role <> 'initial'").select("role", "piece").distinct())
+    roles = F.explode(F.array(F.lit("given"), F.lit("family"))).alias("role")
+    known = _settle(pieces_, make_pieces, "piece", "role", pieces_.select(F.col("piece").alias("surrogate"), roles))
+    per = named.join(known, ["role", "piece"], "left").groupBy("found_text").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "surrogate"))), lambda x: x["surrogate"]).alias("to"))
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            said = b.column(0).to_pylist()
+            new = [person_surrogate(secret, s, t) for s, t in zip(said, b.column(1).to_pylist(), strict=True)]
+            yield pa.record_batch([pa.array(["person"] * len(said), pa.string()), b.column(0), pa.array(new, pa.string())], ["pii_kind", "found_text", "surrogate"])
+
+    people = per.mapInArrow(join, "pii_kind string, found_text string, surrogate string")
+
+    # the other kinds
+    def make(left: DataFrame, attempt: int) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 kinds, said = b.column(0).to_pylist(), b.column(1).to_pylist()
-                yield pa.record_batch(
-                    [b.column(0), b.column(1), pa.array([canonical(k, s) for k, s in zip(kinds, said, strict=True)], pa.string()), pa.array([surrogate(secret, k, s, attempt) for k, s in zip(kinds, said, strict=True)], pa.string())],
-                    ["pii_kind", "found_text", "entity", "surrogate"],
-                )
-
-        return run
-
-    left = cut(mentions.select("pii_kind", "found_text").distinct())
-    everything, done = left, None
-    for attempt in range(rounds):
-        tried = cut(left.mapInArrow(make(attempt), "pii_kind string, found_text string, entity string, surrogate string"))
-        taken = tried.select("pii_kind", "surrogate", "entity")
-        if done is not None:
-            taken = taken.unionByName(done.select("pii_kind", "surrogate", "entity"))
-        shared = taken.groupBy("pii_kind", "surrogate").agg(F.min("entity").alias("x"), F.max("entity").alias("y")).filter("x <> y").select("pii_kind", "surrogate")
-        real = everything.select("pii_kind", F.col("found_text").alias("surrogate"))
-        bad = tried.join(shared.unionByName(real).distinct(), ["pii_kind", "surrogate"], "left_semi").select("pii_kind", "entity").distinct()
-        good = tried.join(bad, ["pii_kind", "entity"], "left_anti")
-        done = cut(good if done is None else done.unionByName(good))
-        left = cut(tried.join(bad, ["pii_kind", "entity"], "left_semi").select("pii_kind", "found_text"))
-        if left.isEmpty():
-            break
-    else:
-        raise RuntimeError(f"surrogates still collide after {rounds} rounds")
-    return done.select("pii_kind", "found_text", "surrogate")
+                new = [surrogate(secret, k, s, attempt) for k, s in zip(kinds, said, strict=True)]
+                yield pa.record_batch([b.column(0), b.column(1), b.column(2), pa.array(new, pa.string())], ["pii_kind", "found_text", "entity", "surrogate"])
+
+        return left.select("pii_kind", "found_text", "entity").mapInArrow(run, "pii_kind string, found_text string, entity string, surrogate string")
+
+    def entities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            e = [canonical(k, s) for k, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(e, pa.string())], ["pii_kind", "found_text", "entity"])
+
+    others = cut(every.filter("pii_kind <> 'person'").mapInArrow(entities, "pii_kind string, found_text string, entity string"))
+    done = _settle(others, make, "entity", "pii_kind", others.select("pii_kind", F.col("found_text").alias("surrogate")))
+    return people.unionByName(done.select("pii_kind", "found_text", "surrogate"))
 
 
 def replace(df: DataFrame, people: DataFrame, secret: bytes, key: str = "rowid", text: str = "content", placeholders: bool = False) -> DataFrame:
     """key, text with every mention replaced; texts without a mention stay, null stays null.
 
-    ``key`` must be unique.  A row's mentions are put together by its key, so a group is one text's.
+    ``key`` must be unique.  A row's mentions are put together by its key, so a group is one text's.  ``people`` may
+    have a gender (f or m); else a given name's usual ending tells.
     """
     mentions = cut(find(df, people, key, text))
     if placeholders:
 
         def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                n = [f"[{k.upper()}_{_number(secret, k, canonical(k, s)):039d}"[: len(k) + 14] + "]" for k, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+                n = [f"[{k.upper()}_{_number(secret, k, canonical(k, s)):078d}"[: len(k) + 14] + "]" for k, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
                 yield pa.record_batch([b.column(0), b.column(1), pa.array(n, pa.string())], ["pii_kind", "found_text", "surrogate"])
 
         table = mentions.select("pii_kind", "found_text").distinct().mapInArrow(label, "pii_kind string, found_text string, surrogate string")
     else:
-        table = surrogates(mentions, secret)
+        known = people.select(F.lower("given_name"), F.lower(F.substring("gender", 1, 1))).toLocalIterator() if "gender" in people.columns else []
+        table = surrogates(mentions, secret, {g: x for g, x in known if g and x in ("f", "m")})
     own = mentions.join(table, ["pii_kind", "found_text"]).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("start", "end", "surrogate"))).alias("m"))
     rows = df.select(key, text).join(own, key, "left")
 

@@ -201,6 +201,10 @@ def test_look_edges(spark):
     assert looks(spark, []) == set()
     assert looks(spark, [None, "", " ", "\u200b", "\u00a0", "same", "same"]) == set()
     assert looks(spark, ["a\r\nb", "a\nb", "a\n\nb"]) == {(0, 1)}
+    assert looks(spark, ["CIVIL I", "ⅭⅠⅤⅠL Ⅰ", "ᏟIᏙIᏞ ꓲ", "𝐂𝐈𝐕𝐈𝐋 𝐈", "CIVIL 1"]) == set(itertools.combinations(range(4), 2))
+    assert looks(spark, ["ĳs ǆ Ⅲ", "ijs dž III", "іјs dž ІІІ"]) == set(itertools.combinations(range(3), 2))  # strings of Cyrillic letters too
+    df = spark.createDataFrame([(3, "a"), (4, "а"), (5, "b"), (6, " "), (7, None), (None, "a"), (3, "a")], "doc_id bigint, text string")
+    assert {tuple(x) for x in lookalike.look_classes(df).collect()} == {(3, 3, 2, 2), (4, 3, 2, 2), (5, 5, 1, 1)}
     assert looks(spark, ["ﾊﾞ" * 5000, "バ" * 5000]) == {(0, 1)}
 
 
@@ -399,11 +403,13 @@ def test_no_false_finds():
 
 
 def test_surrogates_keep_distinctness_and_coreference(spark, people):
-    texts = [(1, TEXT), (2, "cc Wenna Satasen, no reply. Mail WENNA.S+X@MAIL.EXAMPLE.ORG"), (3, None), (4, "nothing")]
+    texts = [(1, TEXT), (2, "cc Wenna Satasen, no reply. Mail WENNA.S+X@MAIL.EXAMPLE.ORG"), (3, None), (4, "nothing"), (5, "thanks W. Satasen")]
     df = spark.createDataFrame(texts, "rowid bigint, content string")
     table = {(x[0], x[1]): x[2] for x in pii.surrogates(pii.find(df, people), b"key").collect()}
     g, f = (s.lower() for s in table["person", "Wenna Satasen"].split(" "))
     assert table["person", "Satasen, Wenna"].lower() == f"{f}, {g}" and table["person", "WENNA SATASEN"] == f"{g} {f}".upper()
+    assert table["person", "W. Satasen"].lower() == f"{g[0]}. {f}"
+    assert g[-1] in "ae" and g[0] != "w" and f[0] != "s"
     assert table["email", "wenna.s+x@mail.example.org"] == table["email", "WENNA.S+X@MAIL.EXAMPLE.ORG"]
     phone = table["phone", "+1 (769) 555-0128"]
     assert [c if not c.isdigit() else "9" for c in phone] == [c if not c.isdigit() else "9" for c in "+1 (769) 555-0128"]
@@ -415,6 +421,28 @@ def test_surrogates_keep_distinctness_and_coreference(spark, people):
     assert "[EMAIL_" in marked[2] and "[PERSON_" in marked[1] and marked[1].count("[") == len(pii.Finder(*zip(*PEOPLE, strict=True))(TEXT))
 
 
+def test_names_of_other_scripts(spark):
+    names = [("Łukasz", "Šimek"), ("Иван", "Петров"), ("Ελένη", "Γιαννάκη"), ("Ada", "Ott")]
+    folk = spark.createDataFrame([(i, g, f, "h", "m" if g == "Łukasz" else None) for i, (g, f) in enumerate(names)], "person_id bigint, given_name string, family_name string, handle string, gender string")
+    df = spark.createDataFrame([(i, f"Seen: {g} {f} and И. Петров at 12 Rue de Rivoli, 75001 Paris, DE89 3704 0044 0532 0130 00, 4111 1111 1111 1111.") for i, (g, f) in enumerate(names)], "rowid bigint, content string")
+    found = {(x["pii_kind"], x["found_text"]) for x in pii.find(df, folk).collect()}
+    assert found == {("person", f"{g} {f}") for g, f in names} | {("person", "И. Петров"), ("address", "12 Rue de Rivoli, 75001 Paris"), ("id_number", "DE89 3704 0044 0532 0130 00"), ("id_number", "4111 1111 1111 1111")}
+    out = {x["rowid"]: x["content"] for x in pii.replace(df, folk, b"key").collect()}
+    for i, (g, f) in enumerate(names):
+        new = out[i].removeprefix("Seen: ").split(" ")[:2]
+        assert {pii.script_of(c) for c in new[0] + new[1]} == {pii.script_of(g[0])} and g not in out[i] and f not in out[i] and "Rivoli" not in out[i] and "4111" not in out[i]
+    assert out[0].split(" ")[1][-1] in "lmnrs"  # the given gender
+
+
+def test_surrogates_never_run_out(spark):
+    """More people, phones and numbers than short surrogates there are: all distinct, none an original."""
+    said = [("person", f"{g.capitalize()} {f.capitalize()}") for g in ("anna", "annb") for f in (f"a{i:04d}".translate(str.maketrans("0123456789", "bcdfghjklm")) for i in range(6000))]
+    said += [("phone", f"+1 {i:07d}") for i in range(3000)] + [("id_number", f"{i:03d}") for i in range(1000)]  # all numbers of three digits are taken
+    got = pii.surrogates(spark.createDataFrame(said, "pii_kind string, found_text string"), b"key").collect()
+    assert len(got) == len(said) and len({(x[0], x[2]) for x in got}) == len(said)
+    assert not {(x[0], x[2]) for x in got} & set(said)
+
+
 # 4: markup
 
 
@@ -425,6 +453,10 @@ def test_surrogates_keep_distinctness_and_coreference(spark, people):
         ("== Head ''it'' ==\n\n# one [[A|b]]\n# two<ref>note</ref>\n\n<math>a &lt; b</math>\n\n<syntaxhighlight lang=\"x\">\n<p>&amp;</p>\n</syntaxhighlight>\n[[Category:X]]", [("markup", "wiki"), ("heading", "Head it"), ("list_item", "one b"), ("list_item", "two"), ("formula", "a < b"), ("code_block", "<p>&amp;</p>")]),
         ("<H2 id=\"s\">Head <em class='x'>it</em></H2><ul><li>one &amp; <a href=\"u\">b</a><li>two</ul><pre><code>x &lt; 1\ny</code></pre><script>f()</script>", [("markup", "html"), ("heading", "Head it"), ("list_item", "one & b"), ("list_item", "two"), ("code_block", "x < 1 y")]),
         ("\\section*{Head \\emph{it}}\\label{s}\n\n\\begin{itemize}\n\\item one \\& two~\\cite{x}\n\\item \\href{u}{b} \\textless{} c\n\\end{itemize}\n\n\\[ a^2 \\]\n\n\\begin{verbatim}\n\\item no\n\\end{verbatim}\nand \\(b\\).", [("markup", "latex"), ("heading", "Head it"), ("list_item", "one & two"), ("list_item", "b < c"), ("formula", "a^2"), ("code_block", "\\item no"), ("formula", "b")]),
+        ("# Title\n* one\n* two words", [("markup", "markdown"), ("heading", "Title"), ("list_item", "one"), ("list_item", "two words")]),
+        ("## Plan\n\n- buy flour and\n  enough salt\n- call **Ada**\n\nThe end.", [("markup", "markdown"), ("heading", "Plan"), ("list_item", "buy flour and enough salt"), ("list_item", "call Ada")]),
+        ("\\section{A {b {c {d {e}}}} f}\n\n\\[" + "\n".join(f"x_{i} &= {i} \\\\" for i in range(60)) + "\\]", [("markup", "latex"), ("heading", "A b c d e f"), ("formula", " ".join(f"x_{i} &= {i} \\\\" for i in range(60)))]),
+        ("== Weather ==\n\n* [[Rain]] in ''May''\n* Sun\n\n{{Stub}}", [("markup", "wiki"), ("heading", "Weather"), ("list_item", "Rain in May"), ("list_item", "Sun")]),
         ("Plain text costs $5 to $9, max_per == 3 & <me@x.example>, D:\\temp\\new, #12, a * b * c.", []),
     ],
 )
@@ -458,6 +490,7 @@ def test_decoding_prefers_consistent_choices():
 def test_clean():
     assert markup.clean("<h1>A &amp; b</h1><p>one <b>two</b></p><ul><li>x<li>y</ul>") == "# A & b\n\none two\n\n- x\n\n- y"
     assert markup.clean("== A ==\r\n\r\n* x ''y''\r* z\r\n[[Category:q]]") == "# A\n\n- x y\n\n- z"
+    assert markup.clean("\\[" * 30_000) and markup.clean("\\(" * 30_000 + "{" * 30_000)  # in good time
     assert markup.clean(None) is None and markup.clean("") == "" and markup.clean("plain * text") == "plain * text"
 
 
@@ -467,6 +500,8 @@ def test_markup_table(spark):
     assert [r for r in got if r[1] == "0"] == [("f", "0", "code_block", "x"), ("f", "0", "heading", "Head"), ("f", "0", "markup", "markdown")]
     assert [r for r in got if r[1] != "0"] == [("f", i, *p) for i in "12" for p in (("heading", "H"), ("markup", "markdown"))]
     assert markup.find(df.filter("rowid > 5"), "rowid", "content", "f", title="title").collect() == []
+    plain = {x["item_id"]: x["clean_text"] for x in markup.cleaned(df, "rowid", "content", "f", title="title").collect()}
+    assert plain["1"] == "T\n\n# H" and plain["2"] == "[T]\n\n# H" and plain["3"] is None and plain["4"] == ""
     c = markup.clean_column(df, "content")
     assert c.columns == df.columns and c.count() == 7
 
