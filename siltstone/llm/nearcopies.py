@@ -1,7 +1,7 @@
 """Problem 7: near-duplicate records with small edits, found exactly by bit-sliced comparison.
 
 1. One pass over all texts hashes the runs of three words (shingles), notes the text's digest and counts the
-   shingles in a table of fixed size.  Equal texts are one text from here on.
+   shingles in a table of about four cells a shingle, up to 2**MAX_BITS.  Equal texts are one text from here on.
 2. Two texts of similarity t or more share one of the n - ceil(t n) + 1 first shingles of each, in any common
    order of the shingles.  The order is by count, rare first, so few texts meet at a shingle.  Each text is sent to
    the places of those shingles with a parity sketch: every shingle flips one of 256 bits, so the Hamming distance of
@@ -12,8 +12,10 @@
    pairs exceed their radius are abandoned.
 4. What is left is compared exactly.
 
-No link is lost: steps 2 and 3 only drop pairs that cannot reach t.  A place with more than CELL texts, by the
-count table's upper bound, is split into cells of pairs of parts that go to different tasks.
+No link is lost: steps 2 and 3 only drop pairs that cannot reach t.  A place with more than CELL texts is split into
+cells of pairs of parts that go to different tasks; how many it has is known from the table where cells are shared by
+few shingles (MAX_LOAD), and is counted exactly beyond that.  Tasks of step 3 hold one of many parts of the places at a
+time, whose number follows from the counted shingles.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ import math
 import re
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 from fractions import Fraction
 
 import numpy as np
@@ -34,10 +37,16 @@ from pyspark.sql import functions as F
 from siltstone.runtime import cut, width
 
 WORDS, THRESHOLD = 3, 0.6
-#: log2 of the count table's cells; cells a slice of it; texts that one cell of a place is meant for.
-TABLE_BITS, SLICE, CELL = 22, 1 << 16, 2048
+#: log2 of the count table's most cells; cells a slice of it; texts that one cell of a place is meant for.
+MAX_BITS, SLICE, CELL = 26, 1 << 16, 2048
+#: Shingles a cell of the table up to which its count is as good as the shingle's own, to split places by.
+MAX_LOAD = CELL // 8
+#: Entries (a text at a place) that a part is meant for, and shingles at crowded places the driver may get.
+PART_ENTRIES, MAX_CROWDED = 1 << 18, 1 << 22
+#: The table's bytes: counts, but these two for more than they say and for more than CELL.
+SOME, CROWDED = 254, 255
 PLANES = 256
-#: log2 of the bits of the table that keeps texts without a candidate from the last shuffle.
+#: log2 of the most bits of the table that keeps texts without a candidate from the last shuffle.
 REDUCER_BITS = 26
 _WORD = re.compile(r"[^\W_]+")
 _MIX1, _MIX2, _MIX3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -83,17 +92,36 @@ def prefix_length(n: np.ndarray, t: Fraction) -> np.ndarray:
     return n + (-t.numerator * n) // t.denominator + 1
 
 
+def _packed_cells(cell: np.ndarray, n: np.ndarray) -> tuple[list[int], list[bytes]]:
+    """Slices and their cells' counts: offsets in the slice, then counts."""
+    at = cell // SLICE
+    first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else np.empty(0, np.int64)
+    out = []
+    for lo, hi in zip(first, np.r_[first[1:], len(at)].astype(np.int64)):
+        out.append(zlib.compress((cell[lo:hi] % SLICE).astype(np.uint16).tobytes() + np.minimum(n[lo:hi], 2**32 - 1).astype(np.uint32).tobytes(), 1))
+    return at[first].tolist(), out
+
+
+def _unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = zlib.decompress(raw)
+    m = len(raw) // 6
+    return np.frombuffer(raw, np.uint16, m), np.frombuffer(raw, np.uint32, m, 2 * m)
+
+
 def _read(size: int, bits: int):
     """rowid, content -> rows (rowid, digest) of texts with a shingle, then rows (slice, counts) of the task."""
     names = ["rowid", "digest", "slice", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, seen, held = np.zeros(1 << bits, np.uint32), [], 0
+        cells, totals, seen, held = np.empty(0, np.int64), np.empty(0, np.int64), [], 0
 
         def count() -> None:
-            nonlocal seen, held
+            nonlocal cells, totals, seen, held
             if seen:
-                table[:] += np.bincount(np.concatenate(seen), minlength=len(table)).astype(np.uint32)
+                c, n = np.unique(np.concatenate(seen), return_counts=True)
+                both, n = np.concatenate([cells, c]), np.concatenate([totals, n])
+                cells, at = np.unique(both, return_inverse=True)
+                totals = np.bincount(at, n).astype(np.int64)
             seen, held = [], 0
 
         for b in batches:
@@ -110,32 +138,96 @@ def _read(size: int, bits: int):
                     digests.append(hashlib.blake2b(" ".join(d).encode("utf-8", "surrogatepass"), digest_size=16).digest())
             yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(digests, pa.binary()), pa.nulls(len(ids), pa.int32()), pa.nulls(len(ids), pa.binary())], names)
         count()
-        at = [i for i in range(0, len(table), SLICE) if table[i : i + SLICE].any()]
-        packed = [zlib.compress(np.minimum(table[i : i + SLICE], 65535).astype(np.uint16).tobytes(), 1) for i in at]
-        yield pa.record_batch([pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.binary()), pa.array([i // SLICE for i in at], pa.int32()), pa.array(packed, pa.binary())], names)
+        at, packed = _packed_cells(cells, totals)
+        yield pa.record_batch([pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.binary()), pa.array(at, pa.int32()), pa.array(packed, pa.binary())], names)
 
     return run
 
 
 def _add_slices(pdf: pd.DataFrame) -> pd.DataFrame:
-    total = 0
+    total = np.zeros(SLICE, np.uint64)
     for c in pdf["counts"]:
-        raw = zlib.decompress(c)
-        total = total + np.frombuffer(raw, np.uint16 if len(raw) <= 2 * SLICE else np.uint64).astype(np.uint64)
-    # eight bytes a cell tell a sum from a task's own counts; a slice is SLICE cells
-    return pd.DataFrame({"slice": pdf["slice"].iloc[:1], "counts": [zlib.compress(total.tobytes(), 1)]})
+        cell, n = _unpacked(c)
+        total[cell] += n
+    at = np.flatnonzero(total)
+    return pd.DataFrame({"slice": pdf["slice"].iloc[:1], "counts": _packed_cells(at, total[at])[1][:1]})
+
+
+@dataclass
+class Counts:
+    """The table: a byte a cell, and the counts of its crowded cells."""
+
+    bits: int
+    table: np.ndarray
+    cells: np.ndarray
+    counts: np.ndarray
+
+    def of(self, h: np.ndarray) -> np.ndarray:
+        """Counts to order shingles by; more than SOME are alike up to CELL."""
+        cell = (h >> np.uint64(64 - self.bits)).astype(np.int64)
+        out = self.table[cell].astype(np.int64)
+        at = np.flatnonzero(out == CROWDED)
+        if len(at):
+            out[at] = self.counts[np.searchsorted(self.cells, cell[at])]
+        return out
 
 
-def _count_table(read: DataFrame, bits: int) -> np.ndarray:
-    """The counts of all texts; the driver gets 2**bits numbers, whatever the corpus."""
+def _count_table(read: DataFrame, bits: int) -> tuple[Counts, int, int]:
+    """The counts of all texts, all shingles, and those counted more than once; the driver gets 2**bits bytes and, of
+    crowded cells, of which there are at most one in CELL shingles, the counts."""
     rows = read.filter("slice is not null").select("slice", "counts", F.spark_partition_id().alias("salt"))
     rows = rows.withColumn("salt", F.col("salt") % 64)
     half = rows.groupBy("slice", "salt").applyInPandas(lambda key, p: _add_slices(p[["slice", "counts"]]), "slice int, counts binary")
-    table = np.zeros(1 << bits, np.uint32)
-    for r in half.groupBy("slice").applyInPandas(_add_slices, "slice int, counts binary").toLocalIterator():
-        c = np.frombuffer(zlib.decompress(r["counts"]), np.uint64)
-        table[r["slice"] * SLICE : r["slice"] * SLICE + len(c)] = np.minimum(c, 2**32 - 1)
-    return table
+
+    def finish(pdf: pd.DataFrame) -> pd.DataFrame:
+        cell, n = _unpacked(_add_slices(pdf)["counts"].iloc[0])
+        table = np.zeros(SLICE, np.uint8)
+        table[cell] = np.where(n > CELL, CROWDED, np.minimum(n, SOME))
+        big = n > CELL
+        return pd.DataFrame({"slice": pdf["slice"].iloc[:1], "bytes": [zlib.compress(table.tobytes(), 1)], "crowded": [n[big].astype(np.int64).tolist()], "n": [int(n.sum())], "several": [int(n[n > 1].sum())]})
+
+    table, cells, counts, every, several = np.zeros(1 << bits, np.uint8), [], [], 0, 0
+    for r in half.groupBy("slice").applyInPandas(finish, "slice int, bytes binary, crowded array<bigint>, n bigint, several bigint").toLocalIterator(prefetchPartitions=True):
+        own, at = np.frombuffer(zlib.decompress(r["bytes"]), np.uint8), r["slice"] * SLICE
+        table[at : at + SLICE] = own[: len(table) - at]
+        cells.append(np.flatnonzero(own == CROWDED) + at)
+        counts.append(np.array(r["crowded"], np.int64))
+        every, several = every + r["n"], several + r["several"]
+    cells, counts = (np.concatenate([np.empty(0, np.int64), *x]) for x in (cells, counts))
+    order = np.argsort(cells)
+    return Counts(bits, table, cells[order], counts[order]), every, several
+
+
+def _prefixes(docs: list[list[str]], size: int, t: Fraction, counts: Counts) -> tuple[np.ndarray, ...]:
+    """All shingles and their number in each text, and of the prefixes' ones counted more than once hash, count, text."""
+    h, n = shingles(docs, size)
+    seen = counts.of(h)
+    doc = np.repeat(np.arange(len(n)), n)
+    order = np.lexsort((h, seen, doc))
+    at, seen = h[order], seen[order]
+    rank = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
+    keep = (rank < np.repeat(prefix_length(n, t), n)) & (seen > 1)  # a shingle counted once is in one text
+    return h, n, at[keep], seen[keep], doc[keep]
+
+
+def _crowded(texts: DataFrame, size: int, t: Fraction, counts) -> tuple[np.ndarray, np.ndarray] | None:
+    """Shingles with more than CELL texts at their place, and how many: counted exactly, before the shuffle first.
+
+    None if there are too many for the driver; then places are split by the table's upper bounds.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            _, _, h, seen, _ = _prefixes([words(x) for x in b.column(1).to_pylist()], size, t, counts.value)
+            yield pa.record_batch([pa.array(h[seen > CELL].view(np.int64))], ["h"])
+
+    many = cut(texts.mapInArrow(run, "h bigint").groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CELL))
+    if many.count() > MAX_CROWDED:
+        return None
+    got = [(r["h"], r["n"]) for r in many.toLocalIterator()]
+    h = np.array([x for x, _ in got], np.int64).view(np.uint64)
+    order = np.argsort(h)
+    return h[order], np.array([x for _, x in got], np.int64)[order]
 
 
 def parity(h: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -146,26 +238,21 @@ def parity(h: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.packbits(odd.reshape(len(n), PLANES), axis=1, bitorder="little").view(np.uint64)
 
 
-def _places(size: int, bits: int, t: Fraction, counts, parts: int):
+def _places(size: int, t: Fraction, counts, crowded, parts: int):
     """rowid, content -> part, rowid, n, sketch, places, cells: the text's sketch for each task that has one of its places."""
     names = ["part", "rowid", "n", "sketch", "places", "cells"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = counts.value
         for b in batches:
             if not b.num_rows:
                 continue
-            docs = [words(x) for x in b.column(1).to_pylist()]
-            h, n = shingles(docs, size)
-            sketch, ids = parity(h, n), b.column(0).to_numpy()
-            seen = table[(h >> np.uint64(64 - bits)).astype(np.int64)]
-            doc = np.repeat(np.arange(len(n)), n)
-            order = np.lexsort((h, seen, doc))
-            h, seen = h[order], seen[order]
-            start = np.cumsum(n) - n
-            rank = np.arange(len(h)) - np.repeat(start, n)
-            keep = (rank < np.repeat(prefix_length(n, t), n)) & (seen > 1)  # a shingle counted once is in one text
-            h, seen, doc = h[keep], seen[keep].astype(np.int64), doc[keep]
+            ids = b.column(0).to_numpy()
+            every, n, h, seen, doc = _prefixes([words(x) for x in b.column(1).to_pylist()], size, t, counts.value)
+            sketch = parity(every, n)
+            if crowded is not None:  # exact numbers of texts
+                big, many = crowded.value
+                at = np.minimum(np.searchsorted(big, h), max(len(big) - 1, 0))
+                seen = np.where(big[at] == h, many[at], 1) if len(big) else np.ones_like(seen)
             # a place of g parts: this text's part against each
             g = -(-seen // CELL)
             at = np.repeat(np.arange(len(h)), g)
@@ -329,10 +416,9 @@ def compare_places(place: np.ndarray, ids: np.ndarray, n: np.ndarray, sketch: np
 
 
 def _candidates(t: Fraction):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [b for b in batches if b.num_rows]
-        if not rows:
-            return
+    """Texts sorted by part -> candidate pairs; one part is held at a time."""
+
+    def compare(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(rows).combine_chunks()
         places = table.column("places").combine_chunks()
         each = np.diff(places.offsets.to_numpy())
@@ -343,6 +429,20 @@ def _candidates(t: Fraction):
         for lo in range(0, len(out), 100_000):
             yield pa.record_batch([pa.array(out[lo : lo + 100_000, 0]), pa.array(out[lo : lo + 100_000, 1])], ["a", "b"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, at = [], None
+        for b in batches:
+            part = b.column(0).to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)] if len(part) else []
+            for lo, hi in zip(edges, edges[1:]):
+                if held and part[lo] != at:
+                    yield from compare(held)
+                    held = []
+                at = part[lo]
+                held.append(b.slice(lo, hi - lo))
+        if held:
+            yield from compare(held)
+
     return run
 
 
@@ -370,7 +470,7 @@ def _join_marks(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"slice": pdf["slice"].iloc[:1], "marks": [zlib.compress(every.tobytes(), 1)]})
 
 
-def _only_marked(rows: DataFrame, met: DataFrame, bits: int = REDUCER_BITS) -> DataFrame:
+def _only_marked(rows: DataFrame, met: DataFrame, bits: int) -> DataFrame:
     """rows whose id may be in a candidate pair: all that are, and few others while the table is sparse."""
     marks = met.mapInArrow(_mark(bits), "slice int, marks binary").withColumn("salt", F.spark_partition_id() % 64)
     half = marks.groupBy("slice", "salt").applyInPandas(lambda key, p: _join_marks(p[["slice", "marks"]]), "slice int, marks binary")
@@ -415,30 +515,38 @@ def _verify(size: int, t: Fraction):
     return run
 
 
-def similar_classes(df: DataFrame, key: str = "rowid", text: str = "content", threshold: float = THRESHOLD, size: int = WORDS, bits: int = TABLE_BITS) -> tuple[DataFrame, DataFrame]:
+def similar_classes(df: DataFrame, key: str = "rowid", text: str = "content", threshold: float = THRESHOLD, size: int = WORDS, max_bits: int = MAX_BITS, exact_load: int = MAX_LOAD) -> tuple[DataFrame, DataFrame]:
     """(members, links): members key, class (smallest key with the same words) of every text with ``size`` words or
     more; links a, b, similarity between classes, a < b, of at least ``threshold``: all there are.
 
     Null, empty and shorter texts have no row; null keys none.  Repeated rows with one key count once.  Other
-    columns are ignored.
+    columns are ignored.  ``max_bits`` and ``exact_load`` only change the cost.
     """
     spark = df.sparkSession
     t = Fraction(str(threshold))
     if not 0 < t <= 1:
         raise ValueError("threshold must be above 0 and at most 1")
     rows = df.select(F.col(key).cast("bigint").alias("rowid"), F.col(text).alias("content")).filter("rowid is not null and content is not null")
+    about = (rows.agg(F.sum(F.length("content"))).first()[0] or 0) // 6  # shingles, for the table's size only
+    bits = min(max_bits, max(16, math.ceil(math.log2(about + 1)) + 2))
     read = cut(rows.mapInArrow(_read(size, bits), "rowid bigint, digest binary, slice int, counts binary"))
-    counts = spark.sparkContext.broadcast(_count_table(read, bits))
+    table, every, several = _count_table(read, bits)
+    counts = spark.sparkContext.broadcast(table)
     known = read.filter("slice is null").groupBy("rowid").agg(F.min("digest").alias("digest"))
     firsts = known.groupBy("digest").agg(F.min("rowid").alias("class"))
     members = cut(known.join(firsts, "digest").select("rowid", "class"))
     heads = members.filter("rowid = class").select("rowid")
     # one text per class; a repeated key keeps one of its texts
     texts = rows.join(heads, "rowid", "left_semi").dropDuplicates(["rowid"])
-    parts = width(spark)
-    sent = texts.mapInArrow(_places(size, bits, t, counts, parts), "part int, rowid bigint, n int, sketch binary, places array<int>, cells array<tinyint>")
-    met = cut(sent.repartitionById(parts, "part").mapInArrow(_candidates(t), "a bigint, b bigint").distinct())
-    some = _only_marked(rows, met).join(heads, "rowid", "left_semi").dropDuplicates(["rowid"])
+    crowded = None
+    if every > exact_load << bits and (exact := _crowded(texts, size, t, counts)) is not None:
+        crowded = spark.sparkContext.broadcast(exact)
+    # a prefix is n - ceil(t n) + 1 shingles, rare ones first: of those counted more than once no more than that share
+    parts = max(width(spark), several // PART_ENTRIES)
+    sent = texts.mapInArrow(_places(size, t, counts, crowded, parts), "part int, rowid bigint, n int, sketch binary, places array<int>, cells array<tinyint>")
+    met = cut(sent.repartitionById(parts, "part").sortWithinPartitions("part").mapInArrow(_candidates(t), "a bigint, b bigint").distinct())
+    reducer = min(REDUCER_BITS, max(16, math.ceil(math.log2(2 * met.count() + 1)) + 3))
+    some = _only_marked(rows, met, reducer).join(heads, "rowid", "left_semi").dropDuplicates(["rowid"])
     left = met.join(some.withColumnsRenamed({"rowid": "a", "content": "ta"}), "a")
     pairs_ = left.join(some.withColumnsRenamed({"rowid": "b", "content": "tb"}), "b").select("a", "b", "ta", "tb")
     return members.select(F.col("rowid").alias(key), "class"), pairs_.mapInArrow(_verify(size, t), "a bigint, b bigint, similarity double")

@@ -337,7 +337,8 @@ def edited(r, n):
 def test_near_copies_brute_force(spark):
     texts = edited(random.Random(7), 300) | {900: None, 901: "", 902: "one two", 903: "a b c", 904: "A, b -- C"}
     assert similar(spark, texts) == brute_similar(texts)
-    assert similar(spark, texts, threshold=0.8, size=5, bits=16) == brute_similar(texts, 0.8, 5)
+    assert similar(spark, texts, threshold=0.8, size=5) == brute_similar(texts, 0.8, 5)
+    assert similar(spark, texts, max_bits=5) == brute_similar(texts)  # a table far too small
 
 
 def test_hot_places_are_split(spark, monkeypatch):
@@ -346,6 +347,9 @@ def test_hot_places_are_split(spark, monkeypatch):
     base = [f"w{i}" for i in range(40)]
     texts = {i: " ".join(base[:20] + r.choices(base, k=r.randint(0, 12)) + base[20:]) for i in range(90)} | {500 + i: " ".join(base) for i in range(20)}
     assert similar(spark, texts) == brute_similar(texts)
+    assert similar(spark, texts, max_bits=8, exact_load=1) == brute_similar(texts)  # exact numbers beside a full table
+    monkeypatch.setattr(nearcopies, "MAX_CROWDED", 0)
+    assert similar(spark, texts, max_bits=8, exact_load=1) == brute_similar(texts)
 
 
 def test_near_copies_edges(spark):
