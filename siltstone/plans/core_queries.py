@@ -473,7 +473,59 @@ SELECT seed_id, row_number() OVER (PARTITION BY seed_id ORDER BY step, n, ref, c
 FROM once QUALIFY position <= {limit}"""
 
 
+_BLANK = r"[\s\x0b\x85\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+_TAIL = (
+    r"(?:(?:[Tt]|,? |, ?)(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d+))?)?(?: ?([AaPp])\.?[Mm]\.?)?(?: ?([+-]\d{2}(?::?\d{2})?(?::\d{2})?))?(?: ?\(?([A-Za-z]{1,5})\)?)?)?"
+)
+_SHAPES = {
+    "ymd": (r"(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})" + _TAIL, "y m d"),
+    "packed": (r"(\d{4})(\d{2})(\d{2})[Tt](\d{2})(\d{2})(?:(\d{2})(?:[.,](\d+))?)?()(?: ?([+-]\d{2}(?::?\d{2})?(?::\d{2})?))?(?: ?\(?([A-Za-z]{1,5})\)?)?", "y m d"),
+    "num": (r"(\d{1,2})[-/.](\d{1,2})[-/.](\d{4})" + _TAIL, "a b y"),
+    "dmon": (r"(?:[A-Za-z]{2,9}\.?,? )?(\d{1,2})(?:st|nd|rd|th)?[ -]([A-Za-z]{3,9})\.?,?[ -](\d{4})" + _TAIL, "d mon y"),
+    "mond": (r"(?:[A-Za-z]{2,9}\.?,? )?([A-Za-z]{3,9})\.? (\d{1,2})(?:st|nd|rd|th)?,? (\d{4})" + _TAIL, "mon d y"),
+}
+
+
+def _times_sql() -> str:
+    """The values that denote one instant, by shape, offset, zone and the source's settings."""
+    read = []
+    for kind, (pattern, names) in _SHAPES.items():
+        fields = ", ".join(f"'{n}'" for n in (*names.split(), "hh", "mm", "ss", "f", "ap", "off", "ab"))
+        got = f"regexp_extract(s, '^{pattern}$', [{fields}])"
+        part = lambda n: f"x.{n}" if n in names.split() else "NULL"  # noqa: B023, E731
+        date = {
+            "num": "x.y AS y, CASE date_order WHEN 'dmy' THEN x.b ELSE x.a END AS mo, CASE date_order WHEN 'dmy' THEN x.a ELSE x.b END AS d",
+            "dmon": "x.y AS y, x.mon AS mo, x.d AS d", "mond": "x.y AS y, x.mon AS mo, x.d AS d",
+        }.get(kind, f"{part('y')} AS y, {part('m')} AS mo, {part('d')} AS d")
+        read.append(f"SELECT rowid, stamp_field, tz, zone, '{kind}' AS kind, {date}, x.hh AS h, x.mm AS mi, x.ss AS se, x.f AS f, x.ap AS ap, x.off AS off, x.ab AS ab FROM (SELECT *, {got} AS x FROM z WHERE regexp_matches(s, '^{pattern}$'))")
+    months = ", ".join(f"'{m}': {n}" for m, n in timestamps.MONTHS.items())
+    names = ", ".join(f"'{a}': {m}" for a, m in timestamps.ABBREVIATIONS.items())
+    local = "timezone(use, make_timestamptz({}))"
+    return rf"""
+WITH t AS (SELECT rowid, source_type, stamp_field, trim(regexp_replace(replace(v, '−', '-'), '{_BLANK}', ' ', 'g')) AS s FROM (
+  SELECT rowid, source_type, unnest(['created_at', 'updated_at']) AS stamp_field, unnest([created_at, updated_at]) AS v FROM chunks)),
+z AS (SELECT rowid, stamp_field, tz, date_order, coalesce(nullif(regexp_extract(s, ' ?\[?([A-Za-z]+/[A-Za-z0-9_+/-]+)\]?$', 1), ''), nullif(regexp_extract(s, '\[(UTC|GMT)\]$', 1), '')) AS zone,
+  regexp_replace(s, ' ?\[?[A-Za-z]+/[A-Za-z0-9_+/-]+\]?$| ?\[(UTC|GMT)\]$', '') AS s
+  FROM t LEFT JOIN sources USING (source_type) WHERE s <> ''),
+unix AS (SELECT rowid, stamp_field, s::BIGINT * CASE WHEN length(s) <= 11 THEN 1000000 WHEN length(s) <= 14 THEN 1000 ELSE 1 END AS epoch_us FROM z WHERE regexp_matches(s, '^\d{{1,17}}$')),
+r AS ({" UNION ALL ".join(read)}),
+n AS (SELECT *, CASE WHEN kind IN ('dmon', 'mond') THEN map {{{months}}}[lower(mo)] ELSE try_cast(mo AS INT) END AS month,
+  CASE WHEN ap <> '' THEN CASE WHEN h::INT BETWEEN 1 AND 12 THEN h::INT % 12 + 12 * (lower(ap) = 'p')::INT END ELSE coalesce(try_cast(h AS INT), 0) END AS hour FROM r),
+u AS (SELECT *, try_cast(printf('%04d-%02d-%02d %02d:%02d:%02d', y::INT, month::INT, d::INT, hour::INT, coalesce(try_cast(mi AS INT), 0), coalesce(try_cast(se AS INT), 0)) AS TIMESTAMP) AS ts,
+  coalesce(try_cast(rpad(substr(f, 1, 6), 6, '0') AS INT), 0) AS micro, rpad(replace(substr(off, 2), ':', ''), 6, '0') AS o FROM n WHERE month IS NOT NULL AND hour IS NOT NULL),
+w AS (SELECT *, epoch_us(ts) AS us, coalesce(zone, tz) AS use,
+  CASE WHEN off <> '' THEN (substr(o, 1, 2)::BIGINT * 3600 + substr(o, 3, 2)::BIGINT * 60 + substr(o, 5, 2)::BIGINT) * CASE off[1] WHEN '-' THEN -1 ELSE 1 END
+    WHEN ab <> '' THEN map {{{names}}}[upper(ab)] * 60 END AS fixed FROM u WHERE ts IS NOT NULL AND (coalesce(ab, '') = '' OR map {{{names}}}[upper(ab)] IS NOT NULL)),
+c AS (SELECT rowid, stamp_field, micro, h, us, use, unnest([epoch_us(timezone(use, ts)), us - epoch_us(timezone(use, make_timestamptz(us - 86400000000))) + us - 86400000000, us - epoch_us(timezone(use, make_timestamptz(us + 86400000000))) + us + 86400000000]) AS e
+  FROM w WHERE fixed IS NULL AND use IS NOT NULL),
+fits AS (SELECT rowid, stamp_field, micro, h, e FROM c WHERE epoch_us({local.format("e")}) = us),
+whole AS (SELECT rowid, stamp_field, min(e) + any_value(micro) AS epoch_us FROM fits GROUP BY ALL HAVING count(DISTINCT e) = 1 OR any_value(coalesce(h, '')) = ''),
+gap AS (SELECT rowid, stamp_field, max(e) AS epoch_us FROM c WHERE coalesce(h, '') = '' AND (rowid, stamp_field) NOT IN (SELECT (rowid, stamp_field) FROM fits) GROUP BY ALL)
+SELECT DISTINCT * FROM (SELECT rowid, stamp_field, us - fixed * 1000000 + micro AS epoch_us FROM w WHERE fixed IS NOT NULL UNION ALL SELECT * FROM whole UNION ALL SELECT * FROM gap UNION ALL SELECT * FROM unix)"""
+
+
 SQL = {
+    "p2_found": _times_sql(),
     "p1_found": rf"""
 WITH dig AS (SELECT *, coalesce({_DIGEST}, sha256(coalesce(content, ''))) AS hash FROM chunks WHERE id IS NOT NULL),
 latest AS (SELECT * FROM dig QUALIFY row_number() OVER (PARTITION BY id ORDER BY load_seq DESC, rowid DESC) = 1),
