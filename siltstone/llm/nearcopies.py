@@ -6,7 +6,7 @@
    order of the shingles.  The order is by count, rare first, so few texts meet at a shingle.  Each text is sent to
    the places of those shingles with a parity sketch: every shingle flips one of 256 bits, so the Hamming distance of
    two sketches never exceeds the number of shingles in only one of the texts, and a pair beyond the radius
-   floor((1 - t) / (1 + t) * (|x| + |y|)) cannot be similar.
+   floor((1 - t) / (1 + t) * (|x| + |y|)) cannot be similar.  Short texts travel with a sketch folded to 128 bits.
 3. A place holds its texts' sketches as vertical bit planes.  All pairs at one offset are compared at once: planes
    are shifted, combined by exclusive or and summed by carry-save counters, 64 pairs a word; words in which all
    pairs exceed their radius are abandoned.
@@ -42,10 +42,13 @@ MAX_BITS, SLICE, CELL = 26, 1 << 16, 2048
 #: Shingles a cell of the table up to which its count is as good as the shingle's own, to split places by.
 MAX_LOAD = CELL // 8
 #: Entries (a text at a place) that a part is meant for, and shingles at crowded places the driver may get.
-PART_ENTRIES, MAX_CROWDED = 1 << 18, 1 << 22
+PART_ENTRIES, MAX_CROWDED = 1 << 19, 1 << 22
+#: Tasks' tables that are added in one step.
+SALTS = 256
 #: The table's bytes: counts, but these two for more than they say and for more than CELL.
 SOME, CROWDED = 254, 255
-PLANES = 256
+#: Bits of a text's sketch; texts of up to SHORT shingles travel with a sketch folded to SHORT_PLANES bits.
+PLANES, SHORT, SHORT_PLANES = 256, 88, 128
 #: log2 of the most bits of the table that keeps texts without a candidate from the last shuffle.
 REDUCER_BITS = 26
 _WORD = re.compile(r"[^\W_]+")
@@ -144,13 +147,32 @@ def _read(size: int, bits: int):
     return run
 
 
-def _add_slices(pdf: pd.DataFrame) -> pd.DataFrame:
-    total = np.zeros(SLICE, np.uint64)
-    for c in pdf["counts"]:
-        cell, n = _unpacked(c)
-        total[cell] += n
-    at = np.flatnonzero(total)
-    return pd.DataFrame({"slice": pdf["slice"].iloc[:1], "counts": _packed_cells(at, total[at])[1][:1]})
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
+    """Rows (slice, counts) sorted by slice -> each slice and its cells' sums."""
+    at, total = None, np.zeros(SLICE, np.uint64)
+    for b in batches:
+        for i, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            if i != at:
+                if at is not None:
+                    yield at, total
+                at, total = i, np.zeros(SLICE, np.uint64)
+            cell, n = _unpacked(raw)
+            total[cell] += n
+    if at is not None:
+        yield at, total
+
+
+def _add_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for i, total in _slices(batches):
+        at = np.flatnonzero(total)
+        yield pa.record_batch([pa.array([i], pa.int32()), pa.array(_packed_cells(at, total[at])[1], pa.binary())], ["slice", "counts"])
+
+
+def _finish_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for i, n in _slices(batches):
+        table = np.where(n > CELL, CROWDED, np.minimum(n, SOME)).astype(np.uint8)
+        crowded = pa.array([n[n > CELL].astype(np.int64).tolist()], pa.list_(pa.int64()))
+        yield pa.record_batch([pa.array([i], pa.int32()), pa.array([zlib.compress(table.tobytes(), 1)], pa.binary()), crowded, pa.array([int(n.sum())], pa.int64()), pa.array([int(n[n > 1].sum())], pa.int64())], ["slice", "bytes", "crowded", "n", "several"])
 
 
 @dataclass
@@ -175,19 +197,14 @@ class Counts:
 def _count_table(read: DataFrame, bits: int) -> tuple[Counts, int, int]:
     """The counts of all texts, all shingles, and those counted more than once; the driver gets 2**bits bytes and, of
     crowded cells, of which there are at most one in CELL shingles, the counts."""
-    rows = read.filter("slice is not null").select("slice", "counts", F.spark_partition_id().alias("salt"))
-    rows = rows.withColumn("salt", F.col("salt") % 64)
-    half = rows.groupBy("slice", "salt").applyInPandas(lambda key, p: _add_slices(p[["slice", "counts"]]), "slice int, counts binary")
-
-    def finish(pdf: pd.DataFrame) -> pd.DataFrame:
-        cell, n = _unpacked(_add_slices(pdf)["counts"].iloc[0])
-        table = np.zeros(SLICE, np.uint8)
-        table[cell] = np.where(n > CELL, CROWDED, np.minimum(n, SOME))
-        big = n > CELL
-        return pd.DataFrame({"slice": pdf["slice"].iloc[:1], "bytes": [zlib.compress(table.tobytes(), 1)], "crowded": [n[big].astype(np.int64).tolist()], "n": [int(n.sum())], "several": [int(n[n > 1].sum())]})
-
+    rows = read.filter("slice is not null").select("slice", "counts")
+    spark, tasks = read.sparkSession, read.rdd.getNumPartitions()
+    if tasks > SALTS:  # many tables are added in two steps
+        salted = rows.withColumn("salt", F.spark_partition_id() % SALTS)
+        rows = salted.repartition("slice", "salt").sortWithinPartitions("salt", "slice").select("slice", "counts").mapInArrow(_add_slices, "slice int, counts binary")
+    done = rows.repartition(min(width(spark), max(1, (1 << bits) // SLICE)), "slice").sortWithinPartitions("slice").mapInArrow(_finish_slices, "slice int, bytes binary, crowded array<bigint>, n bigint, several bigint")
     table, cells, counts, every, several = np.zeros(1 << bits, np.uint8), [], [], 0, 0
-    for r in half.groupBy("slice").applyInPandas(finish, "slice int, bytes binary, crowded array<bigint>, n bigint, several bigint").toLocalIterator(prefetchPartitions=True):
+    for r in done.toLocalIterator(prefetchPartitions=True):
         own, at = np.frombuffer(zlib.decompress(r["bytes"]), np.uint8), r["slice"] * SLICE
         table[at : at + SLICE] = own[: len(table) - at]
         cells.append(np.flatnonzero(own == CROWDED) + at)
@@ -239,8 +256,8 @@ def parity(h: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def _places(size: int, t: Fraction, counts, crowded, parts: int):
-    """rowid, content -> part, rowid, n, sketch, places, cells: the text's sketch for each task that has one of its places."""
-    names = ["part", "rowid", "n", "sketch", "places", "cells"]
+    """rowid, content -> part, texts: the batch's texts that have places of the part, with their sketches and places."""
+    names = ["part", "texts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -264,25 +281,48 @@ def _places(size: int, t: Fraction, counts, crowded, parts: int):
             side = np.where(lo == hi, 0, np.where(mine == lo, 1, 2)).astype(np.int8)
             doc = doc[at]
             part = (place % np.uint64(parts)).astype(np.int32)
-            short = (place >> np.uint64(32)).astype(np.uint32).view(np.int32)
-            order = np.lexsort((part, doc))
+            short = (place >> np.uint64(32)).astype(np.uint32)
+            order = np.lexsort((doc, part))
             doc, part, short, side = doc[order], part[order], short[order], side[order]
-            first = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (part[1:] != part[:-1])]) if len(doc) else np.empty(0, np.int64)
-            offsets = np.r_[first, len(doc)].astype(np.int32)
-            d = doc[first]
-            raw = np.ascontiguousarray(sketch[d]).tobytes()
-            wide = PLANES // 8
-            yield pa.record_batch(
-                [
-                    pa.array(part[first]), pa.array(ids[d]), pa.array(n[d].astype(np.int32)), pa.array([raw[i : i + wide] for i in range(0, len(raw), wide)], pa.binary()),
-                    pa.ListArray.from_arrays(offsets, pa.array(short)), pa.ListArray.from_arrays(offsets, pa.array(side)),
-                ],
-                names,
-            )
+            edges = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.empty(0, np.int64)
+            out = []
+            for lo, hi in zip(edges, np.r_[edges[1:], len(part)].astype(np.int64)):
+                own, at = np.unique(doc[lo:hi], return_inverse=True)
+                long = n[own] > SHORT
+                out.append(packed(ids[own].min()[None], ids[own] - ids[own].min(), n[own], fold(sketch[own[~long]]), sketch[own[long]], at, short[lo:hi], side[lo:hi] if side[lo:hi].any() else side[:0]))
+            yield pa.record_batch([pa.array(part[edges]), pa.array(out, pa.binary())], names)
 
     return run
 
 
+def fold(sketch: np.ndarray) -> np.ndarray:
+    """Sketches of PLANES bits to those of SHORT_PLANES: shingle h flips bit h % SHORT_PLANES."""
+    return np.bitwise_xor.reduce(sketch.reshape(len(sketch), PLANES // SHORT_PLANES, SHORT_PLANES // 64), axis=1)
+
+
+_KINDS = [np.uint8, np.uint16, np.uint32, np.uint64, np.int64]
+
+
+def packed(*columns: np.ndarray) -> bytes:
+    """Arrays of numbers as bytes, each in the narrowest kind that holds it."""
+    out = []
+    for c in columns:
+        flat = c.reshape(-1)
+        low, high = (int(flat.min()), int(flat.max())) if len(flat) else (0, 0)
+        kind = 4 if low < 0 else next(i for i in range(4) if high <= np.iinfo(_KINDS[i]).max)
+        out.append(kind.to_bytes(1, "little") + len(flat).to_bytes(4, "little") + flat.astype(_KINDS[kind]).tobytes())
+    return b"".join(out)
+
+
+def unpacked(raw: bytes) -> list[np.ndarray]:
+    out, at = [], 0
+    while at < len(raw):
+        kind, m = np.dtype(_KINDS[raw[at]]), int.from_bytes(raw[at + 1 : at + 5], "little")
+        out.append(np.frombuffer(raw, kind, m, at + 5))
+        at += 5 + m * kind.itemsize
+    return out
+
+
 class CarrySave:
     """Vertical counters: per level a plane and the carries waiting to be added to it."""
 
@@ -330,20 +370,20 @@ def _lanes(x: np.ndarray) -> np.ndarray:
 def within_radius(planes: np.ndarray, shift: int, radius: np.ndarray, ok: np.ndarray, step: int = 32) -> np.ndarray:
     """Of the pairs (p, p + shift) for which ok[p], those p whose sketches differ in at most radius[p] bits.
 
-    planes: (PLANES, words + enough zero words), lane p in bit p % 64 of word p // 64.
+    planes: (bits, words + enough zero words), lane p in bit p % 64 of word p // 64.
     """
     n_words = len(ok) // 64
     live = np.flatnonzero(_bits(ok))
     if not len(live):
         return np.empty(0, np.int64)
     word, bit = divmod(shift, 64)
-    levels = PLANES.bit_length()
+    levels = len(planes).bit_length()
     limit = [_bits((radius >> i & 1).astype(bool))[live] for i in range(levels)]
     alive, count = _bits(ok)[live], CarrySave(levels, len(live))
     up, down = np.uint64(bit), np.uint64(64 - bit)
-    for done in range(0, PLANES, step):
+    for done in range(0, len(planes), step):
         whole = len(live) == n_words
-        for q in range(done, min(done + step, PLANES)):
+        for q in range(done, min(done + step, len(planes))):
             p = planes[q]
             if whole:
                 a, b, c = p[:n_words], p[word : word + n_words], p[word + 1 : word + 1 + n_words]
@@ -366,10 +406,12 @@ def within_radius(planes: np.ndarray, shift: int, radius: np.ndarray, ok: np.nda
     return live[lane >> 6] * 64 + (lane & 63)
 
 
-def compare_places(place: np.ndarray, ids: np.ndarray, n: np.ndarray, sketch: np.ndarray, side: np.ndarray, t: Fraction) -> np.ndarray:
-    """(pairs, 2) ids, smaller first, that share a place and may reach t."""
+def compare_places(place: np.ndarray, ids: np.ndarray, n: np.ndarray, sketch: np.ndarray, side: np.ndarray, t: Fraction, long: np.ndarray | None = None) -> np.ndarray:
+    """(pairs, 2) ids, smaller first, that share a place and may reach t; not those that are both ``long``."""
+    bits = sketch.shape[1] * 64
+    long = np.zeros(len(ids), bool) if long is None else long
     order = np.lexsort((ids, place))
-    place, ids, n, sketch, side = place[order], ids[order], n[order], sketch[order], side[order]
+    place, ids, n, sketch, side, long = place[order], ids[order], n[order], sketch[order], side[order], long[order]
     edge = np.flatnonzero(np.r_[True, place[1:] != place[:-1]]) if len(place) else np.empty(0, np.int64)
     sizes = np.diff(np.r_[edge, len(place)])
     use = np.flatnonzero(sizes > 1)
@@ -379,14 +421,14 @@ def compare_places(place: np.ndarray, ids: np.ndarray, n: np.ndarray, sketch: np
     sizes = sizes[use]
     starts = np.cumsum(sizes) - sizes
     take = np.repeat(edge[use] - starts, sizes) + np.arange(sizes.sum())
-    ids, n, sketch, side = ids[take], n[take].astype(np.int64), sketch[take], side[take]
+    ids, n, sketch, side, long = ids[take], n[take].astype(np.int64), sketch[take], side[take], long[take]
     group = np.repeat(np.arange(len(use)), sizes)
     m, top = len(ids), int(sizes[0])
     padded = -(-m // 64) * 64
-    planes = np.zeros((PLANES, padded // 64 + top // 64 + 3), np.uint64)
+    planes = np.zeros((bits, padded // 64 + top // 64 + 3), np.uint64)
     for lo in range(0, m, 1 << 16):  # vertical form, a block at a time
         hi = min(lo + (1 << 16), m)
-        cells = np.zeros((-(-(hi - lo) // 64) * 64, PLANES), np.uint8)
+        cells = np.zeros((-(-(hi - lo) // 64) * 64, bits), np.uint8)
         cells[: hi - lo] = np.unpackbits(np.ascontiguousarray(sketch[lo:hi]).view(np.uint8), axis=1, bitorder="little")
         planes[:, lo // 64 : lo // 64 + len(cells) // 64] = np.packbits(np.ascontiguousarray(cells.T), axis=1, bitorder="little").view(np.uint64)
     near = Fraction(t.denominator - t.numerator, t.denominator + t.numerator)
@@ -403,8 +445,9 @@ def compare_places(place: np.ndarray, ids: np.ndarray, n: np.ndarray, sketch: np
             & (t.denominator * np.minimum(a, b) >= t.numerator * np.maximum(a, b))
             & ((side[p] == 0) | (side[p] != side[p + s]))
             & (ids[p] != ids[p + s])
+            & ~(long[p] & long[p + s])
         )
-        radius[: len(p)] = np.minimum(near.numerator * (a + b) // near.denominator, PLANES)
+        radius[: len(p)] = np.minimum(near.numerator * (a + b) // near.denominator, bits)
         hit = within_radius(planes, s, radius, ok)
         if len(hit):
             found.append(np.stack([ids[hit], ids[hit + s]], 1))
@@ -418,14 +461,23 @@ def compare_places(place: np.ndarray, ids: np.ndarray, n: np.ndarray, sketch: np
 def _candidates(t: Fraction):
     """Texts sorted by part -> candidate pairs; one part is held at a time."""
 
-    def compare(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(rows).combine_chunks()
-        places = table.column("places").combine_chunks()
-        each = np.diff(places.offsets.to_numpy())
-        at = np.repeat(np.arange(len(each)), each)
-        side = table.column("cells").combine_chunks().flatten().to_numpy()
-        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(len(each), -1)
-        out = compare_places(places.flatten().to_numpy(), table.column("rowid").to_numpy()[at], table.column("n").to_numpy()[at], sketch[at], side, t)
+    def compare(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+        ids, n, small, large, place, side = [], [], [], [], [], []
+        for raw in blobs:
+            base, own, size, low, high, at, where, sides = unpacked(raw)
+            own, size, at = own.astype(np.int64) + base.astype(np.int64), size.astype(np.int64), at.astype(np.int64)
+            long = size > SHORT
+            wide = np.zeros((len(own), PLANES // 64), np.uint64)
+            wide[long] = high.reshape(-1, PLANES // 64)
+            folded = np.empty((len(own), SHORT_PLANES // 64), np.uint64)
+            folded[~long], folded[long] = low.reshape(-1, SHORT_PLANES // 64), fold(wide[long])
+            for to, x in ((ids, own[at]), (n, size[at]), (small, folded[at]), (large, wide[at]), (place, where.astype(np.uint32)), (side, sides.astype(np.int8) if len(sides) else np.zeros(len(at), np.int8))):
+                to.append(x)
+        ids, n, small, large, place, side = (np.concatenate(x) for x in (ids, n, small, large, place, side))
+        long = n > SHORT
+        first = compare_places(place, ids, n, small, side, t, long)
+        del small
+        out = np.unique(np.concatenate([first, compare_places(place[long], ids[long], n[long], large[long], side[long], t)]), axis=0)
         for lo in range(0, len(out), 100_000):
             yield pa.record_batch([pa.array(out[lo : lo + 100_000, 0]), pa.array(out[lo : lo + 100_000, 1])], ["a", "b"])
 
@@ -439,7 +491,7 @@ def _candidates(t: Fraction):
                     yield from compare(held)
                     held = []
                 at = part[lo]
-                held.append(b.slice(lo, hi - lo))
+                held += b.column(1).slice(lo, hi - lo).to_pylist()
         if held:
             yield from compare(held)
 
@@ -543,7 +595,7 @@ def similar_classes(df: DataFrame, key: str = "rowid", text: str = "content", th
         crowded = spark.sparkContext.broadcast(exact)
     # a prefix is n - ceil(t n) + 1 shingles, rare ones first: of those counted more than once no more than that share
     parts = max(width(spark), several // PART_ENTRIES)
-    sent = texts.mapInArrow(_places(size, t, counts, crowded, parts), "part int, rowid bigint, n int, sketch binary, places array<int>, cells array<tinyint>")
+    sent = texts.mapInArrow(_places(size, t, counts, crowded, parts), "part int, texts binary")
     met = cut(sent.repartitionById(parts, "part").sortWithinPartitions("part").mapInArrow(_candidates(t), "a bigint, b bigint").distinct())
     reducer = min(REDUCER_BITS, max(16, math.ceil(math.log2(2 * met.count() + 1)) + 3))
     some = _only_marked(rows, met, reducer).join(heads, "rowid", "left_semi").dropDuplicates(["rowid"])
