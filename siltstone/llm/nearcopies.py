@@ -1,7 +1,7 @@
 """Problem 7: near-duplicate records with small edits, found exactly by bit-sliced comparison.
 
 1. One pass over all texts hashes the runs of three words (shingles), notes the text's digest and counts the
-   shingles in a table of about four cells a shingle, up to 2**MAX_BITS.  Equal texts are one text from here on.
+   shingles in a table of about two cells a shingle, up to 2**MAX_BITS.  Equal texts are one text from here on.
 2. Two texts of similarity t or more share one of the n - ceil(t n) + 1 first shingles of each, in any common
    order of the shingles.  The order is by count, rare first, so few texts meet at a shingle.  Each text is sent to
    the places of those shingles with a parity sketch: every shingle flips one of 256 bits, so the Hamming distance of
@@ -38,17 +38,17 @@ from siltstone.runtime import cut, width
 
 WORDS, THRESHOLD = 3, 0.6
 #: log2 of the count table's most cells; cells a slice of it; texts that one cell of a place is meant for.
-MAX_BITS, SLICE, CELL = 26, 1 << 16, 2048
+MAX_BITS, SLICE, CELL = 24, 1 << 16, 2048
 #: Shingles a cell of the table up to which its count is as good as the shingle's own, to split places by.
 MAX_LOAD = CELL // 8
 #: Entries (a text at a place) that a part is meant for, and shingles at crowded places the driver may get.
-PART_ENTRIES, MAX_CROWDED = 1 << 19, 1 << 22
+PART_ENTRIES, MAX_CROWDED = 1 << 20, 1 << 22
 #: Tasks' tables that are added in one step.
 SALTS = 256
 #: The table's bytes: counts, but these two for more than they say and for more than CELL.
 SOME, CROWDED = 254, 255
 #: Bits of a text's sketch; texts of up to SHORT shingles travel with a sketch folded to SHORT_PLANES bits.
-PLANES, SHORT, SHORT_PLANES = 256, 88, 128
+PLANES, SHORT, SHORT_PLANES = 256, 64, 128
 #: log2 of the most bits of the table that keeps texts without a candidate from the last shuffle.
 REDUCER_BITS = 26
 _WORD = re.compile(r"[^\W_]+")
@@ -580,7 +580,7 @@ def similar_classes(df: DataFrame, key: str = "rowid", text: str = "content", th
         raise ValueError("threshold must be above 0 and at most 1")
     rows = df.select(F.col(key).cast("bigint").alias("rowid"), F.col(text).alias("content")).filter("rowid is not null and content is not null")
     about = (rows.agg(F.sum(F.length("content"))).first()[0] or 0) // 6  # shingles, for the table's size only
-    bits = min(max_bits, max(16, math.ceil(math.log2(about + 1)) + 2))
+    bits = min(max_bits, max(16, math.ceil(math.log2(about + 1)) + 1))
     read = cut(rows.mapInArrow(_read(size, bits), "rowid bigint, digest binary, slice int, counts binary"))
     table, every, several = _count_table(read, bits)
     counts = spark.sparkContext.broadcast(table)
