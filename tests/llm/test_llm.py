@@ -289,6 +289,42 @@ def test_neighbours_in_a_hot_group(spark, noise, inner, family):
     assert np.mean(recall) >= 0.98 and np.mean(recall[-600:]) >= 0.98  # the hot group comes last
 
 
+def recall_of(spark, v, **how):
+    got = {}
+    for x in neighbours.nearest(spark.createDataFrame(list(v.items()), "rowid bigint, embedding array<float>"), **how).collect():
+        got.setdefault(x["id"], set()).add(x["neighbour"])
+    ids, x = np.array(list(v)), np.array(list(v.values()), np.float32).astype(float)
+    some = range(0, len(ids), max(1, len(ids) // 400))
+    hits = []
+    for i in some:
+        d = ((x - x[i]) ** 2).sum(1)
+        d[i] = np.inf
+        hits.append(len(got[int(ids[i])] & set(ids[np.argsort(d)[:5]].tolist())) / 5)
+    return np.mean(hits)
+
+
+def test_recall_without_clusters(spark):
+    r = np.random.default_rng(2)
+    x = r.normal(size=(20_000, 64))
+    v = dict(enumerate((x / np.linalg.norm(x, axis=1, keepdims=True)).tolist()))
+    assert recall_of(spark, v) >= 0.9
+    assert recall_of(spark, {i: v[i] for i in range(3000)}, exact=True, block=64, halo=16) == 1.0
+
+
+def test_ranges_meet_at_their_edges():
+    """One curve, many ranges: the same pairs as in one range."""
+    r = np.random.default_rng(4)
+    ids, x = np.arange(400), np.sort(r.normal(size=400)).astype(np.float32)[:, None]
+    rows = lambda part, own, a, b: pa.record_batch([pa.array(np.full(b - a, part, np.int32)), pa.array(np.full(b - a, own, np.int8)), pa.array(ids[a:b]), pa.array(ids[a:b]), pa.array(list(x[a:b]), pa.list_(pa.float32()))], ["part", "own", "skey", "id", "v"])
+    got = {}
+    for b in neighbours._windows(3, 32, 8)(iter([rows(0, 1, 0, 100), rows(1, 0, 80, 100), rows(1, 1, 100, 250), rows(2, 0, 230, 250), rows(2, 1, 250, 400)])):
+        for i, near, far in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            got.setdefault(i, set()).update(zip(far, near, strict=True))
+    for i in range(400):
+        want = sorted((abs(float(x[i, 0]) - float(x[j, 0])), j) for j in range(400) if j != i)[:3]
+        assert [j for _, j in sorted(got[i])[:3]] == [j for _, j in want]
+
+
 @pytest.mark.parametrize(("noise", "offset"), [(3e-5, 0.0), (0.0088, 30.0)])
 def test_rounding_hides_no_neighbour(noise, offset):
     r = np.random.default_rng(3)
@@ -296,7 +332,7 @@ def test_rounding_hides_no_neighbour(noise, offset):
     x = (np.repeat(c / np.linalg.norm(c, axis=1, keepdims=True), 20, 0) + noise * r.normal(size=(1280, 64)) + offset).astype(np.float32)
     v = dict(zip(r.permutation(1280).tolist(), x.tolist()))
     ids = np.array(list(v))
-    one = pa.record_batch([pa.array(np.zeros(1280, np.int32)), pa.array(np.zeros(1280, np.int64)), pa.array(ids), pa.array(list(x), pa.list_(pa.float32()))], ["ordering", "hkey", "id", "v"])
+    one = pa.record_batch([pa.array(np.zeros(1280, np.int32)), pa.array(np.ones(1280, np.int8)), pa.array(np.zeros(1280, np.int64)), pa.array(ids), pa.array(list(x), pa.list_(pa.float32()))], ["part", "own", "skey", "id", "v"])
     got = {i: near for b in neighbours._windows(5, 1280, 256)(iter([one])) for i, near in zip(b.column(0).to_pylist(), b.column(1).to_pylist())}
     y = x.astype(float)
     for a, i in enumerate(ids.tolist()):
