@@ -274,8 +274,9 @@ def hot(n, noise, inner=0.0, dim=64, family=1, seed=11):
     return dict(zip(r.permutation(n).tolist(), x.tolist()))
 
 
-@pytest.mark.parametrize(("noise", "inner", "family"), [(0.001, 0.0, 1), (0.002, 0.0002, 5)])
-def test_neighbours_in_a_hot_group(spark, noise, inner, family):
+@pytest.mark.parametrize(("noise", "inner", "family", "sent"), [(0.001, 0.0, 1, 32 << 20), (0.002, 0.0002, 5, 0)])
+def test_neighbours_in_a_hot_group(spark, noise, inner, family, sent, monkeypatch):
+    monkeypatch.setattr(neighbours, "SENT", sent)  # both ways to compare with all
     v = hot(1800, noise, inner, family=family)
     got = {}
     for x in neighbours.nearest(spark.createDataFrame(list(v.items()), "rowid bigint, embedding array<float>"), block=32, halo=8).collect():
