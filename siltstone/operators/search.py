@@ -206,13 +206,19 @@ def _best(tf: DataFrame, terms: DataFrame, n_docs: int, avgdl: float | None, k:
     return scored.withColumn("position", position([F.col("score"), F.col("id")])).filter(F.col("position") <= k)
 
 
-def postings(chunks: DataFrame, content: str = "content", keep: Sequence[str] = ("source_type",)) -> DataFrame:
-    """The full-text index: term, id, len, positions and the columns ``keep``.  Null contents have no word."""
+def posting_rows(chunks: DataFrame, content: str = "content", keep: Sequence[str] = ("source_type",)) -> DataFrame:
+    """Rows of a full-text index: term, id, len, positions and the columns ``keep``.  Null contents have no word."""
     docs = chunks.select("id", *keep, porter.analyse_column(F.col(content)).alias("t")).withColumn("len", F.size("t"))
     each = docs.select("id", *keep, "len", F.posexplode("t").alias("p", "term"))
     return each.groupBy("term", "id", *keep, "len").agg(F.sort_array(F.collect_list("p")).alias("positions"))
 
 
+def postings(chunks: DataFrame, content: str = "content") -> tuple[DataFrame, int, float]:
+    """The full-text index: its rows, the number of texts and their average length."""
+    sizes = chunks.select(F.size(porter.analyse_column(F.col(content))).alias("n")).agg(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("avgdl")).first()
+    return posting_rows(chunks, content), sizes["docs"], float(sizes["avgdl"] or 0.0)
+
+
 def bm25_indexed(index: tuple[DataFrame, int, float], queries: DataFrame, k: int, text: str = "query", strict: bool = False, sources: Sequence[str] | None = None) -> DataFrame:
     """As ``bm25`` with stemming, from an index (postings, number of texts, their average length): only the query
     words' postings are read.

@@ -226,14 +226,14 @@ class Store:
 
         A segment is sorted by term, so that a query reads the row groups of its words.
         """
-        from siltstone.operators.search import postings
+        from siltstone.operators.search import posting_rows
 
         have, done = self.meta.get("chunks", {}), self.meta.get("postings", {})
         parts = sorted(p for p, e in have.items() if done.get(p, {}).get("of") != e["v"])
         if not parts:
             return 0
         rows = self._load("chunks", CHUNKS, parts)
-        v = self._write("postings", postings(rows, keep=["source_type", "bucket"]), len(parts), ["term", "id"])
+        v = self._write("postings", posting_rows(rows, keep=["source_type", "bucket"]), len(parts), ["term", "id"])
         known = {p: e for p, e in done.items() if p in have}
         for p in parts:
             known[p] = {"v": v, "of": have[p]["v"], "docs": 0, "words": 0}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siltstone.functions import chunking, embedding, porter, text
+from siltstone.functions import chunking, embedding, text
 from siltstone.operators import evaluate, incremental, ingest, judging, navigate, search, store, summaries, timestamps
 from siltstone.runtime import cut, scratch, table
 from siltstone.sources import html
@@ -133,8 +133,7 @@ def bm25_stemmed(spark: SparkSession, d: str) -> DataFrame:
 def bm25_index(spark: SparkSession, d: str) -> DataFrame:
     """The same from an index that is made first; ``wrong`` counts the rows in which the two differ."""
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("source_type"), F.col("text").alias("content"))
-    size = docs.select(F.size(porter.analyse_column(F.col("content"))).alias("n")).agg(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("avgdl")).first()
-    found = search.bm25_indexed((search.postings(docs), size["docs"], size["avgdl"]), _titles(spark, d), 10)
+    found = search.bm25_indexed(search.postings(docs), _titles(spark, d), 10)
     both = found.select("query_id", "id", "score").withColumn("in_index", F.lit(1)).join(bm25_stemmed(spark, d).select("query_id", F.col("doc_id").alias("id"), F.col("score").alias("other")), ["query_id", "id"], "full")
     return both.agg(F.count_if(~F.round("score", 6).eqNullSafe(F.col("other"))).alias("wrong"), (F.count("in_index") > 0).alias("some"))
 

@@ -177,3 +177,16 @@ def test_nearest_ties_beyond_the_room(spark):
     got = search.nearest(df(spark, v, "id bigint, embedding array<double>").coalesce(1), df(spark, [(ids[60], x[60].tolist())], "query_id bigint, embedding array<double>"), 10, exclude_self=True)
     want = sorted(set(ids[50:350]) - {ids[60]})[:10]
     assert [i for i, in got.orderBy("position").select("id").collect()] == want
+
+
+def test_query_words_sent_or_joined(spark, monkeypatch):
+    r = random.Random(12)
+    text = lambda n: " ".join(r.choices(["the", "of", "a", *(f"w{i}" for i in range(40))], [30, 20, 10] + [1] * 40, k=n))
+    docs = df(spark, [(i, text(r.randint(3, 30))) for i in range(300)] + [(900, None), (901, "")], "id bigint, content string")
+    q = df(spark, [(i, text(r.randint(1, 6))) for i in range(60)] + [(70, "the of the"), (71, "nowhere the-of"), (72, "")], "query_id bigint, query string")
+    got = []
+    for most in (5000, 3):
+        monkeypatch.setattr(search, "MAX_WORDS", most)
+        monkeypatch.setattr(search, "MAX_TERMS", most)
+        got.append(sorted(map(tuple, search.bm25(docs, q, 3, stemmed=False).select("query_id", "position", "id", "score").collect())))
+    assert got[0] == got[1] and len(got[0]) > 100
