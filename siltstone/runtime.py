@@ -63,5 +63,25 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """As ``cut``; then the shuffle files that df came from are removed, which nothing reads again."""
+    out = cut(df)
+    plan = df._jdf.queryExecution().executedPlan()
+    if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec":  # others leave theirs to Spark's cleaner
+        files = df.sparkSession.sparkContext._jsc.sc().shuffleDriverComponents()
+        for i in plan.context().shuffleIds().keySet().toArray():
+            files.removeShuffle(i, True)
+    return out
+
+
+def drop(df: DataFrame) -> None:
+    """Remove the files of a frame that ``cut`` or ``settled`` returned; it can't be read again."""
+    sc = df.sparkSession.sparkContext
+    file = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+    if file.isDefined():
+        path = sc._jvm.org.apache.hadoop.fs.Path(file.get())
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

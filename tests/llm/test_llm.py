@@ -1,8 +1,12 @@
+import contextlib
+import gc
 import itertools
 import math
 import os
 import random
 import sys
+import threading
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +19,7 @@ from conftest import rows  # noqa: E402
 
 from siltstone.llm import bpe, leximin, lookalike, markup, markup_samples, nearcopies, neighbours, packing, pii, queries  # noqa: E402
 from siltstone.llm.boosting import Boosted  # noqa: E402
+from siltstone.runtime import cut, shared_dir  # noqa: E402
 
 
 def test_every_query_runs(spark, sf):
@@ -342,6 +347,67 @@ def test_rounding_hides_no_neighbour(noise, offset):
         assert got[i] == ids[np.lexsort((ids, d))[:5]].tolist()
 
 
+def disk_peak(spark, run):
+    """What run returns, and the most bytes that shuffles and checkpoints held meanwhile beyond those before."""
+    env = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get()
+    dirs = [str(d.getPath()) for d in env.blockManager().diskBlockManager().localDirs()] + [shared_dir(spark).removeprefix("file:")]
+
+    def held():
+        total = 0
+        for top in dirs:
+            for at, _, files in os.walk(top):
+                for f in files:
+                    with contextlib.suppress(OSError):
+                        total += os.stat(os.path.join(at, f)).st_size
+        return total
+
+    first, most, over = held(), [0], threading.Event()
+
+    def watch():
+        while not over.wait(0.05):
+            most[0] = max(most[0], held())
+
+    t = threading.Thread(target=watch)
+    t.start()
+    try:
+        out = run()
+    finally:
+        over.set()
+        t.join()
+    return out, max(most[0], held()) - first
+
+
+@pytest.mark.parametrize(("n", "exact"), [(20_000, False), (6000, True)])
+def test_disk_of_neighbours(spark, n, exact, monkeypatch):
+    """All orderings, and all that are compared with all, in a few times the vectors' bytes; in several turns and many
+    cells nothing is lost."""
+    monkeypatch.setattr(neighbours, "SENT", 0)
+    monkeypatch.setattr(neighbours, "ASKED", 1 << 19, raising=False)
+    monkeypatch.setattr(neighbours, "CELL", 128, raising=False)
+    r = np.random.default_rng(6)
+    c = r.normal(size=(n // 20, 64))
+    x = np.repeat(c / np.linalg.norm(c, axis=1, keepdims=True), 20, 0) + 0.02 * r.normal(size=(n, 64))
+    v = dict(enumerate(x.tolist()))
+    df = cut(spark.createDataFrame(list(v.items()), "rowid bigint, embedding array<float>"))
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    time.sleep(1)
+    got, most = disk_peak(spark, lambda: neighbours.nearest(df, exact=exact).collect())
+    assert most < 5 * 4 * 64 * n, most / (4 * 64 * n)
+    found = {}
+    for g in got:
+        found.setdefault(g["id"], []).append((g["position"], g["neighbour"]))
+    y = x.astype(np.float32).astype(float)
+    hits = []
+    for i in range(0, n, 37):
+        d = ((y - y[i]) ** 2).sum(1)
+        d[i] = np.inf
+        want = np.argsort(d, kind="stable")[:5].tolist()
+        hits.append(len({j for _, j in found[i]} & set(want)) / 5)
+        assert not exact or [j for _, j in sorted(found[i])] == want
+    assert np.mean(hits) >= 0.99
+
+
 # 7: near-copies
 
 
