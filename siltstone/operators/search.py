@@ -8,13 +8,16 @@ only while there are at most ``MAX_WORDS``; beyond that they are joined.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siltstone.functions import porter
 from siltstone.functions.text import fts_terms
@@ -23,7 +26,9 @@ from siltstone.runtime import cut
 K1, B, IDF_FLOOR, RRF_K = 1.2, 0.75, 1e-6, 60
 #: Scores and distances are rounded to so many decimals before they are compared, so that equal ones tie.
 DECIMALS = 9
-MAX_QUERY_BYTES, MAX_WORDS, MAX_TERMS = 64 << 20, 5_000, 100_000
+MAX_QUERY_BYTES, MAX_WORDS, MAX_TERMS, MAX_BAGS = 64 << 20, 5_000, 100_000, 4_096
+#: Texts of a block of counts, at most 65,536; places of query words after which a block ends; rows of an index held at once.
+BLOCK, BLOCK_PLACES, HELD = 1 << 15, 1 << 22, 1 << 20
 #: Distances that a task of the vector search holds at once.
 TILE = 1 << 22
 REFERENCE_SCAN = 20_000
@@ -163,59 +168,355 @@ def query_terms(queries: DataFrame, text: str = "query", stemmed: bool = True, s
     return queries.select("query_id", F.posexplode(terms(text)).alias("term_no", "phrase"))
 
 
+class _Phrases:
+    """Numbers of phrases by their words; ``find`` tells where a text has them.
+
+    Every beginning of a phrase is a state, reached from the one before by the next word.
+    """
+
+    def __init__(self, keys: Sequence[str]) -> None:
+        split = [tuple(k.split(" ")) for k in keys]
+        self.words = {w: n for n, w in enumerate(dict.fromkeys(w for p in split for w in p))}
+        states = {b: n for n, b in enumerate(dict.fromkeys(p[:i] for p in split for i in range(1, len(p) + 1)))}
+        self.key = np.full(len(states), -1, np.int32)
+        self.key[[states[p] for p in split]] = np.arange(len(split))
+        self.first = np.full(len(self.words), -1, np.int64)
+        longer: dict[int, list[tuple[int, int]]] = {}
+        for b, n in states.items():
+            if len(b) == 1:
+                self.first[self.words[b[0]]] = n
+            else:
+                longer.setdefault(len(b), []).append((states[b[:-1]] * len(self.words) + self.words[b[-1]], n))
+        self.longer = [tuple(np.array(x, np.int64) for x in zip(*sorted(longer[n]), strict=True)) for n in sorted(longer)]
+
+    def find(self, words: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places and phrase numbers; ``words``: word numbers, -1 for others; ``left``: words from here to the text's end."""
+        at = np.flatnonzero(words >= 0)
+        state = self.first[words[at]]
+        at, state = at[state >= 0], state[state >= 0]
+        found = [(at, self.key[state])]
+        for n, (codes, states) in enumerate(self.longer, 1):
+            at, state = at[left[at] > n], state[left[at] > n]
+            code = np.where(words[at + n] >= 0, state * len(self.words) + words[at + n], -1)
+            p = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
+            hit = codes[p] == code
+            at, state = at[hit], states[p[hit]]
+            found.append((at, self.key[state]))
+        at, key = (np.concatenate(x) for x in zip(*found, strict=True))
+        return at[key >= 0], key[key >= 0]
+
+
+class _Numbers(dict):
+    """Numbers of words by those of their stems, which are kept until there are too many."""
+
+    def __init__(self, stems: dict[str, int]) -> None:
+        self.stems = stems
+
+    def __missing__(self, w: str) -> int:
+        if len(self) >= 1 << 20:
+            self.clear()
+        n = self[w] = self.stems.get(porter.stem(w), -1)
+        return n
+
+
+_BLOCK = [*((c, T.BinaryType()) for c in ("lens", "keys", "sizes", "at", "tf", "hidden"))]
+
+
+def _block_schema(id: T.DataType) -> T.StructType:
+    """ids in their order, and packed: lengths of the texts; keys with their numbers of texts; texts and counts of each
+    key; texts that are counted but not found, empty if there are none."""
+    return T.StructType([T.StructField("ids", T.ArrayType(id)), *(T.StructField(n, t) for n, t in _BLOCK)])
+
+
+def _block(ids: pa.Array, lens: np.ndarray, key: np.ndarray, doc: np.ndarray, tf: np.ndarray | None = None, hidden: np.ndarray | None = None) -> pa.RecordBatch:
+    """One row of key counts; without ``tf``, each (key, doc) counts once."""
+    order = pc.array_sort_indices(ids, null_placement="at_start").to_numpy()
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    code = key.astype(np.int64) * BLOCK + rank[doc]
+    if tf is None:
+        code, tf = np.unique(code, return_counts=True)
+    else:
+        by = np.argsort(code)
+        code, tf = code[by], tf[by]
+    keys, sizes = np.unique(code // BLOCK, return_counts=True)
+    packed = (lens[order].astype(np.int32), keys.astype(np.int32), sizes.astype(np.int32), (code % BLOCK).astype(np.uint16), tf.astype(np.min_scalar_type(int(tf.max()) if len(tf) else 0)), hidden[order] if hidden is not None and hidden.any() else np.empty(0, bool))
+    row = [pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids.take(pa.array(order))), *(pa.array([x.tobytes()], pa.binary()) for x in packed)]
+    return pa.record_batch(row, ["ids", *(n for n, _ in _BLOCK)])
+
+
+def _text_blocks(docs: DataFrame, phrases: _Phrases, stemmed: bool) -> DataFrame:
+    """Blocks of counts of the texts ``t``, which are words already unless they are to be stemmed."""
+
+    def read(t: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        if not stemmed:
+            return pc.index_in(t.flatten(), value_set=own).fill_null(-1).to_numpy().astype(np.int64), pc.list_value_length(t).to_numpy()
+        each = [porter.words(x) for x in t.to_pylist()]
+        sizes = np.fromiter(map(len, each), np.int64, len(each))
+        return np.fromiter((numbers[w] for x in each for w in x), np.int64, int(sizes.sum())), sizes
+
+    own, numbers = pa.array(list(phrases.words), pa.string()), _Numbers(phrases.words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        n = places = 0
+        join = lambda: (pa.concat_arrays([h[0] for h in held]), *(np.concatenate([h[i] for h in held]) for i in (1, 2, 3)))
+        for whole in batches:
+            done = 0
+            while done < whole.num_rows:
+                b = whole.slice(done, min(BLOCK - n, 1 << 12))
+                words, sizes = read(b.column(1))
+                ends = np.cumsum(sizes)
+                doc = np.repeat(np.arange(b.num_rows), sizes)
+                at, key = phrases.find(words, ends[doc] - np.arange(len(doc)))
+                held.append((b.column(0), sizes, key, doc[at] + n))
+                done, n, places = done + b.num_rows, n + b.num_rows, places + len(at)
+                if n == BLOCK or places >= BLOCK_PLACES:
+                    yield _block(*join())
+                    held, n, places = [], 0, 0
+        if held:
+            yield _block(*join())
+
+    return docs.mapInArrow(run, _block_schema(docs.schema["id"].dataType))
+
+
+def _row_blocks(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Blocks of counts (id, key, len, tf, hidden), of which a task has all of an id."""
+    own = pa.array(list(keys), pa.string())
+
+    def blocks(t: pa.Table, last: bool) -> Iterator[pa.RecordBatch | pa.Table]:
+        """The blocks of the rows, then the rows of the last id, unless they are the last ones."""
+        ids = pa.concat_arrays(t.column("id").chunks)
+        new = np.r_[True, pc.fill_null(pc.not_equal(ids.slice(1), ids.slice(0, len(ids) - 1)), False).to_numpy(zero_copy_only=False)]
+        doc, first = np.cumsum(new) - 1, np.flatnonzero(new)
+        n = len(first) if last else len(first) - 1
+        key = pc.index_in(t.column("key"), value_set=own).to_numpy()
+        lens, tf, hidden = (t.column(c).to_numpy() for c in ("len", "tf", "hidden"))
+        for lo in range(0, n, BLOCK):
+            some = first[lo : min(lo + BLOCK, n)]
+            r = slice(some[0], first[lo + len(some)] if lo + len(some) < len(first) else len(doc))
+            yield _block(ids.take(pa.array(some)), lens[some], key[r], doc[r] - lo, tf[r], hidden[some])
+        if not last:
+            yield t.slice(first[-1])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        for b in batches:
+            held.append(pa.Table.from_batches([b]))
+            if sum(t.num_rows for t in held) >= HELD:
+                *done, rest = blocks(pa.concat_tables(held), False)
+                yield from done
+                held = [rest]
+        if sum(t.num_rows for t in held):
+            yield from blocks(pa.concat_tables(held), True)
+
+    return rows.select("id", "key", "len", "tf", "hidden").mapInArrow(run, _block_schema(rows.schema["id"].dataType))
+
+
+def _asked(terms: DataFrame) -> tuple[list, list[tuple], list[str]]:
+    """Of the terms (query_id, phrase): (query_id, bag) of each query, the distinct bags of (key number, times), the keys."""
+    t = terms.select("query_id", F.concat_ws(" ", "phrase").alias("key")).toArrow()
+    keys: dict[str, int] = {}
+    by: dict = {}
+    for q, key in zip(t.column(0).to_pylist(), t.column(1).to_pylist(), strict=True):
+        by.setdefault(q, []).append(keys.setdefault(key, len(keys)))
+    bags: dict[tuple, int] = {}
+    asked = [(q, bags.setdefault(tuple(sorted(Counter(own).items())), len(bags))) for q, own in by.items()]
+    return asked, list(bags), list(keys)
+
+
+def _frequencies(blocks: DataFrame, n_keys: int) -> tuple[int, float | None, np.ndarray]:
+    """The number of texts, their average length, and of each key the number of texts with it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(n_keys + 2, np.int64)
+        for b in batches:
+            for lens, keys, sizes in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                lens = np.frombuffer(lens, np.int32)
+                n[-2:] += len(lens), lens.sum(dtype=np.int64)
+                n[np.frombuffer(keys, np.int32)] += np.frombuffer(sizes, np.int32)
+        yield pa.record_batch([pa.array(np.flatnonzero(n)), pa.array(n[n > 0])], ["key", "n"])
+
+    n = np.zeros(n_keys + 2, np.int64)
+    for key, own in blocks.select("lens", "keys", "sizes").mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n")).collect():
+        n[key] = own
+    return int(n[-2]), float(n[-1] / n[-2]) if n[-2] else None, n[:-2]
+
+
 def bm25(chunks: DataFrame, queries: DataFrame, k: int, id: str = "id", content: str = "content", text: str = "query", stemmed: bool = True, strict: bool = False) -> DataFrame:
     """query_id, id, score, position: the k best by BM25; scores are negative, the lowest is the best, ties by id.
 
-    A hyphenated word is one phrase with its own frequency.  Only words that some query begins with leave the
-    map side: counts are made before the shuffle.  Null contents are empty texts.
+    A hyphenated word is one phrase with its own frequency.  Texts are read once: only packed counts of the queries'
+    phrases are kept.  Null contents are empty texts.
+    """
+    tokens = F.coalesce(content, F.lit("")) if stemmed else F.filter(F.split(F.lower(F.coalesce(content, F.lit(""))), r"(?U)[^\p{L}\p{N}]+"), lambda t: t != "")
+    asked, bags, keys = _asked(query_terms(queries, text, stemmed, strict))
+    blocks = cut(_text_blocks(chunks.select(F.col(id).alias("id"), tokens.alias("t")), _Phrases(keys), stemmed))
+    n_docs, avgdl, df = _frequencies(blocks, len(keys))
+    return _best(blocks, asked, bags, df, n_docs, avgdl, k, dict(queries.dtypes)["query_id"])
+
+
+def _best(blocks: DataFrame, asked: list, bags: list[tuple], df: np.ndarray, n_docs: int, avgdl: float | None, k: int, qid: str) -> DataFrame:
+    """The k best of each query from blocks of counts.
+
+    Queries of the same terms are scored once.  Each group of queries goes through all blocks in few tasks, so that
+    what a query has found so far keeps later texts out, and tasks times queries times k rows are shuffled at most.
     """
-    tokens = porter.analyse_column(F.col(content)) if stemmed else F.filter(F.split(F.lower(F.coalesce(content, F.lit(""))), r"(?U)[^\p{L}\p{N}]+"), lambda t: t != "")
-    terms = query_terms(queries, text, stemmed, strict).withColumn("key", F.concat_ws(" ", "phrase"))
-    distinct = cut(terms.select("key", "phrase", F.col("phrase")[0].alias("w"), F.size("phrase").alias("n")).distinct())
-    longest = distinct.agg(F.max("n")).first()[0] or 1
-    some = [r[0] for r in distinct.select("w").distinct().limit(MAX_WORDS + 1).collect()]
-    at = F.transform("t", lambda w, p: F.struct(w.alias("w"), p.alias("p")))
-    if len(some) <= MAX_WORDS:  # only places of the queries' words are kept
-        at = F.filter(at, lambda x: x["w"].isin(some)) if some else F.slice(at, 1, 0)
-    at = F.transform(at, lambda x: F.struct(x["w"].alias("w"), (F.slice("t", x["p"] + 1, longest) if longest > 1 else F.array(x["w"])).alias("ahead")))
-    docs = cut(chunks.select(F.col(id).alias("id"), tokens.alias("t")).select("id", F.size("t").alias("len"), at.alias("at")))
-    stats = docs.agg(F.count(F.lit(1)).alias("docs"), F.avg("len").alias("avgdl")).first()
-    hits = docs.select("id", "len", F.explode("at").alias("x")).select("id", "len", "x.w", "x.ahead").join(distinct, "w")
-    if longest > 1:
-        hits = hits.filter(F.slice("ahead", 1, F.col("n")) == F.col("phrase"))
-    tf = hits.repartition("id").groupBy("key", "id", "len").agg(F.count(F.lit(1)).alias("tf"))
-    return _best(tf, terms, stats["docs"], stats["avgdl"], k)
-
-
-def _best(tf: DataFrame, terms: DataFrame, n_docs: int, avgdl: float | None, k: int, sources: Sequence[str] | None = None) -> DataFrame:
-    """The k best of each query from term counts (key, id, len, tf); ``sources`` filters after the frequencies.
-
-    Up to MAX_TERMS terms of all queries are broadcast, so that a text's scores are summed where its counts are, and
-    only the k best of each query and task are shuffled; more are joined.
+    spark, id = blocks.sparkSession, blocks.schema["ids"].dataType.elementType
+    with np.errstate(divide="ignore", invalid="ignore"):
+        idf = np.log((float(n_docs) - df + 0.5) / (df + 0.5))
+    weight = np.where(idf > 0, idf, IDF_FLOOR)
+    per = min(MAX_BAGS, max(256, -(-len(bags) // spark.sparkContext.defaultParallelism)))
+    groups: list[list[tuple]] = [[]]
+    size = 0
+    for n, bag in enumerate(bags):
+        if groups[-1] and (len(groups[-1]) == per or size + len(bag) > MAX_TERMS):
+            groups.append([])
+            size = 0
+        groups[-1].append((n, sorted(bag, key=lambda t: (-weight[t[0]], t[0]))))
+        size += len(bag)
+    tasks = max(2, -(-2 * spark.sparkContext.defaultParallelism // len(groups)))  # a union of single partitions would be one task
+    found = None
+    for g in groups:
+        part = blocks.coalesce(tasks).mapInArrow(_scorer(g, weight, float(avgdl or 1), k), T.StructType([T.StructField("bag", T.IntegerType()), T.StructField("id", id), T.StructField("score", T.DoubleType())]))
+        found = part if found is None else found.unionByName(part)
+    best = found.withColumn("position", position([F.col("score"), F.col("id")], ["bag"])).filter(F.col("position") <= k)
+    return spark.createDataFrame(asked, f"query_id {qid}, bag int").join(best, "bag").select("query_id", "id", "score", "position")
+
+
+def _scorer(bags: list[tuple], weight: np.ndarray, avgdl: float, k: int) -> Callable:
+    """Of each bag's texts in a block, those that may be among the k best of all blocks: no more than k of a block.
+
+    A bag's terms come by falling weight.  Texts are looked for in the lists of the first ones only, as far as the greatest gains of the
+    others together don't reach the k-th best score so far, which is at least the k-th gain of any one term.
     """
-    terms = cut(terms.select("query_id", "key"))
-    small = terms.count() <= MAX_TERMS
-    df = tf.groupBy("key").agg(F.count(F.lit(1)).alias("df"))
-    few = lambda x: F.broadcast(x) if small else x
-    idf = F.greatest(F.log((F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(0.0))
-    weight = F.when(idf > 0, idf).otherwise(F.lit(IDF_FLOOR))
-    gain = weight * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(float(avgdl or 1))))
-    counted = tf.filter(F.col("source_type").isin(list(sources))) if sources else tf
-    gained = counted.join(few(df), "key").select("id", "key", gain.alias("gain"))
-    scored = gained.join(few(terms), "key").groupBy("id", "query_id").agg(F.round(-F.sum("gain"), DECIMALS).alias("score")).select("query_id", "id", "score")
-    return scored.withColumn("position", position([F.col("score"), F.col("id")])).filter(F.col("position") <= k)
+    local = np.unique([key for _, own in bags for key, _ in own]).astype(np.int64)
+    weight = weight[local]
+    place = {int(key): n for n, key in enumerate(local)}
+    names, bags = np.array([n for n, _ in bags], np.int32), [[(place[key], times) for key, times in own] for _, own in bags]
+    slack = 2 * 10.0**-DECIMALS
+
+    def lists(row: dict) -> tuple[int, list]:
+        """The number of texts; of each term its texts, gains, the greatest and the k-th gain, or None."""
+        lens, keys, sizes = (np.frombuffer(row[c], np.int32) for c in ("lens", "keys", "sizes"))
+        at = np.frombuffer(row["at"], np.uint16)
+        tf = np.frombuffer(row["tf"], f"u{len(row['tf']) // max(1, len(at)) or 1}")
+        hidden = np.frombuffer(row["hidden"], bool)
+        norm = K1 * (1 - B + B * lens / avgdl)
+        ends = np.cumsum(sizes, dtype=np.int64)
+        out: list = [None] * len(local)
+        p = np.minimum(np.searchsorted(keys, local), max(0, len(keys) - 1))
+        for n in np.flatnonzero(keys[p] == local).tolist() if len(keys) else ():
+            e = int(ends[p[n]])
+            own, t = at[e - sizes[p[n]] : e].astype(np.int64), tf[e - sizes[p[n]] : e].astype(np.float64)
+            if len(hidden):
+                own, t = own[~hidden[own]], t[~hidden[own]]
+            if len(own):
+                g = weight[n] * t * (K1 + 1) / (t + norm[own])
+                out[n] = own, g, float(g.max()), float(np.partition(g, len(g) - k)[len(g) - k]) if len(g) >= k else 0.0
+        return len(lens), out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = np.zeros((len(bags), k))  # ascending
+        for b in batches:
+            for r in range(b.num_rows):
+                row = {c: b.column(c)[r].as_py() for c, _ in _BLOCK}
+                n_docs, terms = lists(row)
+                sums = np.zeros(n_docs)
+                qs, docs, scores = [], [], []
+                for q, bag in enumerate(bags):
+                    own = [(times, *terms[n]) for n, times in bag if terms[n] is not None]
+                    if not own:
+                        continue
+                    floor = max(best[q, 0], max(c * kth for c, _, _, _, kth in own)) - slack
+                    rest = [0.0]
+                    for c, _, _, top, _ in reversed(own):
+                        rest.append(rest[-1] + c * top)
+                    rest.reverse()
+                    if rest[0] < floor:
+                        continue
+                    e = 1
+                    while e < len(own) and rest[e] >= floor:
+                        e += 1
+                    if e == 1:
+                        c, at, g, _, _ = own[0]
+                        got = c * g
+                    else:
+                        for c, at, g, _, _ in own[:e]:
+                            sums[at] += c * g
+                        at = np.flatnonzero(sums)
+                        got = sums[at]
+                        sums[at] = 0
+                    for i in range(e, len(own)):
+                        keep = got + rest[i] >= floor
+                        at, got = at[keep], got[keep]
+                        c, there, g, _, _ = own[i]
+                        p = np.minimum(np.searchsorted(there, at), len(there) - 1)
+                        got += np.where(there[p] == at, c * g[p], 0.0)
+                    keep = got >= floor
+                    at, got = at[keep], np.round(got[keep], DECIMALS)
+                    if len(got) > k:
+                        keep = got >= np.partition(got, len(got) - k)[len(got) - k]
+                        at, got = at[keep], got[keep]
+                        if len(got) > k:
+                            first = np.lexsort((at, -got))[:k]
+                            at, got = at[first], got[first]
+                    if len(got):
+                        both = np.concatenate((best[q], got))
+                        both.sort()
+                        best[q] = both[-k:]
+                        qs.append(np.full(len(at), names[q]))
+                        docs.append(at)
+                        scores.append(got)
+                if qs:
+                    ids = b.column("ids")[r].values
+                    yield pa.record_batch([pa.array(np.concatenate(qs)), ids.take(pa.array(np.concatenate(docs))), pa.array(-np.concatenate(scores))], ["bag", "id", "score"])
+
+    return run
 
 
 def posting_rows(chunks: DataFrame, content: str = "content", keep: Sequence[str] = ("source_type",)) -> DataFrame:
-    """Rows of a full-text index: term, id, len, positions and the columns ``keep``.  Null contents have no word."""
-    docs = chunks.select("id", *keep, porter.analyse_column(F.col(content)).alias("t")).withColumn("len", F.size("t"))
-    each = docs.select("id", *keep, "len", F.posexplode("t").alias("p", "term"))
-    return each.groupBy("term", "id", *keep, "len").agg(F.sort_array(F.collect_list("p")).alias("positions"))
+    """Rows of a full-text index: term, id, len, positions and the columns ``keep``.  Null contents have no word.
+
+    Each text's rows are made where it is read; ids are unique.
+    """
+    docs = chunks.select("id", *keep, F.col(content).alias("_text"))
+    kind = {f.name: f.dataType for f in docs.schema.fields}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 1 << 11):
+                b = whole.slice(lo, 1 << 11)
+                stems: dict[str, int] = {}
+                own = {}
+                each = [porter.words(t) for t in b.column("_text").to_pylist()]
+                for w in {w for x in each for w in x}:
+                    own[w] = stems.setdefault(porter.stem(w), len(stems))
+                sizes = np.fromiter(map(len, each), np.int64, len(each))
+                doc = np.repeat(np.arange(len(each)), sizes)
+                code = doc * max(1, len(stems)) + np.fromiter((own[w] for x in each for w in x), np.int64, len(doc))
+                by = np.argsort(code, kind="stable")
+                first = np.flatnonzero(np.r_[True, code[by][1:] != code[by][:-1]]) if len(by) else np.empty(0, np.int64)
+                place = (np.arange(len(doc)) - (np.cumsum(sizes) - sizes)[doc])[by].astype(np.int32)
+                at, term = doc[by][first], code[by][first] % max(1, len(stems))
+                positions = pa.ListArray.from_arrays(pa.array(np.r_[first, len(by)].astype(np.int32)), pa.array(place))
+                there = pa.array(at)
+                yield pa.record_batch(
+                    [pa.array(list(stems), pa.string()).take(pa.array(term)), *(b.column(c).take(there) for c in ("id", *keep)), pa.array(sizes.astype(np.int32)).take(there), positions],
+                    ["term", "id", *keep, "len", "positions"],
+                )
+
+    return docs.mapInArrow(run, T.StructType([T.StructField("term", T.StringType()), *(T.StructField(c, kind[c]) for c in ("id", *keep)), T.StructField("len", T.IntegerType()), T.StructField("positions", T.ArrayType(T.IntegerType()))]))
 
 
 def postings(chunks: DataFrame, content: str = "content") -> tuple[DataFrame, int, float]:
     """The full-text index: its rows, the number of texts and their average length."""
-    sizes = chunks.select(F.size(porter.analyse_column(F.col(content))).alias("n")).agg(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("avgdl")).first()
+
+    @F.pandas_udf("int")
+    def length(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: len(porter.words(t)) if isinstance(t, str) else 0)
+
+    sizes = chunks.select(length(content).alias("n")).agg(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("avgdl")).first()
     return posting_rows(chunks, content), sizes["docs"], float(sizes["avgdl"] or 0.0)
 
 
@@ -227,16 +528,28 @@ def bm25_indexed(index: tuple[DataFrame, int, float], queries: DataFrame, k: int
     Frequencies are those of the whole index, also with ``sources``.
     """
     rows, n_docs, avgdl = index
-    terms = query_terms(queries, text, True, strict).withColumn("key", F.concat_ws(" ", "phrase"))
-    words_ = terms.select("key", "phrase").distinct().select("key", F.size("phrase").alias("n"), F.posexplode("phrase").alias("i", "term"))
-    some = [r[0] for r in words_.select("term").distinct().limit(MAX_WORDS + 1).collect()]
+    terms = query_terms(queries, text, True, strict)
+    asked, bags, keys = _asked(terms)
+    words_ = [(key, i, term, key.count(" ") + 1) for key in keys for i, term in enumerate(key.split(" "))]
+    spark = rows.sparkSession
+    some = list({w for _, _, w, _ in words_})
     if some and len(some) <= MAX_WORDS:  # reaches the scan, whose row groups are sorted by term
         rows = rows.filter(F.col("term").isin(some))
-    met = rows.join(words_, "term").withColumn("at", F.transform("positions", lambda p: p - F.col("i")))
-    own = met.repartition("id").groupBy("key", "n", "id", "source_type", "len").agg(F.collect_list("at").alias("at")).filter(F.size("at") == F.col("n"))
-    both = F.aggregate("at", F.element_at("at", 1), lambda a, x: F.array_intersect(a, x))
-    tf = own.select("key", "id", "source_type", "len", F.size(both).alias("tf")).filter("tf > 0")
-    return _best(tf, terms, n_docs, avgdl, k, sources)
+    else:
+        rows = rows.join(spark.createDataFrame([(w,) for w in some], "term string"), "term", "left_semi")
+    rows = rows.select("term", "id", "source_type", "len", "positions")
+    hidden = ~F.coalesce(F.col("source_type").isin(list(sources)), F.lit(False)) if sources else F.lit(False)
+    phrased = [w for w in words_ if w[3] > 1]
+    single = rows.join(spark.createDataFrame([(key,) for key in keys if " " not in key], "term string"), "term", "left_semi") if phrased else rows
+    tf = single.select("id", F.col("term").alias("key"), "len", F.size("positions").alias("tf"), hidden.alias("hidden"))
+    if phrased:
+        shifted = spark.createDataFrame(phrased, "key string, i int, term string, n int")
+        met = rows.join(shifted, "term").withColumn("at", F.transform("positions", lambda p: p - F.col("i")))
+        own = met.repartition("id").groupBy("key", "n", "id", "source_type", "len").agg(F.collect_list("at").alias("at")).filter(F.size("at") == F.col("n"))
+        both = F.aggregate("at", F.element_at("at", 1), lambda a, x: F.array_intersect(a, x))
+        tf = tf.unionByName(own.select("id", "key", "len", F.size(both).alias("tf"), hidden.alias("hidden")).filter("tf > 0"))
+    blocks = cut(_row_blocks(tf.repartition("id").sortWithinPartitions("id"), keys))
+    return _best(blocks, asked, bags, _frequencies(blocks, len(keys))[2], n_docs, avgdl, k, dict(queries.dtypes)["query_id"])
 
 
 ID_HINT = r"`[^`]+`|\".+?\""

@@ -1,5 +1,6 @@
 import itertools
 import math
+import os
 import random
 
 import pytest
@@ -190,3 +191,48 @@ def test_query_words_sent_or_joined(spark, monkeypatch):
         monkeypatch.setattr(search, "MAX_TERMS", most)
         got.append(sorted(map(tuple, search.bm25(docs, q, 3, stemmed=False).select("query_id", "position", "id", "score").collect())))
     assert got[0] == got[1] and len(got[0]) > 100
+
+
+def brute_bm25(docs, queries, k, words):
+    """docs: id, text; queries: query_id, list of phrases; words: of a text."""
+    texts = {i: words(t) for i, t in docs}
+    n, avg = len(texts), sum(map(len, texts.values())) / len(texts)
+    count = lambda t, p: sum(t[i : i + len(p)] == p for i in range(len(t) - len(p) + 1))
+    out = []
+    for q, phrases in queries:
+        score = {}
+        for p in phrases:
+            tf = {i: c for i, t in texts.items() if (c := count(t, p))}
+            w = math.log((n - len(tf) + 0.5) / (len(tf) + 0.5)) if len(tf) else 0
+            for i, c in tf.items():
+                score[i] = score.get(i, 0) - (w if w > 0 else 1e-6) * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * len(texts[i]) / avg))
+        out += [(q, at + 1, i, pytest.approx(s, abs=2e-9)) for at, (s, i) in enumerate(sorted((round(s, 9), i) for i, s in score.items())[:k])]
+    return out
+
+
+def folder_mb(spark):
+    from siltstone.runtime import shared_dir
+
+    return sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(shared_dir(spark).removeprefix("file:")) for f in names) / 1e6
+
+
+def found_rows(found):
+    return sorted(map(tuple, found.select("query_id", "position", "id", "score").collect()))
+
+
+def test_bm25_keeps_packed_counts(spark, monkeypatch):
+    r = random.Random(7)
+    names = ["the", "of", "for", *(f"w{i}" for i in range(60))]
+    text = lambda n: " ".join(r.choices(names, [30, 20, 10] + [1] * 60, k=n))
+    docs = [(f"d{r.random()}", text(r.randint(1, 120))) for _ in range(2500)]
+    docs += [(f"e{i}", docs[i][1]) for i in range(500)]  # ties
+    asked = [(i, [r.choices(names)[0] for _ in range(r.randint(1, 4))]) for i in range(40)] + [(50, ["the", "the", "w3"]), (51, ["the-of", "w5"]), (52, ["the-of-the", "w1-w2"])]
+    d, q = df(spark, docs, "id string, content string").repartition(3), df(spark, [(i, " ".join(t)) for i, t in asked], "query_id bigint, query string")
+    want = brute_bm25(docs, [(i, [t.split("-") for t in own]) for i, own in asked], 12, str.split)
+    before = folder_mb(spark)
+    found = search.bm25(d, q, 12, stemmed=False)
+    assert found_rows(found) == want
+    assert folder_mb(spark) - before < sum(len(t) for _, t in docs) / 1e6  # less than the texts
+    monkeypatch.setattr(search, "BLOCK", 200)  # what one block found keeps out texts of the next
+    monkeypatch.setattr(search, "MAX_BAGS", 6)
+    assert found_rows(search.bm25(d, q, 12, stemmed=False)) == want
