@@ -236,3 +236,17 @@ def test_bm25_keeps_packed_counts(spark, monkeypatch):
     monkeypatch.setattr(search, "BLOCK", 200)  # what one block found keeps out texts of the next
     monkeypatch.setattr(search, "MAX_BAGS", 6)
     assert found_rows(search.bm25(d, q, 12, stemmed=False)) == want
+
+
+def test_bm25_stemmed_keeps_packed_counts(spark):
+    r = random.Random(8)
+    forms = ["connect", "connected", "connections", "café", "cafes", "the", *(f"word{i}" for i in range(40))]
+    stems = {"connected": "connect", "connections": "connect", "café": "cafe", "cafes": "cafe"}
+    docs = [(i, " ".join(r.choices(forms, k=r.randint(0, 90)))) for i in range(1500)] + [(9000, None), (9001, "")]
+    asked = [(i, [r.choice(forms) for _ in range(r.randint(1, 4))]) for i in range(30)]
+    asked = [(i, [w for w in own if w.isascii()]) for i, own in asked] + [(60, ["connections-connected", "word3"])]
+    d, q = df(spark, docs, "id bigint, content string").repartition(3), df(spark, [(i, " ".join(t)) for i, t in asked], "query_id bigint, query string")
+    want = brute_bm25(docs, [(i, [[stems.get(w, w) for w in t.split("-")] for t in own]) for i, own in asked], 8, lambda t: [stems.get(w, w) for w in (t or "").split()])
+    before = folder_mb(spark)
+    assert found_rows(search.bm25(d, q, 8)) == want
+    assert folder_mb(spark) - before < sum(len(t or "") for _, t in docs) / 1e6
