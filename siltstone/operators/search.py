@@ -280,37 +280,118 @@ def _text_blocks(docs: DataFrame, phrases: _Phrases, stemmed: bool) -> DataFrame
     return docs.mapInArrow(run, _block_schema(docs.schema["id"].dataType))
 
 
+def _slices(x: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """A binary value for each stretch of int32 numbers."""
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer((4 * np.r_[0, ends]).astype(np.int32).tobytes()), pa.py_buffer(x.astype(np.int32).tobytes())])
+
+
+def _numbers_of(t: pa.Table, c: str) -> tuple[np.ndarray, np.ndarray]:
+    """The int32 numbers of all binary values, and how many each has."""
+    each = t.column(c).to_pylist()
+    return np.frombuffer(b"".join(each), np.int32), np.fromiter(map(len, each), np.int64, len(each)) // 4
+
+
 def _row_blocks(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Blocks of counts (id, key, len, tf, hidden), of which a task has all of an id."""
-    own = pa.array(list(keys), pa.string())
-
-    def blocks(t: pa.Table, last: bool) -> Iterator[pa.RecordBatch | pa.Table]:
-        """The blocks of the rows, then the rows of the last id, unless they are the last ones."""
-        ids = pa.concat_arrays(t.column("id").chunks)
-        new = np.r_[True, pc.fill_null(pc.not_equal(ids.slice(1), ids.slice(0, len(ids) - 1)), False).to_numpy(zero_copy_only=False)]
-        doc, first = np.cumsum(new) - 1, np.flatnonzero(new)
-        n = len(first) if last else len(first) - 1
-        key = pc.index_in(t.column("key"), value_set=own).to_numpy()
-        lens, tf, hidden = (t.column(c).to_numpy() for c in ("len", "tf", "hidden"))
-        for lo in range(0, n, BLOCK):
-            some = first[lo : min(lo + BLOCK, n)]
-            r = slice(some[0], first[lo + len(some)] if lo + len(some) < len(first) else len(doc))
-            yield _block(ids.take(pa.array(some)), lens[some], key[r], doc[r] - lo, tf[r], hidden[some])
-        if not last:
-            yield t.slice(first[-1])
+    """Blocks of counts from an index's rows (term, id, len, positions, hidden).
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.Table] = []
+    Before rows are brought together by id, those of an id that a task meets in one stretch are packed: word numbers and
+    counts, and places only of words in phrases.
+    """
+    split = [k.split(" ") for k in keys]
+    words = {w: n for n, w in enumerate(dict.fromkeys(w for p in split for w in p))}
+    key_of = np.full(len(words) + 1, -1, np.int64)
+    key_of[[words[p[0]] for p in split if len(p) == 1]] = [n for n, p in enumerate(split) if len(p) == 1]
+    phrases = [(n, [words[w] for w in p]) for n, p in enumerate(split) if len(p) > 1]
+    in_phrase = np.isin(np.arange(len(words) + 1), [w for _, p in phrases for w in p])
+    own = pa.array(list(words), pa.string())
+
+    def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        held: list[pa.RecordBatch] = []
         for b in batches:
-            held.append(pa.Table.from_batches([b]))
-            if sum(t.num_rows for t in held) >= HELD:
-                *done, rest = blocks(pa.concat_tables(held), False)
-                yield from done
-                held = [rest]
-        if sum(t.num_rows for t in held):
-            yield from blocks(pa.concat_tables(held), True)
-
-    return rows.select("id", "key", "len", "tf", "hidden").mapInArrow(run, _block_schema(rows.schema["id"].dataType))
+            held.append(b)
+            if sum(x.num_rows for x in held) >= HELD:
+                yield pa.Table.from_batches(held)
+                held = []
+        if sum(x.num_rows for x in held):
+            yield pa.Table.from_batches(held)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in stretches(batches):
+            t = t.combine_chunks()
+            ids = pc.dictionary_encode(t.column("id"), null_encoding="encode").combine_chunks()
+            doc = ids.indices.to_numpy()
+            word = pc.index_in(t.column("term"), value_set=own).combine_chunks().fill_null(len(words)).to_numpy().astype(np.int64)
+            by = np.argsort(doc, kind="stable")
+            by = by[word[by] < len(words)]
+            if not len(by):
+                continue
+            doc, word = doc[by], word[by]
+            first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+            ends = np.r_[first[1:], len(doc)]
+            n = pc.list_value_length(t.column("positions")).to_numpy()[by]
+            placed = by[in_phrase[word]]
+            places = t.column("positions").take(pa.array(placed)).combine_chunks().flatten().to_numpy() if len(placed) else np.empty(0, np.int32)
+            some = pa.array(by[first])
+            yield pa.record_batch(
+                [t.column(c).take(some).combine_chunks() for c in ("id", "len", "hidden")] + [_slices(word, ends), _slices(n, ends), _slices(places, np.cumsum(np.where(in_phrase[word], n, 0))[ends - 1])],
+                ["id", "len", "hidden", "words", "n", "places"],
+            )
+
+    def block(t: pa.Table, new: np.ndarray) -> pa.RecordBatch:
+        word, sizes = _numbers_of(t, "words")
+        tf, places = _numbers_of(t, "n")[0], _numbers_of(t, "places")[0]
+        doc = np.repeat(np.cumsum(new) - 1, sizes)
+        single = key_of[word] >= 0
+        key, at, count = [key_of[word][single]], [doc[single]], [tf[single]]
+        p = in_phrase[word]
+        code = np.repeat(doc[p] << 32, tf[p]) + places
+        of = np.repeat(word[p], tf[p])
+        by = np.argsort(of, kind="stable")
+        of, code = of[by], code[by]
+        of_word = lambda w: code[slice(*np.searchsorted(of, [w, w + 1]))]
+        for n, phrase in phrases:
+            here = of_word(phrase[0])
+            for i, w in enumerate(phrase[1:], 1):
+                here = here[np.isin(here, of_word(w) - i)] if len(here) else here
+            docs, times = np.unique(here >> 32, return_counts=True)
+            key.append(np.full(len(docs), n))
+            at.append(docs)
+            count.append(times)
+        some = pa.array(np.flatnonzero(new))
+        lens, hidden = (t.column(c).take(some).to_numpy() for c in ("len", "hidden"))
+        return _block(t.column("id").take(some).combine_chunks(), lens, *(np.concatenate(x) for x in (key, at, count)), hidden)
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        rows = places = 0
+        for b in batches:
+            held.append(b)
+            rows, places = rows + b.num_rows, places + b.column("words").nbytes // 4
+            if rows > BLOCK or places > BLOCK_PLACES:
+                t, new = joined(held)
+                first = np.flatnonzero(new)
+                for lo in range(0, len(first) - 1, BLOCK):
+                    r = slice(first[lo], first[min(lo + BLOCK, len(first) - 1)])
+                    yield block(t.slice(r.start, r.stop - r.start), new[r])
+                held = t.slice(first[-1]).to_batches()  # more of this id may come
+                rows, places = len(new) - first[-1], 0
+        if rows:
+            t, new = joined(held)
+            first = np.r_[np.flatnonzero(new), len(new)]
+            for lo in range(0, len(first) - 1, BLOCK):
+                r = slice(first[lo], first[min(lo + BLOCK, len(first) - 1)])
+                yield block(t.slice(r.start, r.stop - r.start), new[r])
+
+    def joined(held: list[pa.RecordBatch]) -> tuple[pa.Table, np.ndarray]:
+        t = pa.Table.from_batches(held).combine_chunks()
+        ids = t.column("id").combine_chunks()
+        same = pc.fill_null(pc.equal(ids.slice(1), ids.slice(0, len(ids) - 1)), True).to_numpy(zero_copy_only=False)
+        return t, np.r_[True, ~same]
+
+    id = rows.schema["id"].dataType
+    packed = T.StructType([T.StructField("id", id), T.StructField("len", T.IntegerType()), T.StructField("hidden", T.BooleanType()), *(T.StructField(c, T.BinaryType()) for c in ("words", "n", "places"))])
+    together = rows.select("term", "id", F.col("len").cast("int").alias("len"), "hidden", "positions").mapInArrow(pack, packed).repartition("id").sortWithinPartitions("id")
+    return together.mapInArrow(blocks, _block_schema(id))
 
 
 def _asked(terms: DataFrame) -> tuple[list, list[tuple], list[str]]:
@@ -416,6 +497,14 @@ def _scorer(bags: list[tuple], weight: np.ndarray, avgdl: float, k: int) -> Call
                 out[n] = own, g, float(g.max()), float(np.partition(g, len(g) - k)[len(g) - k]) if len(g) >= k else 0.0
         return len(lens), out
 
+    def needed(rest: list[float], floor: float) -> int:
+        return next((e for e in range(1, len(rest) - 1) if rest[e] < floor), len(rest) - 1)
+
+    def gained(term: tuple, at: np.ndarray) -> np.ndarray:
+        times, there, g, _, _ = term
+        p = np.minimum(np.searchsorted(there, at), len(there) - 1)
+        return np.where(there[p] == at, times * g[p], 0.0)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = np.zeros((len(bags), k))  # ascending
         for b in batches:
@@ -435,9 +524,15 @@ def _scorer(bags: list[tuple], weight: np.ndarray, avgdl: float, k: int) -> Call
                     rest.reverse()
                     if rest[0] < floor:
                         continue
-                    e = 1
-                    while e < len(own) and rest[e] >= floor:
-                        e += 1
+                    e = needed(rest, floor)
+                    if e > 1 and (i := next((i for i, x in enumerate(own) if len(x[1]) >= k), None)) is not None and 8 * len(own[i][1]) <= n_docs:
+                        c, at, g, _, _ = own[i]  # the k-th of the texts with a rare term
+                        got = c * g
+                        for j in range(len(own)):
+                            if j != i:
+                                got = got + gained(own[j], at)
+                        floor = max(floor, np.partition(got, len(got) - k)[len(got) - k] - slack)
+                        e = needed(rest, floor)
                     if e == 1:
                         c, at, g, _, _ = own[0]
                         got = c * g
@@ -450,9 +545,7 @@ def _scorer(bags: list[tuple], weight: np.ndarray, avgdl: float, k: int) -> Call
                     for i in range(e, len(own)):
                         keep = got + rest[i] >= floor
                         at, got = at[keep], got[keep]
-                        c, there, g, _, _ = own[i]
-                        p = np.minimum(np.searchsorted(there, at), len(there) - 1)
-                        got += np.where(there[p] == at, c * g[p], 0.0)
+                        got += gained(own[i], at)
                     keep = got >= floor
                     at, got = at[keep], np.round(got[keep], DECIMALS)
                     if len(got) > k:
@@ -512,12 +605,14 @@ def posting_rows(chunks: DataFrame, content: str = "content", keep: Sequence[str
 def postings(chunks: DataFrame, content: str = "content") -> tuple[DataFrame, int, float]:
     """The full-text index: its rows, the number of texts and their average length."""
 
-    @F.pandas_udf("int")
-    def length(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: len(porter.words(t)) if isinstance(t, str) else 0)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        docs = n = 0
+        for b in batches:
+            docs, n = docs + b.num_rows, n + sum(len(porter.words(t)) for t in b.column(0).to_pylist())
+        yield pa.record_batch([pa.array([docs]), pa.array([n])], ["docs", "n"])
 
-    sizes = chunks.select(length(content).alias("n")).agg(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("avgdl")).first()
-    return posting_rows(chunks, content), sizes["docs"], float(sizes["avgdl"] or 0.0)
+    sizes = chunks.select(content).mapInArrow(run, "docs bigint, n bigint").agg(F.sum("docs").alias("docs"), (F.sum("n") / F.sum("docs")).alias("avgdl")).first()
+    return posting_rows(chunks, content), sizes["docs"] or 0, float(sizes["avgdl"] or 0.0)
 
 
 def bm25_indexed(index: tuple[DataFrame, int, float], queries: DataFrame, k: int, text: str = "query", strict: bool = False, sources: Sequence[str] | None = None) -> DataFrame:
@@ -528,27 +623,12 @@ def bm25_indexed(index: tuple[DataFrame, int, float], queries: DataFrame, k: int
     Frequencies are those of the whole index, also with ``sources``.
     """
     rows, n_docs, avgdl = index
-    terms = query_terms(queries, text, True, strict)
-    asked, bags, keys = _asked(terms)
-    words_ = [(key, i, term, key.count(" ") + 1) for key in keys for i, term in enumerate(key.split(" "))]
-    spark = rows.sparkSession
-    some = list({w for _, _, w, _ in words_})
+    asked, bags, keys = _asked(query_terms(queries, text, True, strict))
+    some = sorted({w for key in keys for w in key.split(" ")})
     if some and len(some) <= MAX_WORDS:  # reaches the scan, whose row groups are sorted by term
         rows = rows.filter(F.col("term").isin(some))
-    else:
-        rows = rows.join(spark.createDataFrame([(w,) for w in some], "term string"), "term", "left_semi")
-    rows = rows.select("term", "id", "source_type", "len", "positions")
     hidden = ~F.coalesce(F.col("source_type").isin(list(sources)), F.lit(False)) if sources else F.lit(False)
-    phrased = [w for w in words_ if w[3] > 1]
-    single = rows.join(spark.createDataFrame([(key,) for key in keys if " " not in key], "term string"), "term", "left_semi") if phrased else rows
-    tf = single.select("id", F.col("term").alias("key"), "len", F.size("positions").alias("tf"), hidden.alias("hidden"))
-    if phrased:
-        shifted = spark.createDataFrame(phrased, "key string, i int, term string, n int")
-        met = rows.join(shifted, "term").withColumn("at", F.transform("positions", lambda p: p - F.col("i")))
-        own = met.repartition("id").groupBy("key", "n", "id", "source_type", "len").agg(F.collect_list("at").alias("at")).filter(F.size("at") == F.col("n"))
-        both = F.aggregate("at", F.element_at("at", 1), lambda a, x: F.array_intersect(a, x))
-        tf = tf.unionByName(own.select("id", "key", "len", F.size(both).alias("tf"), hidden.alias("hidden")).filter("tf > 0"))
-    blocks = cut(_row_blocks(tf.repartition("id").sortWithinPartitions("id"), keys))
+    blocks = cut(_row_blocks(rows.withColumn("hidden", hidden), keys))
     return _best(blocks, asked, bags, _frequencies(blocks, len(keys))[2], n_docs, avgdl, k, dict(queries.dtypes)["query_id"])
 
 

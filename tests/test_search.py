@@ -250,3 +250,20 @@ def test_bm25_stemmed_keeps_packed_counts(spark):
     before = folder_mb(spark)
     assert found_rows(search.bm25(d, q, 8)) == want
     assert folder_mb(spark) - before < sum(len(t or "") for _, t in docs) / 1e6
+
+
+def test_index_rows_are_not_shuffled(spark, monkeypatch):
+    docs = [(i, "s" if i % 3 else "t", " ".join(w for w in ("connecting the-ends", "of-the café", "ends") for _ in range(1 + (i * len(w)) % 4))) for i in range(700)] + [(9000, "s", None), (9001, None, "the ends of the")]
+    d = df(spark, docs, "id bigint, source_type string, content string").repartition(3)
+    q = df(spark, [(1, "connected ends"), (2, "the-ends of"), (3, "of-the-cafe nothing"), (4, "ends ends the-of")], "query_id bigint, query string")
+    index = search.postings(d)
+    assert "Exchange" not in index[0]._jdf.queryExecution().executedPlan().toString().split("MapInArrow")[0]
+    want = found_rows(search.bm25(d, q, 30))
+    assert len(want) > 60 and found_rows(search.bm25_indexed(index, q, 30)) == want
+    monkeypatch.setattr(search, "BLOCK", 50)
+    monkeypatch.setattr(search, "HELD", 300)
+    monkeypatch.setattr(search, "MAX_WORDS", 2)
+    stored = (index[0].repartition(4, "term").sortWithinPartitions("term", "id"), *index[1:])
+    assert found_rows(search.bm25_indexed(stored, q, 30)) == want
+    own = found_rows(search.bm25_indexed(index, q, 10, sources=["t"]))
+    assert own == [(x[0], n + 1, *x[2:]) for k in range(1, 5) for n, x in enumerate([x for x in found_rows(search.bm25(d, q, 800)) if x[0] == k and x[2] % 3 == 0 and x[2] < 9000][:10])]
