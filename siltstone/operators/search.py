@@ -31,6 +31,8 @@ MAX_QUERY_BYTES, MAX_WORDS, MAX_TERMS, MAX_BAGS = 64 << 20, 5_000, 100_000, 4_09
 BLOCK, BLOCK_PLACES, HELD = 1 << 15, 1 << 22, 1 << 20
 #: Distances that a task of the vector search holds at once.
 TILE = 1 << 22
+#: Rows that all tasks of the vector search send on, as long as there are two tasks a core.
+MAX_SENT = 1 << 22
 REFERENCE_SCAN = 20_000
 
 
@@ -49,7 +51,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, id: str = "id", vect
     """query_id, id, distance, position: the k nearest vectors of each query by Euclidean distance, ties by id.
 
     ``queries`` has query_id and a vector.  Each task keeps its own k best of every query, so the shuffle carries
-    tasks times queries times k rows, not all pairs; a task holds TILE distances at once.  Vectors of null, other length or with non-finite numbers
+    tasks times queries times k rows, not all pairs; more queries go through fewer tasks, down to two a core.  A task
+    holds TILE distances at once.  Vectors of null, other length or with non-finite numbers
     have no distance and are left out.
     """
     out = None
@@ -103,18 +106,26 @@ def _nearest_block(vectors: DataFrame, block: list[tuple], k: int, id: str, vect
                 rank = np.empty(len(ids), np.int64)
                 rank[sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i]))] = np.arange(len(ids))
                 own = [(place[n], i) for i, n in enumerate(ids) if n in place]
+                # bounds come from single precision where nothing can overflow
+                fast = np.float32 if max(norms.max(), xx.max()) < 1e30 else np.float64
+                x_fast, xx_fast = x.astype(fast), xx.astype(fast)
                 for lo in range(0, len(names), step):  # a tile of queries and rows
                     hi = min(lo + step, len(names))
-                    d = norms[lo:hi, None] - 2 * (matrix[lo:hi] @ x.T) + xx[None]
+                    d = matrix[lo:hi].astype(fast) @ x_fast.T
+                    d *= -2
+                    d += norms[lo:hi, None].astype(fast)
+                    d += xx_fast
                     for q, i in own:
                         if lo <= q < hi:
                             d[q - lo, i] = np.nan
                     # the fast form less its rounding leaves all that may be among the k best, ties included
-                    room = 8 * (dim + 4) * np.finfo(float).eps * (norms[lo:hi] + xx.max())
-                    kth = np.partition(d, k - 1, axis=1)[:, k - 1] if d.shape[1] > k else np.full(hi - lo, np.inf)
+                    room = 8 * (dim + 4) * np.finfo(fast).eps * (norms[lo:hi] + xx.max()) + 1e-30
                     held = np.array([b_[0][-1] if len(b_[0]) == k else np.inf for b_ in best[lo:hi]])  # no worse than what is there
+                    kth, unsure = np.full(hi - lo, np.inf), np.isinf(held)
+                    if d.shape[1] > k and unsure.any():
+                        kth[unsure] = np.partition(d[unsure], k - 1, axis=1)[:, k - 1]
                     limit = np.minimum(np.sqrt(np.maximum(kth + room, 0)), held) + 2 * 10.0**-DECIMALS
-                    qs, at_ = np.nonzero(d - room[:, None] <= (limit * limit)[:, None])
+                    qs, at_ = np.nonzero(d <= np.nextafter((limit * limit + room).astype(fast), fast(np.inf))[:, None])
                     exact = np.empty(len(qs))
                     for c in range(0, len(qs), TILE // dim):
                         diff = x[at_[c : c + TILE // dim]] - matrix[lo + qs[c : c + TILE // dim]]
@@ -136,7 +147,8 @@ def _nearest_block(vectors: DataFrame, block: list[tuple], k: int, id: str, vect
             ["query_id", "id", "distance"],
         )
 
-    return rows.mapInArrow(_typed(run, qid_type, id_type), f"query_id {qid_type}, id {id_type}, distance double")
+    tasks = max(2 * rows.sparkSession.sparkContext.defaultParallelism, MAX_SENT // (len(names) * k))
+    return rows.coalesce(tasks).mapInArrow(_typed(run, qid_type, id_type), f"query_id {qid_type}, id {id_type}, distance double")
 
 
 def _typed(run: Callable, qid: str, id: str) -> Callable:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import chunking, embedding, text
 from siltstone.operators import evaluate, incremental, ingest, judging, navigate, search, store, summaries, timestamps
-from siltstone.runtime import cut, scratch, table
+from siltstone.runtime import cut, scratch, settled, table
 from siltstone.sources import html
 
 REFERENCES = [(r"\bTKT-\d+\b", "tickets")]
@@ -162,7 +162,7 @@ def diversity_topk(spark: SparkSession, d: str) -> DataFrame:
 def _search_tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     ok = (F.size("embedding") == 64) & F.forall("embedding", lambda x: ~F.isnan(x) & (F.abs(x) < float("inf")))
     vec = table(spark, d, "chunks_vec").filter(ok).groupBy("rowid").agg(F.min("embedding").alias("embedding"))
-    chunks = cut(current(spark, d, "content", "title").join(vec, "rowid", "left"))  # as a store has it
+    chunks = settled(current(spark, d, "content", "title").join(vec, "rowid", "left"))  # as a store has it
     q = chunks.filter("rowid % 20 = 0 and embedding is not null and title is not null").select(F.col("rowid").alias("query_id"), F.col("title").alias("query"), "embedding")
     return chunks, q
 

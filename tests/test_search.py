@@ -267,3 +267,20 @@ def test_index_rows_are_not_shuffled(spark, monkeypatch):
     assert found_rows(search.bm25_indexed(stored, q, 30)) == want
     own = found_rows(search.bm25_indexed(index, q, 10, sources=["t"]))
     assert own == [(x[0], n + 1, *x[2:]) for k in range(1, 5) for n, x in enumerate([x for x in found_rows(search.bm25(d, q, 800)) if x[0] == k and x[2] % 3 == 0 and x[2] < 9000][:10])]
+
+
+def test_many_queries_go_through_few_tasks(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(search, "MAX_SENT", 1000, raising=False)
+    g = np.random.default_rng(9)
+    x = (1 + 1e-4 * g.normal(size=(3000, 8))).astype(np.float32)  # nearer than single precision can tell
+    x[700:760] = x[700]
+    v = df(spark, list(enumerate(x.tolist())), "id bigint, embedding array<float>").repartition(40)
+    q = v.filter("id % 20 = 0").withColumnRenamed("id", "query_id")
+    found = search.nearest(v, q, 10, exclude_self=True)
+    y = x.astype(float)
+    for i, own in itertools.groupby(sorted(map(tuple, found.select("query_id", "position", "id", "distance").collect())), lambda r: r[0]):
+        d = np.round(np.sqrt(((y - y[i]) ** 2).sum(1)), 9)
+        assert [(n, at) for _, _, n, at in own] == [(int(n), d[n]) for n in np.lexsort((np.arange(3000), d)) if n != i][:10]
+    assert f"Coalesce {2 * spark.sparkContext.defaultParallelism}" in found._jdf.queryExecution().executedPlan().toString()  # 8 x 150 x 10 rows are sent, not 40 x 150 x 10
