@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -265,7 +266,7 @@ def _text_blocks(docs: DataFrame, phrases: _Phrases, stemmed: bool) -> DataFrame
             return pc.index_in(t.flatten(), value_set=own).fill_null(-1).to_numpy().astype(np.int64), pc.list_value_length(t).to_numpy()
         each = [porter.words(x) for x in t.to_pylist()]
         sizes = np.fromiter(map(len, each), np.int64, len(each))
-        return np.fromiter((numbers[w] for x in each for w in x), np.int64, int(sizes.sum())), sizes
+        return np.fromiter(map(numbers.__getitem__, chain.from_iterable(each)), np.int64, int(sizes.sum())), sizes
 
     own, numbers = pa.array(list(phrases.words), pa.string()), _Numbers(phrases.words)
 
@@ -292,6 +293,12 @@ def _text_blocks(docs: DataFrame, phrases: _Phrases, stemmed: bool) -> DataFrame
     return docs.mapInArrow(run, _block_schema(docs.schema["id"].dataType))
 
 
+def _order(x: np.ndarray) -> np.ndarray:
+    """A stable order of whole numbers that leave room for their places beside them."""
+    bits = len(x).bit_length()
+    return np.sort(x.astype(np.int64) << bits | np.arange(len(x))) & (1 << bits) - 1
+
+
 def _slices(x: np.ndarray, ends: np.ndarray) -> pa.Array:
     """A binary value for each stretch of int32 numbers."""
     return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer((4 * np.r_[0, ends]).astype(np.int32).tobytes()), pa.py_buffer(x.astype(np.int32).tobytes())])
@@ -333,7 +340,7 @@ def _row_blocks(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
             ids = pc.dictionary_encode(t.column("id"), null_encoding="encode").combine_chunks()
             doc = ids.indices.to_numpy()
             word = pc.index_in(t.column("term"), value_set=own).combine_chunks().fill_null(len(words)).to_numpy().astype(np.int64)
-            by = np.argsort(doc, kind="stable")
+            by = _order(doc)
             by = by[word[by] < len(words)]
             if not len(by):
                 continue
@@ -358,7 +365,7 @@ def _row_blocks(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
         p = in_phrase[word]
         code = np.repeat(doc[p] << 32, tf[p]) + places
         of = np.repeat(word[p], tf[p])
-        by = np.argsort(of, kind="stable")
+        by = _order(of)
         of, code = of[by], code[by]
         of_word = lambda w: code[slice(*np.searchsorted(of, [w, w + 1]))]
         for n, phrase in phrases:
@@ -595,12 +602,12 @@ def posting_rows(chunks: DataFrame, content: str = "content", keep: Sequence[str
                 stems: dict[str, int] = {}
                 own = {}
                 each = [porter.words(t) for t in b.column("_text").to_pylist()]
-                for w in {w for x in each for w in x}:
+                for w in set(chain.from_iterable(each)):
                     own[w] = stems.setdefault(porter.stem(w), len(stems))
                 sizes = np.fromiter(map(len, each), np.int64, len(each))
                 doc = np.repeat(np.arange(len(each)), sizes)
-                code = doc * max(1, len(stems)) + np.fromiter((own[w] for x in each for w in x), np.int64, len(doc))
-                by = np.argsort(code, kind="stable")
+                code = doc * max(1, len(stems)) + np.fromiter(map(own.__getitem__, chain.from_iterable(each)), np.int64, len(doc))
+                by = _order(code)
                 first = np.flatnonzero(np.r_[True, code[by][1:] != code[by][:-1]]) if len(by) else np.empty(0, np.int64)
                 place = (np.arange(len(doc)) - (np.cumsum(sizes) - sizes)[doc])[by].astype(np.int32)
                 at, term = doc[by][first], code[by][first] % max(1, len(stems))
